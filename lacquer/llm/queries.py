@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing
+from . import mixing, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op6_simhash_near_dedup": simhash.query,
     "pipeline": corpus_pipeline.run,
 }
 
