@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, simhash
+from . import mixing, simhash, substrings
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op8_repeated_passages": substrings.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
+    "op8_repeated_passages": substrings.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
