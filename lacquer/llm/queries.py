@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, simhash, substrings
+from . import mixing, pii, quality_rules, simhash, substrings
 
 QUERIES = {
+    "op1_pii_spans": pii.query,
     "op2_mix_sources": mixing.query,
+    "op5_quality_rules": quality_rules.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_repeated_passages": substrings.query,
     "pipeline": corpus_pipeline.run,
