@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import mixing, pii, quality_rules, simhash, substrings
+from . import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, simhash, substrings
 
 QUERIES = {
     "op1_pii_spans": pii.query,
     "op2_mix_sources": mixing.query,
+    "op3_language_id": language_id.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op5_quality_rules": quality_rules.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_repeated_passages": substrings.query,
+    "op9_benchmark_tiling": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
 
