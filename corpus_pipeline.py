@@ -1,25 +1,46 @@
-"""A corpus pipeline of the operators in lacquer.llm: each stage is written and read again."""
+"""A corpus pipeline of the operators in lacquer.llm: each stage is written and read again as the next one's docs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacquer.llm import mixing
+from lacquer.llm import decontamination, mixing, pii, quality_rules, simhash
 from lacquer.llm.common import stage, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with their size, their source's size and target, and the words taken."""
     return mixing.mix_sources(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
 
 
-STAGES = [("mix", mix)]
+STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("personal data", redact), ("mixing", mix)]
 
+#: Trained stages and tiling are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

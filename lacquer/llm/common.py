@@ -28,7 +28,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "lacquer-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return ("file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stage, table, texts_of
@@ -48,15 +48,17 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: Column | None = None) -> DataFrame:
+    """(doc_id, fp) for each row of docs; fp holds the 64 bits as a signed long. keep: a long to carry along as `kept`."""
+    kept = ["kept"] if keep is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *map(batch.column, kept)], ["doc_id", "fp", *kept])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[keep.alias(k) for k in kept])
+    return taken.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *kept)))
 
 
 def flips(bits: range | list[int], most: int) -> list[np.ndarray]:
@@ -136,6 +138,12 @@ def near_links(fps: DataFrame, n_distinct: int, radius: int = 4) -> DataFrame:
     return fps.mapInArrow(send, "cell int, fp long").groupBy("cell").applyInArrow(meet, "a long, b long")
 
 
+def _roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for each distinct fingerprint (fp): the same root for all of a component."""
+    roots = components(near_links(distinct.select("fp"), distinct.count(), radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text).
 
@@ -145,13 +153,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     """
     marked = stage(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(near_links(distinct.select("fp"), distinct.count(), radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = _roots(distinct, radius)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """One row of docs, with all its columns, of each near-duplicate group: the one with the smallest doc_id.
+
+    A null doc_id comes after all others; of rows with the same doc_id in a group one stays.
+    """
+    columns, text_hash = docs.columns, F.xxhash64("text")
+    marked = stage(fingerprints(docs, shingle, seed, keep=text_hash), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "kept"))
+    distinct = stage(marked.groupBy("fp").agg(first.alias("first")), "distinct")
+    stays = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.kept").alias("_hash"))
+    numbered = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & text_hash.eqNullSafe(F.col("_hash")))
+    return found.withColumn("_nth", F.row_number().over(numbered)).where("_nth = 1").select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
