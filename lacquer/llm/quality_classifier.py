@@ -97,12 +97,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityM
     A document's label is 1 if at least half of its non-null labels are; a null label says nothing.
     Counts cover all labelled rows; the support vectors come from at most per_class rows of each class,
     those with the smallest hashes of their ids, a quarter of which is set aside for the probabilities.
+    Labels and texts are joined by sorting both at any size, since the labels grow with the texts.
     Without both classes every score is the share of label 1, or a half without labels.
     """
     known = labels.where(training_row(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sizes = dict(known.groupBy("label").count().collect())
     bound = {c: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.2 * per_class / n))) for c, n in sizes.items()}
-    texts = docs.where(training_row(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "label")
+    texts = docs.where(training_row(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Class counts of buckets in pieces, and the buckets of sampled rows."""
