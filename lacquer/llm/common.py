@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path, stage  # noqa: F401
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 #: bytes.split() without arguments splits at exactly these six characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lacquer-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return ("file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows; sizes partitions and groups, never results."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

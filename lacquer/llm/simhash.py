@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import slices, stage, table, texts_of
-from .components import components
 
 BITS = 64
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
