@@ -12,6 +12,7 @@ is verified, which keeps the components without emitting all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,8 @@ BITS = 64
 BLOCK = 50_000
 #: Variants that a cell should write out at a time.
 CELL_VARIANTS = 3_000_000
+#: Leading bits of cells: as many for all corpora of up to 700,000 fingerprints, and more for larger ones.
+LEAST_CELL_BITS, MOST_CELL_BITS = 8, 24
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -61,7 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: Column
     return taken.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *kept)))
 
 
-def flips(bits: range | list[int], most: int) -> list[np.ndarray]:
+@cache
+def flips(bits: range, most: int) -> list[np.ndarray]:
     """For each number of flipped bits up to most, the masks of all ways to flip that many of bits."""
     return [np.array([sum(1 << b for b in c) for c in combinations(bits, k)], np.uint64) for k in range(most + 1)]
 
@@ -118,8 +122,8 @@ def near_links(fps: DataFrame, n_distinct: int, radius: int = 4) -> DataFrame:
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even, so that both balls meet halfway")
-    cell_bits = 4
-    while cell_bits < 24 and (n_distinct * 2081) >> cell_bits > 2 * CELL_VARIANTS:
+    cell_bits = LEAST_CELL_BITS
+    while cell_bits < MOST_CELL_BITS and (n_distinct * 2081) >> cell_bits > 2 * CELL_VARIANTS:
         cell_bits += 1
     top = BITS - cell_bits
     reach = np.concatenate(flips(range(cell_bits), half))
