@@ -41,7 +41,7 @@ def source_targets(per_source: DataFrame, weights=(1, 2, 3), max_epochs: int = 3
     return levels.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).drop("level", "at", "cap")
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_per_range: int = 20_000, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_per_range: int = 4_000, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
 
     taken counts the words that the mix takes from the row, repeats included: whole epochs, then the
