@@ -1,13 +1,16 @@
 """The eight normalizers: a column of text to a struct (value, confidence).
 
-Each takes the value and, optionally, what strip_noise() leaves of it, so that a plan can work that out
-once. A candidate is returned only if it passes the field's gate; otherwise the value stays as it is,
-with the lowest confidence. SQL NULL stands for values that are not text: null with confidence 0.
+A normalizer has a structural part, inferences and a gate. What the structural part changes counts if
+it passes the gate, at a higher tier than an inference that does; a value that passes as it is, is
+clean. Anything else stays as it is, at the lowest tier. SQL NULL stands for values that are not text:
+null with confidence 0. The parts can be worked out in columns of their own, one after the other, which
+keeps plans small; as a callable, a normalizer is one expression.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column
@@ -32,6 +35,34 @@ def outcome(value: Column, *cases: tuple[Column, Column, float]) -> Column:
     return out.otherwise(pair(value, d.NONE))
 
 
+@dataclass(frozen=True)
+class Normalizer:
+    """core(value without noise), inferences(core) in their order, and the gate that any result has to pass.
+
+    stops: a value that the structural part changes is not inferred from. noise: what is dropped first.
+    """
+
+    core: Callable[[Column], Column]
+    inferences: Callable[[Column], tuple[Column, ...]]
+    gate: Callable[[Column], Column]
+    stops: bool = False
+    noise: Callable[[Column], Column] = strip_noise
+
+    def decide(self, value: Column, core: Column, inferred: tuple[Column, ...]) -> Column:
+        kept = [(core != value, value, d.NONE)] if self.stops else []
+        return outcome(
+            value,
+            ((core != value) & self.gate(core), core, d.STRUCTURAL),
+            *kept,
+            *[((x != core) & self.gate(x), x, d.INFERRED) for x in inferred],
+            (self.gate(value), value, d.CLEAN),
+        )
+
+    def __call__(self, value: Column) -> Column:
+        core = self.core(self.noise(value))
+        return self.decide(value, core, self.inferences(core))
+
+
 # --- person ---
 
 
@@ -40,18 +71,13 @@ def is_name(s: Column) -> Column:
     return s.rlike(rf"^[一-鿿]{{2,6}}\n?\z") & s.rlike(f"(?s)^(?:{compound}.|(?!{compound}){char_class(sorted(d.SURNAMES))}.)")
 
 
-def person(value: Column, stripped: Column | None = None) -> Column:
-    """Clean structure, or else repair typos in the given name; a surname is never repaired."""
-    core = strip_separators(strip_noise(value, d.TITLES) if stripped is None else stripped)
-    surname = F.regexp_extract(value, f"^(?:{any_of(d.COMPOUND_SURNAMES)}|{char_class(sorted(d.SURNAMES))})", 0)
-    fixed = F.concat(surname, replace_chars(F.substr(value, F.length(surname) + 1), d.PERSON_TYPOS))
-    return outcome(
-        value,
-        ((core != value) & is_name(core), core, d.STRUCTURAL),
-        (core != value, value, d.NONE),
-        ((fixed != value) & is_name(fixed), fixed, d.INFERRED),
-        (is_name(value), value, d.CLEAN),
-    )
+def person_inferences(core: Column) -> tuple[Column, ...]:
+    """Typos repaired in the given name; a surname is never repaired."""
+    surname = F.regexp_extract(core, f"^(?:{any_of(d.COMPOUND_SURNAMES)}|{char_class(sorted(d.SURNAMES))})", 0)
+    return (F.concat(surname, replace_chars(F.substr(core, F.length(surname) + 1), d.PERSON_TYPOS)),)
+
+
+PERSON = Normalizer(strip_separators, person_inferences, is_name, stops=True, noise=lambda v: strip_noise(v, d.TITLES))
 
 
 # --- address ---
@@ -87,18 +113,9 @@ def complete_regions(s: Column, cities: frozenset[str] = d.CITIES) -> Column:
     return F.concat(province, F.regexp_replace(rest, f"(?s)^({any_of(cities)})(?![市区县])(?=.{{0,5}}[区县])", "$1市"))
 
 
-def address(value: Column, stripped: Column | None = None, cities: frozenset[str] = d.CITIES, inferred: tuple[Column, Column] | None = None) -> Column:
-    """Clean structure, or else repair one typo, or else complete regions; typos come first."""
-    core = strip_separators(strip_noise(value) if stripped is None else stripped)
-    repaired, completed = inferred or (repair_address(value, cities), complete_regions(value, cities))
-    return outcome(
-        value,
-        ((core != value) & is_address(core), core, d.STRUCTURAL),
-        (core != value, value, d.NONE),
-        ((repaired != value) & is_address(repaired), repaired, d.INFERRED),
-        ((completed != value) & is_address(completed), completed, d.INFERRED),
-        (is_address(value), value, d.CLEAN),
-    )
+def address_normalizer(cities: frozenset[str] = d.CITIES) -> Normalizer:
+    """Typos are tried before regions, since a typo can hide that a region has its ending."""
+    return Normalizer(strip_separators, lambda core: (repair_address(core, cities), complete_regions(core, cities)), is_address, stops=True)
 
 
 # --- company ---
@@ -111,22 +128,12 @@ def is_company(s: Column) -> Column:
 COMPANY_PATTERNS = window_patterns(d.COMPANY_TYPOS, d.ORGANISATIONS | d.INDUSTRIES)
 
 
-def company_inferences(value: Column) -> tuple[Column, Column]:
-    return F.regexp_replace(value, d.SHORT_FORM + r"\z", d.FULL_FORM), repair(value, d.COMPANY_TYPOS, COMPANY_PATTERNS)
+def company_inferences(core: Column) -> tuple[Column, ...]:
+    """The one unambiguous short form written out, or one typo repaired in a closed-set word."""
+    return F.regexp_replace(core, d.SHORT_FORM + r"\z", d.FULL_FORM), repair(core, d.COMPANY_TYPOS, COMPANY_PATTERNS)
 
 
-def company(value: Column, stripped: Column | None = None, inferred: tuple[Column, Column] | None = None) -> Column:
-    """Clean structure, or else write out the one unambiguous short form, or else repair one typo in a closed-set word."""
-    core = strip_separators(strip_noise(value) if stripped is None else stripped)
-    expanded, repaired = inferred or company_inferences(value)
-    return outcome(
-        value,
-        ((core != value) & is_company(core), core, d.STRUCTURAL),
-        (core != value, value, d.NONE),
-        ((expanded != value) & is_company(expanded), expanded, d.INFERRED),
-        ((repaired != value) & is_company(repaired), repaired, d.INFERRED),
-        (is_company(value), value, d.CLEAN),
-    )
+COMPANY = Normalizer(strip_separators, company_inferences, is_company, stops=True)
 
 
 # --- phone ---
@@ -136,17 +143,13 @@ def is_phone(s: Column) -> Column:
     return s.rlike(rf"^1[3-9]{DIGIT}{{9}}\n?\z")
 
 
-def phone(value: Column, stripped: Column | None = None) -> Column:
-    """Clean structure and country codes; then, on what that leaves, letters taken for digits."""
-    out = strip_separators(strip_noise(value) if stripped is None else stripped)
-    out = F.regexp_replace(F.regexp_replace(out, r"^\++", ""), r"(?s)^(?:0086|086|86)(?=.{11}\z)", "")
-    fixed = replace_chars(out, d.PHONE_DIGITS)
-    return outcome(
-        value,
-        ((out != value) & is_phone(out), out, d.STRUCTURAL),
-        ((fixed != out) & is_phone(fixed), fixed, d.INFERRED),
-        (is_phone(value), value, d.CLEAN),
-    )
+def phone_core(stripped: Column) -> Column:
+    """Separators, plus signs and, where eleven digits follow, country codes dropped."""
+    plain = F.regexp_replace(strip_separators(stripped), r"^\++", "")
+    return F.regexp_replace(plain, r"(?s)^(?:0086|086|86)(?=.{11}\z)", "")
+
+
+PHONE = Normalizer(phone_core, lambda core: (replace_chars(core, d.PHONE_DIGITS),), is_phone)
 
 
 # --- amount ---
@@ -156,20 +159,15 @@ def is_amount(s: Column) -> Column:
     return s.rlike(rf"^{DIGIT}+(\.{DIGIT}+)?元\n?\z")
 
 
-def amount(value: Column, stripped: Column | None = None) -> Column:
-    """Drop spaces and thousands commas; then write ten-thousands out, then letters taken for digits."""
-    out = F.regexp_replace(strip_spaces(strip_noise(value) if stripped is None else stripped), "[,，]", "")
-    number = F.regexp_extract(out, rf"^({DIGIT}+(?:\.{DIGIT}+)?)万元\z", 1)
+def amount_inferences(core: Column) -> tuple[Column, ...]:
+    """Ten-thousands written out, with letters taken for digits after that; or ten-thousands alone."""
+    number = F.regexp_extract(core, rf"^({DIGIT}+(?:\.{DIGIT}+)?)万元\z", 1)
     scaled = F.call_function("format_number", ascii_digits(number).try_cast("double") * 10000, F.lit("0.0000"))
-    written = F.when(number != "", F.concat(F.regexp_replace(scaled, r"\.?0*\z", ""), F.lit("元"))).otherwise(out)
-    fixed = replace_chars(written, d.NUMBER_DIGITS)
-    return outcome(
-        value,
-        ((out != value) & is_amount(out), out, d.STRUCTURAL),
-        ((fixed != written) & is_amount(fixed), fixed, d.INFERRED),
-        ((written != out) & is_amount(written), written, d.INFERRED),
-        (is_amount(value), value, d.CLEAN),
-    )
+    written = F.when(number != "", F.concat(F.regexp_replace(scaled, r"\.?0*\z", ""), F.lit("元"))).otherwise(core)
+    return replace_chars(written, d.NUMBER_DIGITS), written
+
+
+AMOUNT = Normalizer(lambda stripped: F.regexp_replace(strip_spaces(stripped), "[,，]", ""), amount_inferences, is_amount)
 
 
 # --- date ---
@@ -183,18 +181,16 @@ def iso_date(s: Column, last_year: int = d.LAST_YEAR) -> Column:
     return F.when(ok, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(day, 2, "0")))
 
 
-def date(value: Column, stripped: Column | None = None, last_year: int = d.LAST_YEAR) -> Column:
-    """Unify separators, drop spaces and fill zeros in; then letters taken for digits."""
-    out = strip_spaces(F.translate(strip_noise(value) if stripped is None else stripped, d.DATE_SEPARATORS, "-" * len(d.DATE_SEPARATORS)))
-    canon = iso_date(out, last_year)
-    fixed = replace_chars(out, d.NUMBER_DIGITS)
-    canon_fixed = iso_date(fixed, last_year)
-    return outcome(
-        value,
-        (canon != value, canon, d.STRUCTURAL),
-        ((fixed != out) & canon_fixed.isNotNull(), canon_fixed, d.INFERRED),
-        (iso_date(value, last_year).isNotNull(), value, d.CLEAN),
-    )
+def date_normalizer(last_year: int = d.LAST_YEAR) -> Normalizer:
+    """Separators unified, spaces dropped and zeros filled in; then letters taken for digits."""
+
+    def canonical(s: Column) -> Column:
+        return F.coalesce(iso_date(s, last_year), s)
+
+    def core(stripped: Column) -> Column:
+        return canonical(strip_spaces(F.translate(stripped, d.DATE_SEPARATORS, "-" * len(d.DATE_SEPARATORS))))
+
+    return Normalizer(core, lambda c: (canonical(replace_chars(c, d.NUMBER_DIGITS)),), lambda s: iso_date(s, last_year).isNotNull())
 
 
 # --- identity number ---
@@ -211,19 +207,14 @@ def is_identity(s: Column) -> Column:
     return s.rlike(rf"(?s)^{DIGIT}{{17}}.\z") & (F.substr(s, F.lit(18), F.lit(1)) == check_digit(ascii_digits(s)))
 
 
-def idcard(value: Column, stripped: Column | None = None) -> Column:
-    """Clean structure; then letters taken for digits; then 15-digit numbers of the last century."""
-    out = strip_separators(strip_noise(value) if stripped is None else stripped)
-    fixed = replace_chars(out, d.IDENTITY_DIGITS)
+def idcard_inferences(core: Column) -> tuple[Column, ...]:
+    """Letters taken for digits; then, after that, 15-digit numbers of the last century."""
+    fixed = replace_chars(core, d.IDENTITY_DIGITS)
     first17 = F.concat(F.substr(fixed, F.lit(1), F.lit(6)), F.lit(d.CENTURY), F.substr(fixed, F.lit(7)))
-    expanded = F.concat(first17, check_digit(ascii_digits(first17)))
-    return outcome(
-        value,
-        ((out != value) & is_identity(out), out, d.STRUCTURAL),
-        ((fixed != out) & is_identity(fixed), fixed, d.INFERRED),
-        (fixed.rlike(rf"^{DIGIT}{{15}}\z"), expanded, d.INFERRED),
-        (is_identity(value), value, d.CLEAN),
-    )
+    return fixed, F.when(fixed.rlike(rf"^{DIGIT}{{15}}\z"), F.concat(first17, check_digit(ascii_digits(first17))))
+
+
+IDCARD = Normalizer(strip_separators, idcard_inferences, is_identity)
 
 
 # --- e-mail ---
@@ -255,22 +246,7 @@ def repair_email(s: Column) -> Column:
     return F.when(at > 0, F.concat(user, F.lit("@"), fixed)).otherwise(s)
 
 
-def email(value: Column, stripped: Column | None = None) -> Column:
-    """Drop label and spaces; then characters whose place tells what they must be."""
-    out = strip_spaces(strip_noise(drop_email_label(value)) if stripped is None else stripped)
-    fixed = repair_email(out)
-    return outcome(
-        value,
-        ((out != value) & is_email(out), out, d.STRUCTURAL),
-        ((fixed != out) & is_email(fixed), fixed, d.INFERRED),
-        (is_email(value), value, d.CLEAN),
-    )
-
-
-#: Normalizers by field name; add to it to have other fields. Each may take the stripped value as well.
-REGISTRY: dict[str, Callable[..., Column]] = {"person": person, "address": address, "phone": phone, "company": company, "amount": amount, "date": date, "idcard": idcard, "email": email}
-
+EMAIL = Normalizer(strip_spaces, lambda core: (repair_email(core),), is_email, noise=lambda v: strip_noise(drop_email_label(v)))
 
-def noise_stripped(value: Column, field: Column) -> Column:
-    """What strip_noise() leaves, with each field's own additions to it."""
-    return F.when(field == "person", strip_noise(value, d.TITLES)).when(field == "email", strip_noise(drop_email_label(value))).otherwise(strip_noise(value))
+#: Normalizers by field name; a copy with other entries can be passed to the operators.
+REGISTRY: dict[str, Normalizer | Callable[[Column], Column]] = {"person": PERSON, "address": address_normalizer(), "phone": PHONE, "company": COMPANY, "amount": AMOUNT, "date": date_normalizer(), "idcard": IDCARD, "email": EMAIL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stage
 from .normalize import normalize_rows
 
 #: Bands of confidence in the order of reports: key, value, reason.
@@ -22,8 +23,11 @@ def banded(confidence: Column, reason: bool = False) -> Column:
 
 
 def changes(rows: DataFrame) -> DataFrame:
-    """rows (field, value, ...) with normalized, confidence, band, reason and changed."""
-    out = normalize_rows(rows)
+    """rows (field, value, ...) with normalized, confidence, band, reason and changed.
+
+    The normalized rows are staged, so that the parts of a report read them instead of cleaning again.
+    """
+    out = stage(normalize_rows(rows), "normalized")
     return out.withColumns({"band": banded(F.col("confidence")), "reason": banded(F.col("confidence"), True), "changed": ~F.col("normalized").eqNullSafe(F.col("value"))})
 
 

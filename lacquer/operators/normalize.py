@@ -3,52 +3,75 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import NONE, NOT_TEXT
-from ..functions.fields import REGISTRY, company_inferences, complete_regions, noise_stripped, repair_address
+from ..functions.fields import REGISTRY, RESULT, Normalizer
 
-INFERENCES = {"address": lambda v: (repair_address(v), complete_regions(v)), "company": company_inferences}
+Registry = dict[str, Normalizer | Callable[[Column], Column]]
 
 
-def result_column(value: Column, field: Column, registry: dict[str, Callable[..., Column]] | None = None) -> Column:
-    """struct(value, confidence) by the field's normalizer; an unknown or null field leaves the value, at the lowest tier."""
-    unknown = F.struct(value.alias("value"), F.when(value.isNull(), F.lit(NOT_TEXT)).otherwise(F.lit(NONE)).alias("confidence"))
-    out = F.when(F.lit(False), unknown)
-    for name, normalizer in (registry or REGISTRY).items():
-        out = out.when(field == name, normalizer(value))
-    return out.otherwise(unknown)
+def unknown(value: Column) -> Column:
+    """What a value of an unknown field gives: itself, at the lowest tier."""
+    return F.struct(value.alias("value"), F.when(value.isNull(), F.lit(NOT_TEXT)).otherwise(F.lit(NONE)).alias("confidence"))
 
 
-def normalize_rows(rows: DataFrame, field: str | None = None, value: str = "value", out: str = "normalized", registry: dict[str, Callable[..., Column]] | None = None) -> DataFrame:
+def by_field(field: Column, columns: dict[str, Column], default: Column) -> Column:
+    out = F.when(F.lit(False), default)
+    for name, column in columns.items():
+        out = out.when(field == name, column)
+    return out.otherwise(default)
+
+
+def with_result(rows: DataFrame, value: Column, normalizer, name: str) -> DataFrame:
+    """rows with the column `name` (value, confidence) by one normalizer, its parts in columns of their own until then."""
+    if not isinstance(normalizer, Normalizer):
+        return rows.withColumn(name, normalizer(value))
+    core = F.col(f"{name}_core")
+    out = rows.withColumn(f"{name}_noise", normalizer.noise(value)).withColumn(f"{name}_core", normalizer.core(F.col(f"{name}_noise")))
+    parts = {f"{name}_{k}": x for k, x in enumerate(normalizer.inferences(core))}
+    out = out.withColumns(parts).withColumn(name, normalizer.decide(value, core, tuple(map(F.col, parts))))
+    return out.drop(f"{name}_noise", f"{name}_core", *parts)
+
+
+def with_results(rows: DataFrame, value: Column, field: Column, registry: Registry, name: str) -> DataFrame:
+    """rows with the column `name` (value, confidence) by each row's field; the parts are worked out as in with_result()."""
+    whole = {f: n for f, n in registry.items() if isinstance(n, Normalizer)}
+    none, core, noise = F.lit(None).cast("string"), F.col(f"{name}_core"), F.col(f"{name}_noise")
+    out = rows.withColumn(f"{name}_noise", by_field(field, {f: n.noise(value) for f, n in whole.items()}, none))
+    out = out.withColumn(f"{name}_core", by_field(field, {f: n.core(noise) for f, n in whole.items()}, none))
+    inferred = {f: n.inferences(core) for f, n in whole.items()}
+    most = max(map(len, inferred.values()), default=0)
+    parts = {f"{name}_{k}": by_field(field, {f: x[k] for f, x in inferred.items() if len(x) > k}, none) for k in range(most)}
+    out = out.withColumns(parts)
+    decided = {f: n.decide(value, core, tuple(F.col(p) for p in list(parts)[: len(inferred[f])])) if f in whole else n(value) for f, n in registry.items()}
+    # a condition that always holds, and that the optimizer takes for a random one, so that it does not
+    # copy this long expression into filters on its results
+    result = F.when(F.rand(0) >= 0, by_field(field, decided, unknown(value))).otherwise(F.lit(None).cast(RESULT))
+    return out.withColumn(name, result).drop(f"{name}_noise", f"{name}_core", *parts)
+
+
+def normalize_rows(rows: DataFrame, field: str | None = None, value: str = "value", out: str = "normalized", registry: Registry | None = None) -> DataFrame:
     """rows with columns `out` and confidence. field forces one normalizer; else the column `field` names it.
 
-    One pass without a shuffle. What the normalizers share, and the long repair expressions, are worked
-    out once per row in columns of their own. A null value gives null and confidence 0.
+    One pass without a shuffle. An unknown or null field leaves the value, at the lowest tier; a null
+    value gives null and confidence 0.
     """
-    v, which = F.col(value), F.lit(field) if field is not None else F.col("field")
-    registry = registry or REGISTRY
-    if field is not None:
-        staged = rows.withColumn("_result", registry[field](v) if field in registry else result_column(v, which))
+    v, registry = F.col(value), registry or REGISTRY
+    if field is None:
+        done = with_results(rows, v, F.col("field"), registry, "_result")
     else:
-        staged = rows.withColumn("_stripped", noise_stripped(v, which))
-        inferred = {}
-        for name, candidates in INFERENCES.items():
-            names = [f"_{name}_1", f"_{name}_2"]
-            staged = staged.withColumns({c: F.when(which == name, x) for c, x in zip(names, candidates(v), strict=True)})
-            inferred[name] = tuple(map(F.col, names))
-        shared = {name: partial(f, stripped=F.col("_stripped"), **({"inferred": inferred[name]} if name in inferred else {})) if REGISTRY.get(name) is f else f for name, f in registry.items()}
-        staged = staged.withColumn("_result", result_column(v, which, shared))
-    return staged.withColumns({out: F.col("_result.value"), "confidence": F.col("_result.confidence")}).drop("_stripped", "_result", *[f"_{n}_{k}" for n in INFERENCES for k in (1, 2)])
+        done = with_result(rows, v, registry.get(field, unknown), "_result")
+    return done.withColumns({out: F.col("_result.value"), "confidence": F.col("_result.confidence")}).drop("_result")
+
+
+def normalize_with_confidence(value: Column, field: str) -> Column:
+    """struct(value, confidence), as one expression."""
+    return REGISTRY.get(field, unknown)(value)
 
 
 def normalize(value: Column, field: str) -> Column:
     """The normalized value alone."""
     return normalize_with_confidence(value, field).getField("value")
-
-
-def normalize_with_confidence(value: Column, field: str) -> Column:
-    return REGISTRY[field](value) if field in REGISTRY else result_column(value, F.lit(field))

@@ -15,6 +15,7 @@ from ..functions.fields import REGISTRY
 from ..sources.scratch import stage
 from .components import components
 from .dedupe import dedupe_adaptive
+from .normalize import with_result
 from .routing import LEAST_CONFIDENCE
 
 FIELDS = tuple(REGISTRY)
@@ -37,7 +38,10 @@ def column_map(header: list[str], columns: dict[str, str] | None = None) -> dict
 def clean_cells(table: DataFrame, header: list[str], mapping: dict[str, str]) -> DataFrame:
     """table with clean cells and, for each mapped column, a struct _c<index> (value, confidence) of cells that are there."""
     mapped = [j for j, h in enumerate(header) if h in mapping]
-    out = table.withColumns({f"_c{j}": F.when(F.size("cells") > j, REGISTRY[mapping[header[j]]](F.get("cells", F.lit(j)))) for j in mapped})
+    out = table
+    for j in mapped:
+        out = with_result(out.withColumn("_cell", F.get("cells", F.lit(j))), F.col("_cell"), REGISTRY[mapping[header[j]]], "_done")
+        out = out.withColumn(f"_c{j}", F.when(F.size("cells") > j, F.col("_done"))).drop("_cell", "_done")
     each = [F.col(f"_c{j}.value") if j in mapped else F.get("cells", F.lit(j)) for j in range(len(header))]
     n = len(header)
     clean = F.concat(F.slice(F.array(*each), 1, F.least(F.size("cells"), F.lit(n))), F.slice("cells", n + 1, F.greatest(F.size("cells") - n, F.lit(0)))) if n else F.col("cells")
