@@ -5,22 +5,24 @@ non-overlapping blocks of B words whole, when W >= 2 * B - 1. So the blocks of a
 index, and every rolling B-word window probes it. Hits are extended to every W-word window around
 them, which are then compared by full hashes; the union of the repeated windows is the maximal repeat.
 
-Documents are dealt to packs by a hash of doc_id. A pack sends its window hashes to slots (by hash),
-four bytes each in reading order with the slot's bits apart, and each slot answers a pack with one bit
-for each hash it was sent. Nothing but documents, hashes and bits is shuffled, and neither a pack nor a
-slot depends on how often a passage repeats.
+Documents are dealt to packs by a hash of doc_id. A pack sends each of its distinct window hashes once
+to a slot (by hash), four bytes each in reading order with the slot's bits apart, with the smallest and
+largest doc_id that has it there; each slot answers a pack with one bit for each hash it was sent.
+Nothing but documents, hashes and bits is shuffled, and a passage that a large share of all documents
+holds takes as many rows of a slot as there are packs, not documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_for, table, total_bytes, window_hashes, word_hashes
+from .common import groups_for, slices, table, texts_of, total_bytes, window_hashes, word_hashes
 
 #: Bytes of text in a pack, and of text whose hashes meet in a slot; both in the mean.
 PACK_BYTES = 6_000_000
@@ -28,7 +30,7 @@ SLOT_BYTES = 12_000_000
 #: Odd multipliers of the polynomial hashes of anchors and of windows.
 ANCHOR_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
-SENT = "slot int, pack int, n long, docs binary, hashes binary"
+SENT = "slot int, pack int, n long, docs binary, back binary, hashes binary"
 ANSWER = "pack int, slot int, hit binary, hit2 binary"
 
 
@@ -37,7 +39,7 @@ class Pack:
 
     def __init__(self, group: pa.Table):
         ids, texts = group.column("doc_id").to_pylist(), group.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
         self.ids = [ids[i] for i in order]
         self.texts = [(texts[i] or "").encode() for i in order]
         counts = np.empty(len(order), np.int64)
@@ -49,17 +51,15 @@ class Pack:
         self.hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.counts = counts
         self.starts = np.concatenate(([0], np.cumsum(counts)))
-        self.null = np.array([i is None for i in self.ids], bool)
-        self.id_of = np.array([0 if i is None else i for i in self.ids], np.int64)
+        self.id_of = np.array(self.ids, np.int64)
 
     def windows(self, width: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start position, hash and document of each window that lies in one document with an id."""
+        """Start position, hash and document of each window that lies in one document."""
         n = len(self.hashes) - width + 1
         doc = np.repeat(np.arange(len(self.ids)), self.counts)
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        whole = (doc[:n] == doc[width - 1 :]) & ~self.null[doc[:n]]
-        at = np.nonzero(whole)[0]
+        at = np.nonzero(doc[:n] == doc[width - 1 :])[0]
         return at, window_hashes(self.hashes, width, base)[at], doc[at]
 
 
@@ -85,26 +85,46 @@ def _unplanes(data: bytes, n: int, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(dtype).ravel()
 
 
-def send(pack: int, ids: np.ndarray, h: np.ndarray, ref: np.ndarray | None, slots: int) -> pa.Table:
-    """The hashes of a pack by slot, in the order given. ref marks indexed blocks, in place of a hash's lowest bit."""
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct hash, in reading order, and for each hash its number among these."""
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    firsts = order[new]
+    is_first = np.zeros(len(h), bool)
+    is_first[firsts] = True
+    of = np.empty(len(h), np.int64)
+    of[order] = (np.cumsum(is_first) - 1)[firsts][np.cumsum(new) - 1]
+    return np.nonzero(is_first)[0], of
+
+
+def send(pack: int, h: np.ndarray, ids: np.ndarray, back: np.ndarray | None, slots: int) -> pa.Table:
+    """Distinct hashes of a pack by slot, in the order given, with a doc_id each.
+
+    With back, the ids are the largest of their hashes; where back is not negative, the hash is of an
+    indexed block, which is marked in place of its lowest bit, and back is how much less the smallest
+    doc_id of such a block is.
+    """
     order, names, first = _sorted_by_slot(deal(h, slots))
-    rows: dict[str, list] = {"slot": [], "pack": [], "n": [], "docs": [], "hashes": []}
+    rows: dict[str, list] = {"slot": [], "pack": [], "n": [], "docs": [], "back": [], "hashes": []}
     for k, slot in enumerate(names.tolist()):
         i = order[first[k] : first[k + 1]]
-        if ref is None:
-            own = _planes(h[i], "<u8")
+        if back is None:
+            own, less = _planes(h[i], "<u8"), b""
         else:
-            own = (h[i].astype(np.uint32) & np.uint32(0xFFFFFFFE) | ref[i].astype(np.uint32)).astype("<u4").tobytes()
+            own = (h[i].astype(np.uint32) & np.uint32(0xFFFFFFFE) | (back[i] >= 0).astype(np.uint32)).astype("<u4").tobytes()
+            less = _planes(np.maximum(back[i], 0), "<i8")
         rows["slot"].append(slot)
         rows["pack"].append(pack)
         rows["n"].append(len(i))
         rows["docs"].append(_planes(np.diff(ids[i], prepend=np.int64(0)), "<i8"))
+        rows["back"].append(less)
         rows["hashes"].append(own)
-    return pa.table(rows, schema=pa.schema([("slot", pa.int32()), ("pack", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary())]))
+    return pa.table(rows, schema=pa.schema([("slot", pa.int32()), ("pack", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("back", pa.binary()), ("hashes", pa.binary())]))
 
 
 def answer(group: pa.Table, anchors: bool) -> pa.Table:
-    """Which hashes of a slot also come from a smaller document, and which indexed blocks a larger one repeats."""
+    """For each pack's hashes: hit if an id sent is over the smallest of an indexed block anywhere, hit2 if an indexed block's is under the largest."""
     slot = group.column("slot")[0].as_py()
     sizes = group.column("n").to_pylist()
     ids = np.concatenate([np.cumsum(_unplanes(d, n, "<i8")) for d, n in zip(group.column("docs").to_pylist(), sizes, strict=True)])
@@ -113,19 +133,19 @@ def answer(group: pa.Table, anchors: bool) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, "<u4") for x in raw])
         ref = (h & 1).astype(bool)
         h = h & np.uint32(0xFFFFFFFE)
+        low = ids - np.concatenate([_unplanes(d, n, "<i8") for d, n in zip(group.column("back").to_pylist(), sizes, strict=True)])
     else:
         h = np.concatenate([_unplanes(x, n, "<u8") for x, n in zip(raw, sizes, strict=True)])
-        ref = np.ones(len(h), bool)
+        ref, low = np.ones(len(h), bool), ids
     order = np.argsort(h, kind="stable")
     new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
     group_of = np.cumsum(new) - 1
     first = np.nonzero(new)[0]
-    at = ids[order]
-    least = np.minimum.reduceat(np.where(ref[order], at, np.iinfo(np.int64).max), first)
-    most = np.maximum.reduceat(at, first)
+    least = np.minimum.reduceat(np.where(ref, low, np.iinfo(np.int64).max)[order], first)
+    most = np.maximum.reduceat(ids[order], first)
     hit, hit2 = np.empty(len(h), bool), np.empty(len(h), bool)
-    hit[order] = at > least[group_of]
-    hit2[order] = ref[order] & (at < most[group_of])
+    hit[order] = ids[order] > least[group_of]
+    hit2[order] = ref[order] & (low[order] < most[group_of])
     packs, rows = group.column("pack").to_pylist(), {"pack": [], "slot": [], "hit": [], "hit2": []}
     start = 0
     for pack, n in zip(packs, sizes, strict=True):
@@ -170,18 +190,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     block = (window + 1) // 2
     n_bytes = total_bytes(docs, "text")
     packs, slots = groups_for(n_bytes, PACK_BYTES), groups_for(n_bytes, SLOT_BYTES)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int").alias("pack")).repartition(groups_for(n_bytes, 4 * PACK_BYTES), "pack")
-
-    def probes(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        at, h, doc = pack.windows(block, ANCHOR_BASE)
-        return at, h, doc, (at - pack.starts[doc]) % block == 0
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = given.where("doc_id IS NOT NULL").withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(groups_for(n_bytes, 4 * PACK_BYTES), "pack")
 
     def candidates(pack: Pack, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows around hits, on either side, as start, hash and document."""
-        at, h, _, _ = probes(pack)
-        hit = marked(answers, h, slots, "hit") | marked(answers, h, slots, "hit2")
+        at, h, _ = pack.windows(block, ANCHOR_BASE)
+        first, of = distinct(h)
+        hit = marked(answers, h[first], slots, "hit") | marked(answers, h[first], slots, "hit2")
         around = np.zeros(len(pack.hashes), bool)
-        around[at[hit]] = True
+        around[at[hit[of]]] = True
         around = spread(around, window - block, 0)
         at, h, doc = pack.windows(window, WINDOW_BASE)
         keep = around[at]
@@ -189,22 +207,32 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
 
     def index(key: tuple, group: pa.Table) -> pa.Table:
         pack = Pack(group)
-        _, h, doc, ref = probes(pack)
-        return send(key[0].as_py(), pack.id_of[doc], h, ref, slots)
+        at, h, doc = pack.windows(block, ANCHOR_BASE)
+        first, of = distinct(h)
+        # ids rise in reading order, so the last to be put is the largest and, backwards, the smallest
+        ids, blocks = pack.id_of[doc], np.nonzero((at - pack.starts[doc]) % block == 0)[0][::-1]
+        most, back = np.empty(len(first), np.int64), np.full(len(first), -1, np.int64)
+        most[of] = ids
+        back[of[blocks]] = most[of[blocks]] - ids[blocks]
+        return send(key[0].as_py(), h[first], most, back, slots)
 
     def extend(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        if not answers.num_rows:
-            return send(0, np.empty(0, np.int64), np.empty(0, np.uint64), None, slots)
+        if not answers.num_rows or not group.num_rows:
+            return send(0, np.empty(0, np.uint64), np.empty(0, np.int64), None, slots)
         pack = Pack(group)
         _, h, doc = candidates(pack, answers)
-        return send(key[0].as_py(), pack.id_of[doc], h, None, slots)
+        first, _ = distinct(h)
+        return send(key[0].as_py(), h[first], pack.id_of[doc][first], None, slots)
 
-    def cut(_: tuple, group: pa.Table, first: pa.Table, second: pa.Table) -> pa.Table:
+    def cut(_: tuple, group: pa.Table, probed: pa.Table, compared: pa.Table) -> pa.Table:
         pack = Pack(group)
         gone = np.zeros(len(pack.hashes), bool)
-        if second.num_rows:
-            at, h, _ = candidates(pack, first)
-            gone[at[marked(second, h, slots, "hit")]] = True
+        if probed.num_rows:
+            at, h, doc = candidates(pack, probed)
+            first, of = distinct(h)
+            ids = pack.id_of[doc]
+            smaller_elsewhere = marked(compared, h[first], slots, "hit")
+            gone[at[smaller_elsewhere[of] | (ids > ids[first][of])]] = True
             gone = spread(gone, 0, window - 1)
         n_removed, kept = [], []
         for k, t in enumerate(pack.texts):
@@ -212,11 +240,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
             words = t.split()
             n_removed.append(int(mine.sum()))
             kept.append(b" ".join(words if not n_removed[-1] else [w for w, g in zip(words, mine.tolist(), strict=True) if not g]))
-        out = {"doc_id": pa.array(pack.ids, pa.int64()), "n_words": pa.array(pack.counts), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        return result(pa.array(pack.ids, pa.int64()), pack.counts.tolist(), n_removed, kept)
+
+    def result(ids: pa.Array, counts: list[int], n_removed: list[int], kept: list[bytes]) -> pa.Table:
+        out = {"doc_id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if with_text:
             out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
         return pa.table(out)
 
+    def without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a null doc_id lose nothing, and need no shuffle."""
+        for batch in slices(batches):
+            words = [t.split() for t in texts_of(batch)]
+            yield from result(batch.column("doc_id"), list(map(len, words)), [0] * len(words), list(map(b" ".join, words))).to_batches()
+
     def both(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         """cut() with the answers of both rounds in one table: the first round's have round 1."""
         of = np.array(answers.column("round").to_pylist(), np.int64)
@@ -227,7 +264,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     second = dealt.groupBy("pack").cogroup(first.groupBy("pack")).applyInArrow(extend, SENT).groupBy("slot").applyInArrow(meet_windows, ANSWER)
     answers = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(both, out)
+    cleaned = dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(both, out)
+    return cleaned.unionByName(given.where("doc_id IS NULL").mapInArrow(without_id, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
