@@ -69,9 +69,11 @@ def deal(h: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _sorted_by_slot(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(slot, kind="stable")
-    names, first = np.unique(slot[order], return_index=True)
-    return order, names, np.append(first, len(order))
+    # a stable sort of 16-bit numbers is by radix
+    order = np.argsort(slot.astype(np.uint16) if slot.max(initial=0) < 1 << 16 else slot, kind="stable")
+    in_order = slot[order]
+    first = np.nonzero(np.diff(in_order, prepend=-1))[0]
+    return order, in_order[first], np.append(first, len(order))
 
 
 def _planes(values: np.ndarray, dtype: str) -> bytes:
@@ -87,10 +89,12 @@ def _unplanes(data: bytes, n: int, dtype: str) -> np.ndarray:
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct hash, in reading order, and for each hash its number among these."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
+    in_order = h[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    firsts = order[new]
+    new[1:] = in_order[1:] != in_order[:-1]
+    starts = np.nonzero(new)[0]
+    firsts = np.minimum.reduceat(order, starts) if len(h) else order
     is_first = np.zeros(len(h), bool)
     is_first[firsts] = True
     of = np.empty(len(h), np.int64)
@@ -159,14 +163,15 @@ def answer(group: pa.Table, anchors: bool) -> pa.Table:
     return pa.table(rows, schema=pa.schema([("pack", pa.int32()), ("slot", pa.int32()), ("hit", pa.binary()), ("hit2", pa.binary())]))
 
 
-def marked(answers: pa.Table, h: np.ndarray, slots: int, column: str) -> np.ndarray:
-    """The answers of all slots, put back in the order of the hashes that were sent."""
+def marked(answers: pa.Table, h: np.ndarray, slots: int, *columns: str) -> np.ndarray:
+    """Whether any of the columns of the slots' answers is set, put back in the order of the hashes that were sent."""
     out = np.zeros(len(h), bool)
     order, names, first = _sorted_by_slot(deal(h, slots))
     where = {s: k for k, s in enumerate(names.tolist())}
-    for slot, bits in zip(answers.column("slot").to_pylist(), answers.column(column).to_pylist(), strict=True):
+    for slot, *bits in zip(*(answers.column(c).to_pylist() for c in ("slot", *columns)), strict=True):
         i = order[first[where[slot]] : first[where[slot] + 1]]
-        out[i] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(i)).astype(bool)
+        for b in bits:
+            out[i] |= np.unpackbits(np.frombuffer(b, np.uint8), count=len(i)).astype(bool)
     return out
 
 
@@ -197,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
         """The windows around hits, on either side, as start, hash and document."""
         at, h, _ = pack.windows(block, ANCHOR_BASE)
         first, of = distinct(h)
-        hit = marked(answers, h[first], slots, "hit") | marked(answers, h[first], slots, "hit2")
+        hit = marked(answers, h[first], slots, "hit", "hit2")
         around = np.zeros(len(pack.hashes), bool)
         around[at[hit[of]]] = True
         around = spread(around, window - block, 0)
