@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many leading underscores as none of the columns has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows; sizes partitions and groups, never results."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

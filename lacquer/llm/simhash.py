@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import slices, stage, table, texts_of
+from .common import slices, stage, table, texts_of, unused
 
 BITS = 64
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
@@ -167,16 +167,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """One row of docs, with all its columns, of each near-duplicate group: the one with the smallest doc_id.
 
-    A null doc_id comes after all others; of rows with the same doc_id in a group one stays.
+    A null doc_id comes after all others; of rows with the same doc_id in a group one stays. docs may
+    have any other columns, whatever their names.
     """
     columns, text_hash = docs.columns, F.xxhash64("text")
     marked = stage(fingerprints(docs, shingle, seed, keep=text_hash), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "kept"))
     distinct = stage(marked.groupBy("fp").agg(first.alias("first")), "distinct")
-    stays = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.kept").alias("_hash"))
-    numbered = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
-    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & text_hash.eqNullSafe(F.col("_hash")))
-    return found.withColumn("_nth", F.row_number().over(numbered)).where("_nth = 1").select(*columns)
+    of, same, nth = unused(columns, "id", "hash", "nth")
+    stays = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.kept").alias(same))
+    numbered = Window.partitionBy(of, same).orderBy(F.lit(0))
+    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & text_hash.eqNullSafe(F.col(same)))
+    return found.withColumn(nth, F.row_number().over(numbered)).where(F.col(nth) == 1).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

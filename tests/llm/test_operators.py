@@ -41,6 +41,9 @@ def test_empty_tables(spark, docs):
     assert language_id.identify(none, language_id.train(none)).count() == 0
     assert quality_classifier.rate(none, quality_classifier.train(none, labels)).count() == 0
     assert decontamination.contaminated(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(pages).count() == 0 and warc.round_trip(pages).count() == 0
+    assert simhash.keep_one(none).count() == quality_rules.keep_good(none).count() == pii.redact(none).count() == 0
 
 
 def test_mixing_meets_targets(docs):
@@ -194,3 +197,47 @@ def test_warc_round_trip(spark):
     assert found == Counter([(1, 2, "revisit", 3)] * 2 + [(1, 2, "response", None), (None, 0, "revisit", 2), (2, 0, "response", None), (3, 2, "response", None)])
     member = warc.write_record(1, "u", b"payload", warc.base32_sha1(b"payload"), None)
     assert warc.read_record(member)[1] == b"payload"
+
+
+def test_distinct_hashes():
+    h = np.array([5, 9, 5, 2, 9, 9, 7], np.uint64)
+    first, of = substrings.distinct(h)
+    assert first.tolist() == [0, 1, 3, 6] and of.tolist() == [0, 1, 0, 2, 1, 1, 3]
+    assert [x.tolist() for x in substrings.distinct(h[:0])] == [[], []]
+
+
+def test_repeats_of_a_hot_passage(spark):
+    """One passage in every text, at odd places, with ids out of order and packs that hold many of them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(30)]
+    ids = r.sample(range(-500, 1500), 150)
+    texts = [[word() for _ in range(r.randint(0, 9))] + passage[r.randint(0, 3) :] + [word() for _ in range(r.randint(0, 9))] for _ in ids]
+    first = {}
+    for i, w in zip(ids, texts, strict=True):
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = {i: len({j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}) for i, w in zip(ids, texts, strict=True)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, texts, strict=True)], "doc_id long, text string")
+    assert {x["doc_id"]: x["n_removed"] for x in substrings.remove_repeats(docs).collect()} == want
+
+
+def test_columns_with_clashing_names(spark):
+    names = ("_id", "_hash", "_nth", "__id", "kept", "key", "size", "range", "pack", "fp", "h", "label", "held_out", "target", "taken", "spans", "score")
+    rows = corpus()
+    docs = spark.createDataFrame([(*r[:5], *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)], "doc_id long, quality int, text string")
+    items = spark.createDataFrame([(1, "nothing like it at all in there", "x")], "item_id long, text string, doc_id string")
+    for out in (mixing.mix_sources(docs), simhash.near_duplicates(docs), substrings.remove_repeats(docs), pii.find_pii(docs), quality_rules.judge(docs), language_id.identify(docs, language_id.train(docs)), quality_classifier.rate(docs, quality_classifier.train(docs, labels)), decontamination.drop_contaminated(docs, items), pii.redact(docs)):
+        assert out.count() == len(rows)
+    for out in (simhash.keep_one(docs), quality_rules.keep_good(docs)):
+        assert out.columns == docs.columns and 0 < out.count() < len(rows)
+
+
+def test_pages_with_nulls_and_repeats(spark):
+    page = "<html><body><article><p>One &amp; only text, with a comma.</p></article></body></html>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, None, None), (2, None, "", "x"), (3, "u", "<p>" + "long words, here. " * 20000 + "</p>", "x")]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    got = Counter((r["page_id"], r["n_chars"]) for r in found)
+    assert got == Counter([(1, 30), (1, 30), (None, 0), (2, 0), (3, 20000 * 18 - 1)])
