@@ -1,4 +1,7 @@
-"""Command line: normalize, dedupe, audit, rollback and table over local files. Exit codes: 0 done, 1 bad data or files, 2 bad arguments."""
+"""Command line: normalize, dedupe, audit, rollback and table over local files; generate, evaluate and evaluate-dedupe for benchmark sets.
+
+Exit codes: 0 done, 1 bad data or files, 2 bad arguments.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 from .functions.fields import REGISTRY
 from .operators import audit, dedupe, tables
 from .operators.normalize import normalize_rows
-from .sources import files
+from .plans import evaluate, generate
+from .sources import benchmark, files
 from .sources.scratch import stage
 
 FAILED, USAGE = 1, 2
@@ -53,6 +57,13 @@ def parser() -> argparse.ArgumentParser:
     add("audit", source, out, (("--apply",), {"action": "store_true"}), (("--force",), {"action": "store_true"}))
     add("rollback", (("--cleaned",), {"required": True}), (("--backup",), {"required": True}), out)
     add("table", source, out, (("--columns",), {"type": columns}), (("--dedupe",), {"action": "store_true"}))
+    out = (("--out",), {"required": True})
+    add("generate", (("--seed",), {"type": int, "default": 42}), (("--per-field",), {"type": int, "default": 200}), (("--split-ratio",), {"type": float, "default": 0.2}), out)
+    add("evaluate", (("--impl",), {"choices": tuple(evaluate.IMPLEMENTATIONS), "default": "rules"}), (("--split",), {"choices": (*benchmark.SPLITS, "all"), "default": "heldout"}), (("--dirty-dir",), {"required": True}), out)
+    add("evaluate-dedupe", (("--split",), {"choices": benchmark.SPLITS, "default": "heldout"}), (("--adaptive",), {"action": "store_true"}), (("--clean-dir",), {"required": True}), (("--dirty-dir",), {"required": True}), out)
+    chosen = sub.choices["evaluate-dedupe"].add_mutually_exclusive_group()
+    chosen.add_argument("--threshold", type=threshold)
+    chosen.add_argument("--select-threshold", action="store_true")
     return p
 
 
@@ -75,6 +86,58 @@ def write(lines: DataFrame, out: str | None, head: tuple[str, ...] = ()) -> None
             target.close()
 
 
+def write_document(document: dict, path: Path) -> None:
+    path.write_text(json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+
+
+def as_lines(rows: DataFrame, order: tuple[str, ...] = ("_pos",)) -> DataFrame:
+    """The rows as JSON text, in an order that _pos keeps."""
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in order]), {"ignoreNullFields": "false"}).alias("text")
+    return rows.select(F.struct(*order).alias("_pos"), text)
+
+
+def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> str:
+    """generate, evaluate and evaluate-dedupe: sets and results as files in the folder --out."""
+    out = Path(a.out)
+    local = lambda folder: "file://" + str(Path(folder).resolve())
+    for folder in (getattr(a, "clean_dir", None), getattr(a, "dirty_dir", None)):
+        if folder and not Path(folder).is_dir():
+            raise Failure(f"there is no folder {folder}")
+    if a.command == "generate":
+        clean, dirty = generate.build(spark, a.per_field, a.seed, a.split_ratio)
+        dirty = stage(dirty.select("_pos", "id", "field", "value", "truth", "perturbation", "split"), "cli-dirty")
+        for name, rows in (("clean", clean), ("dirty", dirty)):
+            (out / name).mkdir(parents=True, exist_ok=True)
+            for field in benchmark.FIELDS:
+                write(as_lines(rows.where(F.col("field") == field)), str(out / name / f"{field}.jsonl"))
+        counts = generate.split_counts(dirty).orderBy("field", "split").collect()
+        return "\n".join(f"{r['field']:<9} {r['split']:<8} {r['clean']:>7} {r['dirty']:>7}" for r in counts)
+    out.mkdir(parents=True, exist_ok=True)
+    if a.command == "evaluate":
+        results = stage(evaluate.scored(benchmark.load_dirty(spark, local(a.dirty_dir), a.split), evaluate.IMPLEMENTATIONS[a.impl]), "cli-scored")
+        found = evaluate.summary(results)
+        write_document({"impl": a.impl, "split": a.split, **found}, out / f"summary-{a.impl}-{a.split}.json")
+        wrong = results.where("NOT ok").select("_pos", "id", "field", "value", "normalized", "truth", "perturbation")
+        write(as_lines(wrong), str(out / f"failures-{a.impl}-{a.split}.jsonl"))
+        return evaluate.summary_table(found)
+    group, chosen, sweep = dedupe.dedupe_adaptive if a.adaptive else dedupe.dedupe, a.threshold, None
+    sets = (local(a.clean_dir), local(a.dirty_dir))
+    if a.select_threshold:
+        chosen, scores = evaluate.threshold_sweep(benchmark.load_pairs(spark, *sets, "train"), group=group)
+        sweep = {"on_split": "train", "grid": list(evaluate.GRID), "by": "f1", "sweep": [r.asDict() for r in scores.orderBy("threshold").collect()]}
+    used = dedupe.THRESHOLD if chosen is None else chosen
+    grouped = stage(group(benchmark.load_pairs(spark, *sets, a.split), used), "cli-pairs")
+    found = evaluate.pair_summary(grouped)
+    source = "select@train" if sweep else "default" if a.threshold is None else "explicit"
+    head = {"split": a.split, "threshold": used, "threshold_source": source, "selection": sweep, "adaptive": a.adaptive, "adaptive_config": dedupe.describe_adaptive() if a.adaptive else None}
+    write_document({**head, **found}, out / f"dedupe-summary-{a.split}.json")
+    errors = evaluate.error_pairs(grouped)
+    sides = [F.struct(*[F.col(f"{c}_{n}").alias(c) for c in ("id", "value", "kind", "perturbation")]).alias(n) for n in "ab"]
+    places = [F.col("type").alias("_type"), F.col("a").alias("_a"), F.col("b").alias("_b")]
+    write(as_lines(errors.select(*places, "type", "field", *sides), ("_type", "_a", "_b")), str(out / f"dedupe-errors-{a.split}.jsonl"))
+    return evaluate.pair_table(found)
+
+
 def cleaned_lines(rows: DataFrame) -> DataFrame:
     """The lines of rows with the normalized value in place and _before on those that changed."""
     done = normalize_rows(rows)
@@ -90,6 +153,8 @@ def line_digest(lines: DataFrame, column: str) -> str:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> str:
+    if a.command in ("generate", "evaluate", "evaluate-dedupe"):
+        return run_benchmark(spark, a)
     if a.command == "normalize":
         rows = rows_of(spark, a.input, a.field is None)
         done = stage(normalize_rows(rows, a.field), "cli-normalized")

@@ -64,6 +64,10 @@ def scored(rows: DataFrame, implementation=None) -> DataFrame:
     return out.withColumn("ok", F.col("normalized").eqNullSafe(F.col("truth")))
 
 
+#: What can be scored: values as they are, the truth itself, and the normalizers.
+IMPLEMENTATIONS = {"stub": lambda rows: rows.withColumn("normalized", F.col("value")), "perfect": lambda rows: rows.withColumn("normalized", F.col("truth")), "rules": normalize_rows}
+
+
 def rollups(results: DataFrame) -> DataFrame:
     """(field, perturbation, correct, total, rate) by both, by either and in all, from one pass; null stands for all."""
     grouped = results.groupingSets([[F.col("field"), F.col("perturbation")], [F.col("field")], [F.col("perturbation")], []], "field", "perturbation")
@@ -97,16 +101,75 @@ def pair_scores(grouped: DataFrame) -> DataFrame:
     return with_rates(counts.unionByName(total))
 
 
+def _first_errors(grouped: DataFrame, key: str, other: str, most: int, kind: str) -> DataFrame:
+    """The first `most` pairs, by positions, of rows equal in key and different in other.
+
+    Whether a row has a partner after it follows from the last positions of its key's two latest values
+    of other. So only the first rows that have one are paired, `most` of them at most, and no group's
+    pairs are made.
+    """
+    cells = grouped.groupBy(key, other).agg(F.max("_pos").alias("last"))
+    latest = cells.groupBy(key).agg(F.max(F.struct("last", other)).alias("latest"))
+    second = cells.join(latest, key).where(F.col(other) != F.col(f"latest.{other}")).groupBy(key).agg(F.max("last").alias("second"))
+    reach = F.when(F.col(other) != F.col(f"latest.{other}"), F.col("latest.last")).otherwise(F.col("second"))
+    brief = [c for c in ("id", "value", "kind", "perturbation") if c in grouped.columns]
+    side = lambda df, n: df.select(F.col("_pos").alias(n), F.col(key).alias(f"key_{n}"), F.col(other).alias(f"other_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in (*brief, "field")])
+    first = grouped.join(latest, key).join(second, key).where(reach > F.col("_pos")).orderBy("_pos").limit(most)
+    a, b = side(first.select(grouped.columns), "a"), side(grouped, "b")
+    pairs = b.join(F.broadcast(a), F.col("key_a") == F.col("key_b")).where("a < b AND other_a <> other_b").orderBy("a", "b").limit(most)
+    return pairs.select(F.lit(kind).alias("type"), F.col("field_a").alias("field"), "a", "b", *[f"{c}_{n}" for n in "ab" for c in brief])
+
+
 def error_pairs(grouped: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
-    """The first `most` pairs, by positions, of each kind of error: missed ones share an id, wrong ones a group.
+    """The first `most` pairs of each kind of error: missed ones share an id, wrong ones a group.
 
-    A row's partner is sought within its id or group among other groups or ids only.
+    grouped has id, field, value, _pos and _group; kind and perturbation are given too, where there are any.
     """
-    side = lambda n: grouped.select(F.col("_pos").alias(n), F.col("id").alias("id_" + n), F.col("_group").alias("group_" + n), F.col("value").alias("value_" + n), F.col("field").alias("field_" + n))
-    a, b = side("a"), side("b")
-    missed = a.join(b, F.col("id_a") == F.col("id_b")).where("a < b AND group_a <> group_b").orderBy("a", "b").limit(most).withColumn("type", F.lit("missed"))
-    wrong = a.join(b, F.col("group_a") == F.col("group_b")).where("a < b AND id_a <> id_b").orderBy("a", "b").limit(most).withColumn("type", F.lit("wrong_merge"))
-    return missed.unionByName(wrong).select("type", F.col("field_a").alias("field"), "a", "b", "id_a", "value_a", "id_b", "value_b")
+    return _first_errors(grouped, "id", "_group", most, "missed").unionByName(_first_errors(grouped, "_group", "id", most, "wrong_merge"))
+
+
+def summary(results: DataFrame) -> dict:
+    """The shares right in all, by field, by perturbation and by both, of scored() rows; the driver gets a row a cell."""
+    out: dict = {"total": {"correct": 0, "total": 0, "rate": 0.0}, "by_field": {}, "by_perturbation": {}, "by_field_perturbation": {}}
+    for r in rollups(results).collect():
+        one = {k: r[k] for k in ("correct", "total", "rate")}
+        # a bit of level is set for each column that the row is over all of
+        if r["level"] == 3:
+            out["total"] = one
+        elif r["level"] == 1:
+            out["by_field"][r["field"]] = one
+        elif r["level"] == 2:
+            out["by_perturbation"][r["perturbation"]] = one
+        else:
+            out["by_field_perturbation"].setdefault(r["field"], {})[r["perturbation"]] = one
+    return out
+
+
+def summary_table(found: dict) -> str:
+    """The shares as text: a line a field, a column a perturbation."""
+    kinds = sorted(found["by_perturbation"])
+    rate = lambda x: f"{x['rate']:.2%}" if x else "-"
+    lines = [("field", *kinds, "all")]
+    for f in sorted(found["by_field"]):
+        lines.append((f, *[rate(found["by_field_perturbation"][f].get(k)) for k in kinds], rate(found["by_field"][f])))
+    lines.append(("all", *[rate(found["by_perturbation"][k]) for k in kinds], rate(found["total"])))
+    return "\n".join(" ".join(f"{cell:>9}" for cell in line) for line in lines)
+
+
+def pair_summary(grouped: DataFrame) -> dict:
+    """Counts of rows, groups and wrong pairs, and precision, recall and f1 in all and by field."""
+    keys = ("tp", "true_pairs", "pred_pairs", "precision", "recall", "f1")
+    rates = {r["field"]: {k: r[k] for k in keys} for r in pair_scores(grouped).collect()}
+    total = rates.pop(None)
+    n = grouped.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("true_groups"), F.count_distinct("_group").alias("pred_groups")).first().asDict()
+    return {**n, "missed_pairs": total["true_pairs"] - total["tp"], "wrong_merge_pairs": total["pred_pairs"] - total["tp"], "total": total, "by_field": rates}
+
+
+def pair_table(found: dict) -> str:
+    lines = [("field", "recall", "precision", "f1", "tp", "true", "pred")]
+    for name, x in [*sorted(found["by_field"].items()), ("all", found["total"])]:
+        lines.append((name, *[f"{x[k]:.2%}" for k in ("recall", "precision", "f1")], *[str(x[k]) for k in ("tp", "true_pairs", "pred_pairs")]))
+    return "\n".join(" ".join(f"{cell:>9}" for cell in line) for line in lines)
 
 
 def threshold_sweep(train: DataFrame, grid=GRID, group=dd.dedupe) -> tuple[float, DataFrame]:
