@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..operators import audit, dedupe, routing, tables
 from ..operators.normalize import normalize_rows
-from ..sources import files
+from ..sources import benchmark, files
 from ..sources.scratch import scratch_path, stage
-from . import evaluate
+from . import evaluate, generate
 
 CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 DAY = "substr(CAST(o_orderdate AS {str}), 1, 10)"
@@ -261,6 +261,40 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path + "-out").select("id", "value", "normalized", "confidence")
 
 
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean values of every field: how many, how many distinct, and how many that the normalizers call clean."""
+    rows = stage(normalize_rows(generate.clean_values(spark, DRAWN)), "drawn")
+    return rows.groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("value").alias("different"), F.count_if((F.col("confidence") == 0.95) & (F.col("normalized") == F.col("value"))).alias("clean"))
+
+
+def drawn_and_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of drawn values that come back, for the cells in which all or none have to."""
+    spoilt = stage(generate.dirty_values(stage(generate.clean_values(spark, DRAWN), "drawn")), "spoilt")
+    cells = stage(evaluate.rollups(stage(evaluate.scored(spoilt), "scored")), "cells")
+    sure = F.col("perturbation").isin("space", "sep", "noise") | F.col("field").isin("phone", "amount", "idcard") | F.concat_ws("/", "field", "perturbation").isin("person/abbrev", "email/abbrev", "date/typo", "company/typo")
+    return cells.where(F.col("field").isNotNull() & F.col("perturbation").isNotNull() & sure).select("field", "perturbation", "correct", "total")
+
+
+def sets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn sets, written and read again as rows for scoring duplicates, counted."""
+    path = scratch_path(spark, "sets")
+    clean, spoilt = generate.build(spark, DRAWN)
+    benchmark.write_sets(clean, path + "/clean", benchmark.PAIR_FIELDS)
+    benchmark.write_sets(spoilt, path + "/dirty", benchmark.PAIR_FIELDS)
+    parts = [benchmark.load_pairs(spark, path + "/clean", path + "/dirty", s) for s in benchmark.SPLITS]
+    return parts[0].unionByName(parts[1]).groupBy("field", "kind", "split").agg(F.count("*").alias("n"))
+
+
+def wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    grouped = stage(dedupe.dedupe_exact(spark.sql(PAIR_ROWS.format(**SPARK))), "pair-groups")
+    return evaluate.error_pairs(grouped).select("type", "a", "b", "id_a", "id_b", "value_a", "value_b")
+
+
+DRAWN = 150
+FIELD_VALUES = ", ".join(f"('{f}')" for f in generate.FIELDS)
+WRONG = "SELECT '{kind}' AS type, a._pos AS a, b._pos AS b, a.id AS id_a, b.id AS id_b, a.value AS value_a, b.value AS value_b FROM r a JOIN r b ON a.{same} = b.{same} AND a.{other} <> b.{other} AND a._pos < b._pos ORDER BY a._pos, b._pos LIMIT 50"
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -296,3 +330,7 @@ add("jsonl_roundtrip", lines_round_trip, f"SELECT id, field, value, '甲' AS mor
 add("csv_roundtrip", sheet_round_trip, f"SELECT c0, c1, c2, c3 FROM ({sheet(DUCK)}) s")
 add("stream_normalize", streamed, f"SELECT id, value, want AS normalized, sure AS confidence FROM ({cases(DUCK, ('phone',))}) c")
 add("table_dedupe", sheet_deduped, f"SELECT min(_pos) AS _pos FROM ({FIRMS.format(**DUCK)}) f GROUP BY replace(value, '嘉兴', '')")
+add("generate_clean", drawn, f"SELECT field, {DRAWN}::BIGINT AS n, {DRAWN}::BIGINT AS different, {DRAWN}::BIGINT AS clean FROM (VALUES {FIELD_VALUES}) f(field)")
+add("generate_variants", drawn_and_spoilt, f"SELECT field, p AS perturbation, CASE WHEN p = 'abbrev' AND field IN ('person', 'email') OR p = 'sep' AND field = 'email' THEN 0 ELSE {DRAWN} END::BIGINT AS correct, {DRAWN}::BIGINT AS total FROM (VALUES {FIELD_VALUES}) f(field), (VALUES ('space'), ('typo'), ('abbrev'), ('sep'), ('noise')) v(p) WHERE p IN ('space', 'sep', 'noise') OR field IN ('phone', 'amount', 'idcard') OR field || '/' || p IN ('person/abbrev', 'email/abbrev', 'date/typo', 'company/typo')")
+add("benchmark_sets", sets_round_trip, f"SELECT field, kind, split, (CASE split WHEN 'heldout' THEN {DRAWN} // 5 ELSE {DRAWN} - {DRAWN} // 5 END * CASE kind WHEN 'clean' THEN 1 ELSE 5 END)::BIGINT AS n FROM (VALUES ('person'), ('address'), ('phone'), ('company')) f(field), (VALUES ('clean'), ('dirty')) k(kind), (VALUES ('heldout'), ('train')) s(split)")
+add("eval_error_pairs", wrong_pairs, f"WITH r AS ({PAIR_ROWS.format(**DUCK)}) (" + WRONG.format(kind="missed", same="id", other="value") + ") UNION ALL (" + WRONG.format(kind="wrong_merge", same="value", other="id") + ")")
