@@ -5,6 +5,9 @@ Two strings that share at least k characters share one among the rarest len - k
 they must share follows from the threshold and the lengths: of the shorter one at least t * len, of the
 longer one at least t / (2 - t) * len. A window of the longer string may have the shorter one's matches
 anywhere, so partial similarity looks at all characters of the longer one.
+
+A common subsequence is no longer than the numbered characters that both strings have, so pairs that
+share too few of them for the threshold are dropped where they meet, before any shuffle or scoring.
 """
 
 from __future__ import annotations
@@ -34,10 +37,13 @@ def candidate_pairs(values: DataFrame, threshold: float, partial: bool = False,
     loose = threshold / (2 - threshold)
     initial = [F.substring("value", 1, 1).alias("initial")] if same_initial else []
     key = ["field", "char", *(["initial"] if same_initial else [])]
-    short = ranked.select("field", F.col("vid").alias("a"), F.col("value").alias("va"), F.col("len").alias("la"), *initial, F.explode(F.slice("chars", 1, prefix_size(F.col("len"), loose if partial else threshold).cast("int"))).alias("char"))
+    short = ranked.select("field", F.col("vid").alias("a"), F.col("value").alias("va"), F.col("len").alias("la"), F.col("chars").alias("ca"), *initial, F.explode(F.slice("chars", 1, prefix_size(F.col("len"), loose if partial else threshold).cast("int"))).alias("char"))
     reach = F.col("len") if partial else prefix_size(F.col("len"), loose)
-    long = ranked.select("field", F.col("vid").alias("b"), F.col("value").alias("vb"), F.col("len").alias("lb"), *initial, F.explode(F.slice("chars", 1, reach.cast("int"))).alias("char"))
+    long = ranked.select("field", F.col("vid").alias("b"), F.col("value").alias("vb"), F.col("len").alias("lb"), F.col("chars").alias("cb"), *initial, F.explode(F.slice("chars", 1, reach.cast("int"))).alias("char"))
     pairs = short.join(long, key).where("la < lb OR (la = lb AND a < b)")
     if not partial:
         pairs = pairs.where(F.col("la") >= F.col("lb") * loose - EPSILON)
+    # of the ratio 2 * common / (la + lb), or of that with a window, which is as long as what it shares at least
+    needed = F.col("la") * loose if partial else (F.col("la") + F.col("lb")) * (threshold / 2)
+    pairs = pairs.where(F.size(F.array_intersect("ca", "cb")) >= needed - EPSILON)
     return pairs.select("field", "a", "b", "va", "vb").distinct()
