@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-9
+#: Parts that the values with one character are dealt to, so that a common character is not one task's.
+SALTS = 4
 
 
 def prefix_size(length: Column, share: float) -> Column:
@@ -36,10 +38,15 @@ def candidate_pairs(values: DataFrame, threshold: float, partial: bool = False,
     ranked = ranked_characters(values)
     loose = threshold / (2 - threshold)
     initial = [F.substring("value", 1, 1).alias("initial")] if same_initial else []
-    key = ["field", "char", *(["initial"] if same_initial else [])]
+    key = ["field", "char", "salt", *(["initial"] if same_initial else [])]
     short = ranked.select("field", F.col("vid").alias("a"), F.col("value").alias("va"), F.col("len").alias("la"), F.col("chars").alias("ca"), *initial, F.explode(F.slice("chars", 1, prefix_size(F.col("len"), loose if partial else threshold).cast("int"))).alias("char"))
     reach = F.col("len") if partial else prefix_size(F.col("len"), loose)
     long = ranked.select("field", F.col("vid").alias("b"), F.col("value").alias("vb"), F.col("len").alias("lb"), F.col("chars").alias("cb"), *initial, F.explode(F.slice("chars", 1, reach.cast("int"))).alias("char"))
+    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    long = long.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    # few bytes can be many pairs, so partitions are not merged by their bytes
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short, long = short.repartition(n, *key), long.repartition(n, *key)
     pairs = short.join(long, key).where("la < lb OR (la = lb AND a < b)")
     if not partial:
         pairs = pairs.where(F.col("la") >= F.col("lb") * loose - EPSILON)
