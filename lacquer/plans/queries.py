@@ -198,7 +198,7 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rollups(evaluate.scored(rows.withColumn("truth", shifted))).select("field", "perturbation", "correct", "total", "rate")
 
 
-PAIR_ROWS = "SELECT CAST(c_custkey AS BIGINT) AS _pos, CAST(c_custkey % 100 AS {str}) AS id, 'code' AS field, md5(CAST(c_custkey % 150 AS {str})) AS value, 'train' AS split FROM customer WHERE c_custkey <= 600"
+PAIR_ROWS = "SELECT CAST(c_custkey AS BIGINT) AS _pos, CAST(c_custkey % 100 AS {str}) AS id, 'code' AS field, md5(CAST(c_custkey % 150 AS {str})) AS value, 'train' AS split FROM customer"
 
 
 def pair_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ add("table_clean", sheet_clean, f"SELECT _pos, c0, w1 AS c1, w2 AS c2, c3 FROM (
 add("table_report", sheet_report, f"SELECT 'phone' AS field, count(*) FILTER (c1 <> w1) AS changed, count(*) FILTER (c1 = w1) AS unchanged, count(*) FILTER (s1 < 0.2) AS hitl FROM ({sheet(DUCK)}) s UNION ALL SELECT 'email', count(*) FILTER (c2 <> w2), count(*) FILTER (c2 = w2), count(*) FILTER (s2 < 0.2) FROM ({sheet(DUCK)}) s")
 add("eval_grouping_sets", evaluated, f"SELECT field, 'v' || variant AS perturbation, count(*) FILTER (variant <> 4) AS correct, count(*) AS total, round(count(*) FILTER (variant <> 4) / count(*), 6) AS rate FROM ({cases(DUCK)}) c GROUP BY GROUPING SETS ((field, perturbation), (field), (perturbation), ())")
 add("eval_pair_prf", pair_scored, PAIR_SQL.format(rows=PAIR_ROWS.format(**DUCK)) + f"SELECT field, {RATES} FROM rates UNION ALL SELECT NULL, {RATES} FROM rates")
-add("eval_threshold_sweep", swept, PAIR_SQL.format(rows=PAIR_ROWS.format(**DUCK) + " AND c_custkey <= 200") + f"SELECT t::DOUBLE AS threshold, {RATES} FROM rates, (VALUES (0.9), (0.95)) v(t)")
+add("eval_threshold_sweep", swept, PAIR_SQL.format(rows=PAIR_ROWS.format(**DUCK) + " WHERE c_custkey <= 200") + f"SELECT t::DOUBLE AS threshold, {RATES} FROM rates, (VALUES (0.9), (0.95)) v(t)")
 add("split_heldout", split_held_out, f"SELECT field, id, CASE WHEN row_number() OVER (PARTITION BY field ORDER BY ('0x' || substr(md5('42:' || id), 1, 15))::BIGINT, id) <= round(count(*) OVER (PARTITION BY field) * 0.2) THEN 'heldout' ELSE 'train' END AS split FROM ({cases(DUCK, ('person', 'phone', 'company'))}) c")
 add("perturb_variants", perturbed_back, f"SELECT field, p AS perturbation, count(*) AS correct, count(*) AS total FROM ({cases(DUCK, ('phone', 'idcard'))}) c, (VALUES ('space'), ('sep'), ('noise')) v(p) WHERE sure > 0.1 GROUP BY ALL")
 add("jsonl_roundtrip", lines_round_trip, f"SELECT id, field, value, '甲' AS more, want AS normalized, sure AS confidence FROM ({cases(DUCK, ('phone', 'amount'))}) c")
