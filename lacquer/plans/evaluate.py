@@ -178,8 +178,9 @@ def threshold_sweep(train: DataFrame, grid=GRID, group=dd.dedupe) -> tuple[float
         raise ValueError("thresholds are chosen on train rows only, and on some")
     out = None
     for k, t in enumerate(grid):
-        row = pair_scores(group(train, t)).where("field IS NULL").select(F.lit(t).alias("threshold"), F.lit(k).alias("nth"), "tp", "true_pairs", "pred_pairs", "precision", "recall", "f1")
+        # staged one by one, so that the driver plans one threshold at a time
+        scores = pair_scores(stage(group(train, t), "sweep-groups")).where("field IS NULL")
+        row = stage(scores.select(F.lit(t).alias("threshold"), F.lit(k).alias("nth"), "tp", "true_pairs", "pred_pairs", "precision", "recall", "f1"), "sweep")
         out = row if out is None else out.unionByName(row)
-    sweep = stage(out, "sweep")
-    best = sweep.orderBy(F.desc("f1"), "nth").first()["threshold"]
-    return best, sweep.drop("nth")
+    best = out.orderBy(F.desc("f1"), "nth").first()["threshold"]
+    return best, out.drop("nth")

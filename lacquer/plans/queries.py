@@ -206,11 +206,27 @@ def pair_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pair_scores(dedupe.dedupe_exact(spark.sql(PAIR_ROWS.format(**SPARK))))
 
 
+#: Ten characters from a key's fifth part, each of a set of its own; a prime of keys apart, two keys share one of them.
+PRIMES = (1999, 1997, 1993, 1987, 1979, 1973, 1951, 1949, 1933, 1931)
+MARKS = [f"substr('{''.join(chr(0x4E00 + 2000 * j + i) for i in range(p))}', CAST(c_custkey {{div}} 5 % {p} AS INT) + 1, 1)" for j, p in enumerate(PRIMES)]
+#: (value, the grid's highest threshold at which it joins the first variant)
+SWEPT = [("h || i || j", 1.0), ("h || i || j || 'A'", 0.95), ("h || i || 'B'", 0.9), ("h || i || 'CD'", 0.85), ("h || 'EF'", 0.8)]
+SWEEP_ROWS = f"SELECT CAST(c_custkey AS BIGINT) AS _pos, CAST(c_custkey {{div}} 4 AS {{str}}) AS id, 'code' AS field, CASE CAST(c_custkey % 5 AS INT) {' '.join(f'WHEN {v} THEN {text}' for v, (text, _) in enumerate(SWEPT))} END AS value, 'train' AS split FROM (SELECT c_custkey, {' || '.join(MARKS[:8])} AS h, {MARKS[8]} AS i, {MARKS[9]} AS j FROM customer) m"
+
+
 def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    return evaluate.threshold_sweep(spark.sql(PAIR_ROWS.format(**SPARK)).where("_pos <= 200"), (0.9, 0.95))[1]
+    return evaluate.threshold_sweep(stage(spark.sql(SWEEP_ROWS.format(**SPARK)), "sweep-rows"))[1]
 
 
+SWEEP_SQL = f"""
+WITH r AS (SELECT t::DOUBLE AS threshold, c_custkey // 4 AS id, c_custkey // 5 * 5 + CASE WHEN CASE c_custkey % 5 {' '.join(f'WHEN {v} THEN {near}' for v, (_, near) in enumerate(SWEPT))} END >= t THEN 0 ELSE c_custkey % 5 END AS value FROM customer, (VALUES {', '.join(f'({t})' for t in evaluate.GRID)}) v(t)),
+cells AS (SELECT threshold, id, value, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT threshold, sum(n * (n - 1) // 2)::BIGINT AS tp FROM cells GROUP BY threshold),
+a AS (SELECT threshold, sum(n * (n - 1) // 2)::BIGINT AS true_pairs FROM (SELECT threshold, sum(n) AS n FROM cells GROUP BY threshold, id) GROUP BY threshold),
+b AS (SELECT threshold, sum(n * (n - 1) // 2)::BIGINT AS pred_pairs FROM (SELECT threshold, sum(n) AS n FROM cells GROUP BY threshold, value) GROUP BY threshold),
+rates AS (SELECT *, CASE WHEN pred_pairs > 0 THEN tp / pred_pairs ELSE 0.0 END AS p, CASE WHEN true_pairs > 0 THEN tp / true_pairs ELSE 0.0 END AS r FROM s JOIN a USING (threshold) JOIN b USING (threshold))
+"""
 PAIR_SQL = """
 WITH r AS ({rows}), cells AS (SELECT id, value, count(*) AS n FROM r GROUP BY ALL),
 s AS (SELECT 'code' AS field, (SELECT sum(n * (n - 1) // 2) FROM cells)::BIGINT AS tp, (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY id))::BIGINT AS true_pairs, (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY value))::BIGINT AS pred_pairs),
@@ -323,7 +339,7 @@ add("table_clean", sheet_clean, f"SELECT _pos, c0, w1 AS c1, w2 AS c2, c3 FROM (
 add("table_report", sheet_report, f"SELECT 'phone' AS field, count(*) FILTER (c1 <> w1) AS changed, count(*) FILTER (c1 = w1) AS unchanged, count(*) FILTER (s1 < 0.2) AS hitl FROM ({sheet(DUCK)}) s UNION ALL SELECT 'email', count(*) FILTER (c2 <> w2), count(*) FILTER (c2 = w2), count(*) FILTER (s2 < 0.2) FROM ({sheet(DUCK)}) s")
 add("eval_grouping_sets", evaluated, f"SELECT field, 'v' || variant AS perturbation, count(*) FILTER (variant <> 4) AS correct, count(*) AS total, round(count(*) FILTER (variant <> 4) / count(*), 6) AS rate FROM ({cases(DUCK)}) c GROUP BY GROUPING SETS ((field, perturbation), (field), (perturbation), ())")
 add("eval_pair_prf", pair_scored, PAIR_SQL.format(rows=PAIR_ROWS.format(**DUCK)) + f"SELECT field, {RATES} FROM rates UNION ALL SELECT NULL, {RATES} FROM rates")
-add("eval_threshold_sweep", swept, PAIR_SQL.format(rows=PAIR_ROWS.format(**DUCK) + " WHERE c_custkey <= 200") + f"SELECT t::DOUBLE AS threshold, {RATES} FROM rates, (VALUES (0.9), (0.95)) v(t)")
+add("eval_threshold_sweep", swept, SWEEP_SQL + f"SELECT threshold, {RATES} FROM rates")
 add("split_heldout", split_held_out, f"SELECT field, id, CASE WHEN row_number() OVER (PARTITION BY field ORDER BY ('0x' || substr(md5('42:' || id), 1, 15))::BIGINT, id) <= round(count(*) OVER (PARTITION BY field) * 0.2) THEN 'heldout' ELSE 'train' END AS split FROM ({cases(DUCK, ('person', 'phone', 'company'))}) c")
 add("perturb_variants", perturbed_back, f"SELECT field, p AS perturbation, count(*) AS correct, count(*) AS total FROM ({cases(DUCK, ('phone', 'idcard'))}) c, (VALUES ('space'), ('sep'), ('noise')) v(p) WHERE sure > 0.1 GROUP BY ALL")
 add("jsonl_roundtrip", lines_round_trip, f"SELECT id, field, value, '甲' AS more, want AS normalized, sure AS confidence FROM ({cases(DUCK, ('phone', 'amount'))}) c")

@@ -3,7 +3,9 @@
 from hashlib import md5
 from itertools import combinations
 
-from lacquer.plans.queries import QUERIES
+from lacquer.functions import similarity
+from lacquer.plans import evaluate
+from lacquer.plans.queries import QUERIES, SPARK, SWEEP_ROWS
 
 
 def write_customers(spark, folder, first, last):
@@ -22,3 +24,22 @@ def test_pair_queries_take_all_customers(spark, tmp_path):
         rows = [r for r in errors if r["type"] == kind]
         assert sorted((r["a"], r["b"]) for r in rows) == sorted(want)[:50]
         assert all(r["value_b"] == md5(str(r["b"] % 150).encode()).hexdigest() for r in rows)
+
+
+def test_the_sweep_takes_all_customers_and_the_whole_grid(spark, tmp_path):
+    sf_dir = write_customers(spark, tmp_path, 200, 299)
+    swept = {r["threshold"]: (r["tp"], r["true_pairs"], r["pred_pairs"]) for r in QUERIES["eval_threshold_sweep"](spark, sf_dir).collect()}
+    rows = spark.sql(SWEEP_ROWS.format(**SPARK)).orderBy("_pos").collect()
+    assert len({r["value"] for r in rows}) == 100
+    pairs = list(combinations(range(100), 2))
+    scores = {(a, b): similarity.ratio(rows[a]["value"], rows[b]["value"]) for a, b in pairs}
+    true = {(a, b) for a, b in pairs if rows[a]["id"] == rows[b]["id"]}
+    want = {}
+    for t in evaluate.GRID:
+        group = list(range(100))
+        for (a, b), score in scores.items():
+            if score >= t:
+                group = [group[a] if g == group[b] else g for g in group]
+        same = {(a, b) for a, b in pairs if group[a] == group[b]}
+        want[t] = (len(same & true), len(true), len(same))
+    assert swept == want and len({w[2] for w in want.values()}) == len(evaluate.GRID)
