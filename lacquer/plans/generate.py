@@ -20,11 +20,7 @@ from .evaluate import PERTURBATIONS, split_rows
 
 # The words that clean values are made of.
 GIVEN_UNREPAIRED = d.pairs("丽莉 军君 杰捷 峰锋 慧惠 鑫馨 萍苹 佳家 云芸 月玥")
-REGIONS = {
-    "北京市": "", "上海市": "", "河北省": "石家庄 唐山 保定 邯郸", "山西省": "太原 大同 运城", "辽宁省": "沈阳 大连 鞍山", "江苏省": "南京 苏州 无锡 徐州", "浙江省": "杭州 宁波 温州 绍兴",
-    "安徽省": "合肥 芜湖 安庆", "福建省": "福州 厦门 泉州", "山东省": "济南 青岛 烟台 临沂", "河南省": "郑州 洛阳 开封", "湖北省": "武汉 宜昌 荆州", "湖南省": "长沙 株洲 衡阳",
-    "广东省": "广州 深圳 佛山 惠州", "四川省": "成都", "贵州省": "贵阳", "陕西省": "西安", "广西壮族自治区": "南宁 梧州",
-}
+REGIONS = {d.PROVINCES[p]: d.CITIES_OF.get(p, "") for p in d.PROVINCES if p not in ("香港", "澳门")}
 DISTRICTS = "城东区 城西区 城南区 城北区 河东区 河西区 江南区 江北区 滨江区 高新区 市中区 新城区 中山区 鼓楼区".split()
 ROADS = "人民路 中山路 解放路 建设路 新华路 长江路 文化路 和平路 青年路 学院路 花园路 朝阳路 胜利路 振兴路 世纪大道 科技大道".split()
 BRANDS = "嘉禾 恒信 天工 明远 华夏 启明 博远 汇通 星河 蓝海 绿洲 磐石 宏图 万邦 精诚 昌隆 广厦 润泽 开元 鼎盛 清源 鹏程 德胜 康泰 利丰 三江".split()

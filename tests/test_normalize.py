@@ -1,5 +1,6 @@
 import pytest
 
+from lacquer.functions import dictionaries as d
 from lacquer.functions import similarity
 from lacquer.operators import audit, dedupe, routing, tables
 from lacquer.operators.normalize import normalize_rows
@@ -54,6 +55,17 @@ def test_golden_values(spark):
         assert (r["normalized"], r["confidence"]) == (rows[r["i"]][2], float(rows[r["i"]][3])), rows[r["i"]]
 
 
+def test_all_city_names_are_known(spark):
+    """Of the provinces that had few names: regions completed, and typos repaired in them."""
+    want = {
+        "四川绵阳涪城区长虹路1号": "四川省绵阳市涪城区长虹路1号", "内蒙古包头昆都仑区1号": "内蒙古自治区包头市昆都仑区1号", "贵州遵义红花岗区1号": "贵州省遵义市红花岗区1号",
+        "广西壮族自治区柳洲市城中区1号": "广西壮族自治区柳州市城中区1号", "广西壮族自治区钦洲市钦南区1号": "广西壮族自治区钦州市钦南区1号",
+    }
+    rows = normalize_rows(spark.createDataFrame([("address", v) for v in want], "field string, value string")).collect()
+    assert {r["value"]: (r["normalized"], r["confidence"]) for r in rows} == {v: (w, 0.7) for v, w in want.items()}
+    assert len(d.CITIES) == 345
+
+
 def test_null_is_not_text(spark):
     r = normalize_rows(spark.createDataFrame([("phone", None)], "field string, value string")).first()
     assert r["normalized"] is None and r["confidence"] == 0.0
