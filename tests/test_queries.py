@@ -43,3 +43,10 @@ def test_the_sweep_takes_all_customers_and_the_whole_grid(spark, tmp_path):
         same = {(a, b) for a, b in pairs if group[a] == group[b]}
         want[t] = (len(same & true), len(true), len(same))
     assert swept == want and len({w[2] for w in want.values()}) == len(evaluate.GRID)
+
+
+def test_plain_duplicates_take_all_customers(spark, tmp_path):
+    sf_dir = write_customers(spark, tmp_path, 600, 619)
+    found = QUERIES["dedupe_plain"](spark, sf_dir).orderBy("_pos").collect()
+    assert [(r["_pos"], r["_group"]) for r in found] == [(k, (k - 600) // 2) for k in range(600, 620)]
+    assert {r["value"].endswith("z") for r in found} == {True, False}
