@@ -1,15 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-Each block of text has a path of tags from the root. Over a page, the blocks of a path give its text
-length per block, its punctuation and the share of text in links; these ratios, smoothed along the
-page and fused with the unsmoothed ones, are held against a threshold from their spread. The element
-that holds most of the text of the paths above it is the container, and its blocks are the main text,
-but for parts that are marked as something else (navigation, adverts, notices, comments and so on).
+Each block of text has a path of tags from the root. Over a page, the blocks of a path give its ratios:
+characters outside links per block, raised by punctuation. A path's ratio is fused with that of the
+paths beside it (those with the same parent) and with the ratios of the blocks around its blocks,
+smoothed along the page by a bell curve; what names say of the path is one more factor. A path is
+content if its fused ratio reaches a share of the page's mean, and the main text is the blocks of the
+content paths. Nothing else decides on a block.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,25 +49,39 @@ LAYOUT_NAMES = frozenset("has with no without content main article entry post st
 MAIN_NAMES = frozenset("content main article entry post story articlebody".split())
 MAIN_TAGS = frozenset("article main".split())
 WHOLE = frozenset("html body article main".split())
+#: Tags that only hold blocks of a flow; without a name they are no step of a path.
+FLOW = frozenset("ul ol dl table thead tbody tfoot tr".split())
 
-#: The threshold on fused ratios, in standard deviations of the ratios along the page.
-SPREAD = 0.5
-#: The share of selected text that the container holds.
-MAJORITY = 0.8
+#: What names make of a ratio: those of other parts, and those of main text.
+OTHER_FACTOR, MAIN_FACTOR = 0.02, 2.0
+#: Exponents of the ratio of a path, of the paths beside it and of the blocks around it.
+OWN, BESIDE, AROUND = 0.4, 0.3, 0.3
+#: Weights of the blocks 0, 1, 2, ... places away: a bell curve.
+BELL = [math.exp(-(k * k) / 4.5) for k in range(5)]
+#: The share of the mean of fused ratios, and that of plain ratios, that a path has to reach. Means are over characters.
+SHARE, PLAIN_SHARE = 0.4, 0.1
 
 
 class Page:
-    """Elements and blocks of text of a page, in page order. Elements and paths are numbered from 0, the root."""
+    """The blocks of text of a page, in page order, and its paths, numbered from 0, the root."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.main = ["#root"], [-1], [False]
         self.paths: dict[tuple[int, str], int] = {}
-        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, element, path, characters in links, other
+        self.parent, self.heading, self.names = [-1], [False], [1.0]
+        self.blocks: list[tuple[str, int, int]] = []  # text, path, characters in links
         self._parse(source)
 
+    def _path(self, parent: int, label: str, heading: bool, names: float) -> int:
+        path = self.paths.setdefault((parent, label), len(self.parent))
+        if path == len(self.parent):
+            self.parent.append(parent)
+            self.heading.append(heading)
+            self.names.append(names)
+        return path
+
     def _parse(self, source: str) -> None:
-        # name, element, path, other, inside main text, block
-        stack: list[tuple[str, int, int, bool, bool, bool]] = [("#root", 0, 0, False, False, True)]
+        # name, path, marked as other, inside main text, block, hidden
+        stack: list[tuple[str, int, bool, bool, bool, bool]] = [("#root", 0, False, False, True, False)]
         open_tags: dict[str, int] = {}
         text: list[str] = []
         links = link_chars = at = 0
@@ -74,9 +90,8 @@ class Page:
             nonlocal link_chars
             if text:
                 words = " ".join(html.unescape("".join(text)).split())
-                if words:
-                    holder = next(s for s in reversed(stack) if s[5])
-                    self.blocks.append((words, holder[1], holder[2], min(link_chars, len(words)), stack[-1][3]))
+                if words and not stack[-1][5]:
+                    self.blocks.append((words, stack[-1][1], min(link_chars, len(words))))
                 text.clear()
             link_chars = 0
 
@@ -86,10 +101,14 @@ class Page:
             if name == "a":
                 links -= 1
             open_tags[name] -= 1
-            if stack[-1][5] or stack[-1][3] != stack[-2][3]:
+            if stack[-1][4]:
                 flush()
             stack.pop()
 
+        def pop_to(k: int) -> None:
+            while len(stack) > k:
+                pop()
+
         while True:
             m = TAG.search(source, at)
             piece = source[at : m.start()] if m else source[at:]
@@ -128,40 +147,38 @@ class Page:
                 while stack[k][0] != "p" and stack[k][0] not in P_SCOPE and k:
                     k -= 1
                 if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
+                    pop_to(k)
             if name in SIBLINGS:
                 k = len(stack) - 1
                 while k and stack[k][0] not in SIBLING_SCOPE and stack[k][0] not in SIBLINGS[name]:
                     k -= 1
                 if stack[k][0] in SIBLINGS[name]:
-                    while len(stack) > k:
-                        pop()
-            other, main, label = self._kind(name, attributes, stack[-1][3], stack[-1][4])
-            block = name not in INLINE
-            if block or other != stack[-1][3]:
-                flush()
-            path = stack[-1][2]
+                    pop_to(k)
+            _, path, other, main, _, hidden = stack[-1]
+            label, marked, named, gone = self._kind(name, attributes, main)
+            # a part marked as other is a block, whatever its tag
+            block = name not in INLINE or marked or gone
             if block:
-                path = self.paths.setdefault((path, label), len(self.paths) + 1)
-            self.tag.append(name)
-            self.parent.append(stack[-1][1])
-            self.main.append(name in MAIN_TAGS or label != name and bool(MAIN_NAMES.intersection(WORDS.findall(label))) and name not in HEADINGS)
+                flush()
+                other, main, hidden = other or marked, main or named, hidden or gone
+                if name not in FLOW or label != name:
+                    names = OTHER_FACTOR if other else MAIN_FACTOR if main else 1.0
+                    path = self._path(path, label, name in HEADINGS, names)
             if attributes.rstrip().endswith("/") and name not in ENDS_P and name not in INLINE:
                 continue  # closed in itself, as in XHTML
-            stack.append((name, len(self.tag) - 1, path, other, main, block))
+            stack.append((name, path, other, main, block, hidden))
             open_tags[name] = open_tags.get(name, 0) + 1
             if name == "a":
                 links += 1
         flush()
-        while len(stack) > 1:
-            pop()
+        pop_to(1)
 
     @staticmethod
-    def _kind(name: str, attributes: str, other: bool, main: bool) -> tuple[bool, bool, str]:
-        """Whether an element is other than main text, whether it is inside main text, and its label in paths."""
-        label, marked = name, False
+    def _kind(name: str, attributes: str, main: bool) -> tuple[str, bool, bool, bool]:
+        """An element's label in paths; whether names mark it as other, or as main text; and whether it is hidden."""
+        label, other, named = name, name in OTHER_TAGS or name == "header" and not main, name in MAIN_TAGS
         if attributes:
+            marked = False
             for m in MARKS.finditer(attributes):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 if m[1].lower() != "id":
@@ -169,73 +186,89 @@ class Page:
                 for one in value.split():
                     words = set(WORDS.findall(one))
                     marked = marked or bool(words & OTHER_NAMES) and not words & LAYOUT_NAMES
+                    named = named or bool(words & MAIN_NAMES) and name not in HEADINGS and name not in INLINE
+            if name == "article" or name not in WHOLE:
+                other = other or marked
             if HIDDEN.search(attributes):
-                return True, main, label
-        if name in WHOLE and name != "article":
-            marked = False
-        return other or marked or name in OTHER_TAGS or name == "header" and not main, main or name in MAIN_TAGS, label
-
-
-def path_scores(blocks: list[tuple[str, int, int, int, bool]]) -> tuple[dict[int, float], float]:
-    """The fused ratio of each path, and the threshold."""
-    sums: dict[int, list[float]] = {}
-    for text, _, path, linked, other in blocks:
-        s = sums.setdefault(path, [0, 0, 0, 0, 0])
-        for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), linked, other)):
-            s[k] += v
-    # characters a block, less those in links, raised by punctuation; nothing for parts marked as other
-    ratio = {p: (0.0 if other == n else (size - linked) / n * (1 + 10 * marks / size)) for p, (n, size, marks, linked, other) in sums.items()}
-    row = [ratio[b[2]] for b in blocks]
-    smooth = []
+                return label + "#hidden", other, named, True
+        return label + "#other" * other + "#main" * named, other, named and not other, False
+
+
+def ratio(n: int, size: int, marks: int, linked: int) -> float:
+    """Characters a block without those in links, raised by the share of punctuation among the characters."""
+    return (size - linked) / n * (1 + 10 * marks / size)
+
+
+def path_ratios(page: Page) -> list[float]:
+    """The ratio of each path by its own blocks; 0 for a path without any."""
+    sums = [[0, 0, 0, 0] for _ in page.parent]
+    for text, path, linked in page.blocks:
+        for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), linked)):
+            sums[path][k] += v
+    return [ratio(*s) if s[0] else 0.0 for s in sums]
+
+
+def beside(page: Page) -> list[float]:
+    """The ratio of each path's blocks taken together with those of the paths that have its parent, headings apart."""
+    sums: dict[int, list[int]] = {}
+    for text, path, linked in page.blocks:
+        if not page.heading[path]:
+            s = sums.setdefault(page.parent[path], [0, 0, 0, 0])
+            for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), linked)):
+                s[k] += v
+    return [ratio(*sums[p]) if p in sums else 0.0 for p in page.parent]
+
+
+def smoothed(row: list[float]) -> list[float]:
+    """Each number averaged with those up to four places away, by the bell curve."""
+    out = []
     for k in range(len(row)):
-        left, right = row[max(0, k - 1)], row[min(len(row) - 1, k + 1)]
-        smooth.append(0.25 * left + 0.5 * row[k] + 0.25 * right)
-    means: dict[int, list[float]] = {}
-    for b, v in zip(blocks, smooth, strict=True):
-        means.setdefault(b[2], []).append(v)
-    fused = {p: (ratio[p] * sum(v) / len(v)) ** 0.5 for p, v in means.items()}
-    along = [fused[b[2]] for b in blocks]
-    mean = sum(along) / len(along)
-    return fused, SPREAD * (sum((v - mean) ** 2 for v in along) / len(along)) ** 0.5
+        total = weight = 0.0
+        for i in range(max(0, k - 4), min(len(row), k + 5)):
+            w = BELL[abs(i - k)]
+            total += w * row[i]
+            weight += w
+        out.append(total / weight)
+    return out
+
+
+def averaged(page: Page, row: list[float]) -> list[float]:
+    """The mean for each path of a number for each block."""
+    sums = [[0.0, 0] for _ in page.parent]
+    for (_, path, _), v in zip(page.blocks, row, strict=True):
+        sums[path][0] += v
+        sums[path][1] += 1
+    return [s / n if n else 0.0 for s, n in sums]
+
+
+def path_scores(page: Page) -> tuple[list[float], float]:
+    """The fused ratio of each path, and the threshold. A heading has the ratios of the text that comes after it."""
+    own, near = path_ratios(page), beside(page)
+    own_row, near_row, follows = [], [], (0.0, 0.0)
+    for _, path, _ in reversed(page.blocks):
+        if not page.heading[path]:
+            follows = own[path], near[path]
+        own_row.append(follows[0])
+        near_row.append(follows[1])
+    own_row.reverse()
+    near_row.reverse()
+    parts = [averaged(page, row) for row in (own_row, near_row, smoothed(own_row))]
+    plain = [a**OWN * b**BESIDE * c**AROUND for a, b, c in zip(*parts, strict=True)]
+    fused = [v * names for v, names in zip(plain, page.names, strict=True)]
+    size = sum(len(t) for t, _, _ in page.blocks)
+    mean = lambda scores: sum(len(t) * scores[path] for t, path, _ in page.blocks) / size
+    return fused, max(SHARE * mean(fused), PLAIN_SHARE * mean(plain))
 
 
 def main_text(source: str | None) -> str:
-    """The main text of a page; empty for null, for no text and for pages of nothing but other parts."""
+    """The blocks whose paths' scores reach the threshold; empty for null, for no text and for pages of nothing but other parts."""
     if not source:
         return ""
     page = Page(source)
     if not page.blocks:
         return ""
-    fused, threshold = path_scores(page.blocks)
-    chosen = [not other and fused[path] > 0 and fused[path] >= threshold for _, _, path, _, other in page.blocks]
-    held = [0] * len(page.tag)
-    for (text, element, *_), yes in zip(page.blocks, chosen, strict=True):
-        if yes:
-            held[element] += len(text)
-    for k in range(len(held) - 1, 0, -1):  # parents have smaller numbers
-        held[page.parent[k]] += held[k]
-    total = held[0]
-    if not total:
-        return ""
-    inside = max((k for k, n in enumerate(held) if n >= MAJORITY * total), default=0)
-    # up to the next element that is marked as main text, or else one that can hold more than a paragraph
-    k = inside
-    while k > 0 and not page.main[k]:
-        k = page.parent[k]
-    container = k
-    if container <= 0:
-        container = inside
-        while container > 0 and page.tag[container] not in ("div", "section", "td", "body", "html"):
-            container = page.parent[container]
-    within = [False] * len(page.tag)
-    for k in range(len(page.tag)):
-        within[k] = k == container or k > 0 and within[page.parent[k]]
-    whole = container > 0 and page.main[container]
-    out = []
-    for (text, element, _, linked, other), yes in zip(page.blocks, chosen, strict=True):
-        if not other and within[element] and (yes or whole or page.tag[element] in HEADINGS or 2 * linked < len(text) and page.tag[element] in ("p", "li", "blockquote", "pre", "td", "dd", "figcaption")):
-            out.append(text)
-    return " ".join(out)
+    scores, threshold = path_scores(page)
+    return " ".join(text for text, path, _ in page.blocks if scores[path] > 0 and scores[path] >= threshold)
 
 
 def extract(pages: DataFrame) -> DataFrame:
