@@ -1,5 +1,7 @@
-"""Command line: normalize, dedupe, audit, rollback and table over local files; generate, evaluate and evaluate-dedupe for benchmark sets.
+"""Command line: normalize, dedupe, audit, rollback and table; generate, evaluate and evaluate-dedupe for benchmark sets.
 
+Input is a file, standard input (`-`, or no --input), or a place that Spark reads, given with its
+scheme. Output goes to a file, to standard output, or, with a scheme, to a folder that the tasks write.
 Exit codes: 0 done, 1 bad data or files, 2 bad arguments.
 """
 
@@ -7,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from pathlib import Path
 
@@ -18,9 +21,10 @@ from .operators import audit, dedupe, tables
 from .operators.normalize import normalize_rows
 from .plans import evaluate, generate
 from .sources import benchmark, files
-from .sources.scratch import stage
+from .sources.scratch import scratch_path, stage, with_positions
 
 FAILED, USAGE = 1, 2
+STDIN = "-"
 
 
 class Failure(Exception):
@@ -51,12 +55,15 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lacquer", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *options: [sub_.add_argument(*o[0], **o[1]) for sub_ in [sub.add_parser(name)] for o in options]
-    source, out = (("--input",), {"required": True}), (("--out",), {})
+    source, out = (("--input",), {"default": STDIN}), (("--out",), {})
     add("normalize", source, out, (("--field",), {"choices": tuple(REGISTRY)}))
-    add("dedupe", source, out, (("--plain",), {"action": "store_true"}), (("--threshold",), {"type": threshold, "default": dedupe.THRESHOLD}))
+    add("dedupe", source, out, (("--threshold",), {"type": threshold, "default": dedupe.THRESHOLD}))
     add("audit", source, out, (("--apply",), {"action": "store_true"}), (("--force",), {"action": "store_true"}))
     add("rollback", (("--cleaned",), {"required": True}), (("--backup",), {"required": True}), out)
     add("table", source, out, (("--columns",), {"type": columns}), (("--dedupe",), {"action": "store_true"}))
+    way = sub.choices["dedupe"].add_mutually_exclusive_group()
+    way.add_argument("--adaptive", action="store_true", help="rules of their own for person, company and address (this is what is done without --plain)")
+    way.add_argument("--plain", action="store_true")
     out = (("--out",), {"required": True})
     add("generate", (("--seed",), {"type": int, "default": 42}), (("--per-field",), {"type": int, "default": 200}), (("--split-ratio",), {"type": float, "default": 0.2}), out)
     add("evaluate", (("--impl",), {"choices": tuple(evaluate.IMPLEMENTATIONS), "default": "rules"}), (("--split",), {"choices": (*benchmark.SPLITS, "all"), "default": "heldout"}), (("--dirty-dir",), {"required": True}), out)
@@ -67,20 +74,46 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def has_scheme(path: str) -> bool:
+    return "://" in path
+
+
+def source_of(spark: SparkSession, path: str) -> str:
+    """Where Spark reads an input: standard input is copied to the shared folder, a local file is read where it is."""
+    if has_scheme(path):
+        return path
+    if path != STDIN:
+        if not Path(path).is_file():
+            raise Failure(f"there is no file {path}")
+        return "file://" + str(Path(path).resolve())
+    at = scratch_path(spark, "stdin")
+    to = spark._jvm.org.apache.hadoop.fs.Path(at)
+    stream = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+    given = getattr(sys.stdin, "buffer", None)
+    for chunk in iter(lambda: given.read(1 << 20) if given else sys.stdin.read(1 << 20).encode(), b""):
+        stream.write(bytearray(chunk))
+    stream.close()
+    return at
+
+
 def rows_of(spark: SparkSession, path: str, need_field: bool = True) -> DataFrame:
-    if not Path(path).exists():
-        raise Failure(f"there is no file {path}")
-    return stage(files.read_rows(spark, "file://" + str(Path(path).resolve()), need_field), "cli-rows")
+    return stage(files.read_rows(spark, source_of(spark, path), need_field), "cli-rows")
 
 
 def write(lines: DataFrame, out: str | None, head: tuple[str, ...] = ()) -> None:
-    """The column `text` in the order of _pos, a row at a time, to a file or to standard output."""
+    """The column `text` in the order of _pos: to a folder that tasks write, or their files joined to a local file or standard output."""
+    spark = lines.sparkSession
+    if out and has_scheme(out):
+        for k, text in enumerate(head):
+            lines = lines.unionByName(spark.createDataFrame([(k - len(head), text)], "_pos long, text string"))
+        files.write_lines(lines, out)
+        return
     target = open(out, "w", encoding="utf-8", newline="\n") if out else sys.stdout
     try:
         for text in head:
             target.write(text + "\n")
-        for row in lines.orderBy("_pos").select("text").toLocalIterator():
-            target.write(row[0] + "\n")
+        for part in files.parts_of(spark, lines):
+            target.write(part)
     finally:
         if out:
             target.close()
@@ -141,9 +174,43 @@ def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> str:
 def cleaned_lines(rows: DataFrame) -> DataFrame:
     """The lines of rows with the normalized value in place and _before on those that changed."""
     done = normalize_rows(rows)
-    changed = ~F.col("normalized").eqNullSafe(F.col("value"))
-    new = F.udf(lambda raw, value, moved: json.dumps({**(r := json.loads(raw)), "_before": r["value"], "value": value}, ensure_ascii=False) if moved else raw, "string")
-    return stage(done.withColumn("text", new("raw", "normalized", changed)).select("_pos", "text"), "cli-cleaned")
+    changed = F.col("normalized").isNotNull() & (F.col("normalized") != F.col("value"))
+    new = files.spliced(F.col("raw"), value=files.json_text(F.col("normalized")), _before=files.json_text(F.col("value")))
+    return stage(done.select("_pos", F.when(changed, new).otherwise(F.col("raw")).alias("text")), "cli-cleaned")
+
+
+def write_backup(rows: DataFrame, mark: str, path: Path) -> None:
+    """One JSON document: the checksum, and the rows, a line each in their order."""
+    with open(path, "w", encoding="utf-8", newline="\n") as out:
+        out.write(f'{{\n  "checksum": {json.dumps(mark)},\n  "rows": [')
+        before = "\n"
+        for part in files.parts_of(rows.sparkSession, rows.select("_pos", F.col("raw").alias("text"))):
+            for line in filter(None, part.split("\n")):
+                out.write(f"{before}    {line}")
+                before = ",\n"
+        out.write("\n  ]\n}\n")
+
+
+def read_backup(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The rows of a backup document and its checksum. Lines as write_backup() writes them are read in parallel; any other document that has both keys is parsed whole."""
+    if not Path(path).is_file():
+        raise Failure(f"there is no file {path}")
+    with open(path, encoding="utf-8-sig") as text:
+        head = [text.readline() for _ in range(3)]
+    mark = re.fullmatch(r'  "checksum": ("[^"]*"),\n', head[1])
+    if head[0] == "{\n" and mark and head[2] == '  "rows": [\n':
+        lines = spark.read.text("file://" + str(Path(path).resolve())).where(F.col("value").startswith("    "))
+        lines = lines.select(F.regexp_replace(F.substr("value", F.lit(5)), r",$", "").alias("value"))
+        rows = files.checked(files.parsed_rows(files.numbered_lines(lines)))
+        return stage(with_positions(rows.orderBy("line")), "cli-backup"), json.loads(mark[1])
+    try:
+        document = json.loads(Path(path).read_text(encoding="utf-8-sig"))
+        given = [json.dumps(r, ensure_ascii=False) for r in document["rows"]]
+        lines = spark.createDataFrame([(x,) for x in given], "value string")
+        rows = files.checked(files.parsed_rows(files.numbered_lines(lines)))
+        return stage(with_positions(rows.orderBy("line")), "cli-backup"), document["checksum"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise Failure(f"{path} is no backup: {e}") from None
 
 
 def line_digest(lines: DataFrame, column: str) -> str:
@@ -158,38 +225,40 @@ def run(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.command == "normalize":
         rows = rows_of(spark, a.input, a.field is None)
         done = stage(normalize_rows(rows, a.field), "cli-normalized")
-        write(done.select("_pos", files.spliced(F.col("raw"), normalized=F.col("normalized"), confidence=F.col("confidence")).alias("text")), a.out)
+        kept = files.json_value(F.col("normalized"), F.col("value_json"))
+        write(done.select("_pos", files.spliced(F.col("raw"), normalized=kept, confidence=files.json_text(F.col("confidence"))).alias("text")), a.out)
         return f"{done.count()} rows, {done.where('NOT (normalized <=> value)').count()} changed"
     if a.command == "dedupe":
         rows = rows_of(spark, a.input)
         found = stage((dedupe.dedupe if a.plain else dedupe.dedupe_adaptive)(rows, a.threshold), "cli-groups")
-        write(found.select("_pos", files.spliced(F.col("raw"), _group=F.col("_group")).alias("text")), a.out)
+        write(found.select("_pos", files.spliced(F.col("raw"), _group=F.col("_group").cast("string")).alias("text")), a.out)
         s = dedupe.group_statistics(found).first()
         return f"{s['rows']} rows in {s['groups']} groups, {s['multi']} of several rows; {s['removable']} rows could go"
     if a.command == "audit":
         rows = rows_of(spark, a.input)
         if not a.apply:
             return audit.format_report(audit.report(rows))
-        out = Path(a.out or Path(a.input).with_suffix(".cleaned.jsonl"))
-        backup = out.with_name((out.stem if out.suffix == ".jsonl" else out.name) + ".backup.jsonl")
-        mark = backup.with_name(backup.name + ".checksum")
+        if a.input == STDIN and not a.out:
+            raise Failure("rows from standard input that are applied need --out")
+        named = a.out or a.input.removesuffix(".jsonl").removesuffix(".json") + ".cleaned.jsonl"
+        if has_scheme(named):
+            raise Failure("audit --apply writes local files, so that the backup is one document")
+        out = Path(named)
+        backup = out.with_name((out.stem if out.suffix == ".jsonl" else out.name) + ".backup.json")
         for path in () if a.force else (out, backup):
             if path.exists():
                 raise Failure(f"{path} is there already; --force overwrites it")
         lines = cleaned_lines(rows)
-        write(rows.select("_pos", F.col("raw").alias("text")), str(backup))
-        mark.write_text(line_digest(rows, "raw") + ";" + line_digest(lines, "text"))
+        write_backup(rows, line_digest(rows, "raw") + ";" + line_digest(lines, "text"), backup)
         write(lines, str(out))
         return audit.format_report(audit.report(rows, dry_run=False)) + f"\n{out}\n{backup}"
     if a.command == "rollback":
-        cleaned, backup, mark = rows_of(spark, a.cleaned), rows_of(spark, a.backup), Path(a.backup + ".checksum")
-        if not mark.exists() or mark.read_text() != line_digest(backup, "raw") + ";" + line_digest(cleaned, "raw"):
-            raise Failure("backup and cleaned rows are not of one run, so nothing is rolled back")
+        cleaned, (backup, mark) = rows_of(spark, a.cleaned), read_backup(spark, a.backup)
+        if mark != line_digest(backup, "raw") + ";" + line_digest(cleaned, "raw"):
+            raise Failure("the checksum does not match: backup and cleaned rows are not of one run, so nothing is rolled back")
         write(backup.select("_pos", F.col("raw").alias("text")), a.out)
         return f"{backup.count()} rows are back"
-    if not Path(a.input).exists():
-        raise Failure(f"there is no file {a.input}")
-    header, cells = files.read_cells(spark, "file://" + str(Path(a.input).resolve()), multiline=True)
+    header, cells = files.read_cells(spark, source_of(spark, a.input), multiline=True)
     done = tables.clean_table(cells, header, a.columns, a.dedupe)
     head = spark.createDataFrame([(header,)], "cells array<string>").select(files.csv_line(F.col("cells"))).first() if header else ()
     write(done["rows"].select("_pos", files.csv_line(F.col("cells")).alias("text")), a.out, tuple(head))

@@ -1,56 +1,173 @@
 """Candidate pairs for similarities, without losing a pair at or over the threshold.
 
-Characters, told apart by how often they came before in the string, are ordered from rare to common.
-Two strings that share at least k characters share one among the rarest len - k + 1 of either. How many
-they must share follows from the threshold and the lengths: of the shorter one at least t * len, of the
-longer one at least t / (2 - t) * len. A window of the longer string may have the shorter one's matches
-anywhere, so partial similarity looks at all characters of the longer one.
-
-A common subsequence is no longer than the numbered characters that both strings have, so pairs that
-share too few of them for the threshold are dropped where they meet, before any shuffle or scoring.
+At a threshold, a string can lose only so many characters to a similar one, and have so many put in
+between. One deletion or insertion breaks at most one of several separate runs of characters. So of
+one run more than there can be changes, the similar string has at least one whole: the shorter string
+gives that many runs, the rarest ones in the corpus that don't overlap, and the longer one all its runs
+of that length. Pairs meet by a run, at places that the changes can bring about. For runs of single
+characters deletions alone count, so that there always are enough of them.
+
+Lengths of partners are taken in bands, since partners of nearly the same length allow longer runs.
+A run's counts, in buckets of a bounded number, say which runs are rare, and into how many parts the
+strings with a hot run are dealt; they never decide whether a pair is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stage
+
 EPSILON = 1e-9
-#: Parts that the values with one character are dealt to, so that a common character is not one task's.
-SALTS = 4
+#: Buckets in which runs are counted, and the share of the longer side's rows with one run that a part of them may have.
+BUCKET_BITS = 17
+PART_ROWS = 20_000
+ANYWHERE = 1 << 30
 
+SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int"
+LONG = "key long, salt int, b long, lb int, place int"
 
-def prefix_size(length: Column, share: float) -> Column:
-    return length - F.greatest(F.ceil(length * F.lit(share) - EPSILON), F.lit(1)) + 1
 
+@cache
+def bands(la: int, threshold: float, partial: bool) -> list[tuple[int, int, int, int, int, int]]:
+    """(run length, runs, least and most length of the partner, places before and after) of a string of la characters."""
+    t = threshold
+    longest = int(la * (2 - t) / t + EPSILON)
+    if partial:
+        # a window is no longer than la; of the whole partner, the longest that the threshold allows counts
+        changes, deletions = int((1 - t) * 2 * la / t + EPSILON), int(la - la * t / (2 - t) + EPSILON)
+        return [(*runs_of(la, changes, deletions), la, ANYWHERE, ANYWHERE, ANYWHERE)]
+    out, low, width = [], 0, 1
+    while la + low <= longest:
+        high = min(low + width - 1, longest - la)
+        deletions = max((most_changes(la, d, t) - d) // 2 for d in range(low, high + 1))
+        insertions = max((most_changes(la, d, t) + d) // 2 for d in range(low, high + 1))
+        changes = max(most_changes(la, d, t) for d in range(low, high + 1))
+        if deletions >= 0:
+            out.append((*runs_of(la, changes, deletions), la + low, la + high, deletions, insertions))
+        low, width = high + 1, width * 2
+    return out
 
-def ranked_characters(values: DataFrame) -> DataFrame:
-    """values (field, value, vid) with `chars`, the distinct numbered characters from rare to common, and `len`."""
-    each = F.split("value", "")
-    numbered = F.transform(each, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(each, 1, i + 1), lambda x: x == c)).cast("string")))
-    tokens = values.where(F.length("value") > 0).select("field", "vid", "value", F.explode(numbered).alias("char"))
-    frequency = tokens.groupBy("field", "char").agg(F.count("*").alias("n"))
-    return tokens.join(frequency, ["field", "char"]).groupBy("field", "vid", "value").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "char"))), lambda x: x["char"]).alias("chars")).withColumn("len", F.length("value"))
 
+def most_changes(la: int, more: int, threshold: float) -> int:
+    """Deletions and insertions between strings of la and la + more characters, which are as even or odd as the lengths' sum."""
+    changes = int((1 - threshold) * (2 * la + more) + EPSILON)
+    return changes - (changes + more) % 2
+
+
+def runs_of(la: int, changes: int, deletions: int) -> tuple[int, int]:
+    """The length of the runs and how many of them a string gives."""
+    length = la // (changes + 1)
+    return (length, changes + 1) if length > 1 else (1, min(la, deletions + 1))
+
+
+@cache
+def run_lengths(lb: int, threshold: float, partial: bool) -> tuple[int, ...]:
+    """The lengths of runs by which a string of lb characters can be met."""
+    least = 1 if partial else max(1, int(np.ceil(lb * threshold / (2 - threshold) - EPSILON)))
+    return tuple(sorted({band[0] for la in range(least, lb + 1) for band in bands(la, threshold, partial) if band[2] <= lb <= band[3]}))
+
+
+def rarest(counts: list[int], length: int, runs: int) -> list[int]:
+    """The starts of `runs` runs of `length` that don't overlap, whose counts add up to the least."""
+    if length == 1:
+        return sorted(range(len(counts)), key=counts.__getitem__)[:runs]
+    n, none = len(counts), float("inf")
+    # best[k][i]: the least sum of k runs from place i on
+    best = [[0.0] * (n + length + 1)]
+    for k in range(1, runs + 1):
+        row, last = [none] * (n + length + 1), best[k - 1]
+        for i in range(n - 1, -1, -1):
+            row[i] = min(row[i + 1], counts[i] + last[i + length])
+        best.append(row)
+    out, i = [], 0
+    for k in range(runs, 0, -1):
+        while best[k][i] == best[k][i + 1]:
+            i += 1
+        out.append(i)
+        i += length
+    return out
+
+
+def run_key(head: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{head}\x00{text}".encode("utf-8", "surrogatepass"))
+
+
+def signed(keys: list[int]) -> pa.Array:
+    return pa.array(np.array(keys, np.uint64).view(np.int64))
+
+
+def candidate_ids(values: DataFrame, threshold: float, partial: bool = False, same_initial: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of vids of values (field, value, vid) that can reach the threshold, which is over 0."""
+    bucket = np.uint64(64 - BUCKET_BITS)
+    head = lambda field, text: f"{field}\x00{text[:1]}" if same_initial else f"{field}"
+    keyed = stage(values.where(F.length("value") > 0).select("field", "value", "vid"), "blocking")
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(batch.column(c).to_pylist() for c in ("field", "value", "vid")), strict=True)
+
+    def grams(field: str, text: str) -> Iterator[tuple[int, int]]:
+        start = head(field, text)
+        for q in run_lengths(len(text), threshold, partial):
+            for i in range(len(text) - q + 1):
+                yield run_key(start, text[i : i + q]), i
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            keys = [k for field, text, _ in rows(batch) for k, _ in grams(field, text)]
+            total += np.bincount((np.array(keys, np.uint64) >> bucket).astype(np.int64), minlength=1 << BUCKET_BITS)
+        there = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(there, pa.int32()), "n": pa.array(total[there])})
+
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for r in keyed.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
+    sent = values.sparkSession.sparkContext.broadcast(counts)
+
+    def parts(key: int) -> int:
+        return 1 + int(sent.value[key >> int(bucket)]) // PART_ROWS
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for field, text, vid in rows(batch):
+                start = head(field, text)
+                for length, runs, least, most, before, after in bands(len(text), threshold, partial):
+                    keys = [run_key(start, text[i : i + length]) for i in range(len(text) - length + 1)]
+                    for i in rarest([int(sent.value[k >> int(bucket)]) for k in keys], length, runs):
+                        out += [(keys[i], salt, vid, len(text), i, least, most, before, after) for salt in range(parts(keys[i]))]
+            yield table(SHORT, out)
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield table(LONG, [(k, vid % parts(k), vid, len(text), i) for field, text, vid in rows(batch) for k, i in grams(field, text)])
 
-def candidate_pairs(values: DataFrame, threshold: float, partial: bool = False, same_initial: bool = False) -> DataFrame:
-    """Distinct pairs (field, a, b, va, vb) of values (field, value, vid) that can reach the threshold, which is over 0."""
-    ranked = ranked_characters(values)
-    loose = threshold / (2 - threshold)
-    initial = [F.substring("value", 1, 1).alias("initial")] if same_initial else []
-    key = ["field", "char", "salt", *(["initial"] if same_initial else [])]
-    short = ranked.select("field", F.col("vid").alias("a"), F.col("value").alias("va"), F.col("len").alias("la"), F.col("chars").alias("ca"), *initial, F.explode(F.slice("chars", 1, prefix_size(F.col("len"), loose if partial else threshold).cast("int"))).alias("char"))
-    reach = F.col("len") if partial else prefix_size(F.col("len"), loose)
-    long = ranked.select("field", F.col("vid").alias("b"), F.col("value").alias("vb"), F.col("len").alias("lb"), F.col("chars").alias("cb"), *initial, F.explode(F.slice("chars", 1, reach.cast("int"))).alias("char"))
-    short = short.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    long = long.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     # few bytes can be many pairs, so partitions are not merged by their bytes
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    short, long = short.repartition(n, *key), long.repartition(n, *key)
-    pairs = short.join(long, key).where("la < lb OR (la = lb AND a < b)")
-    if not partial:
-        pairs = pairs.where(F.col("la") >= F.col("lb") * loose - EPSILON)
-    # of the ratio 2 * common / (la + lb), or of that with a window, which is as long as what it shares at least
-    needed = F.col("la") * loose if partial else (F.col("la") + F.col("lb")) * (threshold / 2)
-    pairs = pairs.where(F.size(F.array_intersect("ca", "cb")) >= needed - EPSILON)
-    return pairs.select("field", "a", "b", "va", "vb").distinct()
+    left = keyed.mapInArrow(short, SHORT).repartition(n, "key", "salt")
+    right = keyed.mapInArrow(long, LONG).withColumnRenamed("place", "at").repartition(n, "key", "salt")
+    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after")
+    # of two equally long strings, either may be the one of which windows are taken
+    met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if partial else met.where("la < lb OR a < b")
+    return met.select("a", "b").distinct()
+
+
+def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch whose first column holds unsigned keys."""
+    names = [(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.int32()) for c in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([signed(list(cols[0])), *[pa.array(c, t) for c, (_, t) in zip(cols[1:], names[1:], strict=True)]], [n for n, _ in names])
+
+
+def candidate_pairs(values: DataFrame, threshold: float, partial: bool = False, same_initial: bool = False) -> DataFrame:
+    """Distinct pairs (a, b, va, vb) of values (field, value, vid) that can reach the threshold, which is over 0."""
+    ids = candidate_ids(values, threshold, partial, same_initial)
+    return ids.join(values.select(F.col("vid").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("vid").alias("b"), F.col("value").alias("vb")), "b")

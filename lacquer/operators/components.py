@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stage
+from ..sources.scratch import forget_staged, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the smallest node of its component.
 
-    Every round is staged in the shared folder. The rounds end when two of them give the same edges,
+    Every round is staged in the shared folder, and the one before it deleted. The rounds end when two of them give the same edges,
     which is compared by the count and an order-free sum of hashes.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        now = stage(_small_star(_large_star(now)).distinct(), "stars")
+        now, before = stage(_small_star(_large_star(now)).distinct(), "stars"), now
+        forget_staged(before)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

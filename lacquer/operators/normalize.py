@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import NONE, NOT_TEXT
-from ..functions.fields import REGISTRY, RESULT, Normalizer
+from ..functions.fields import REGISTRY, Normalizer
 
 Registry = dict[str, Normalizer | Callable[[Column], Column]]
 
@@ -47,10 +47,7 @@ def with_results(rows: DataFrame, value: Column, field: Column, registry: Regist
     parts = {f"{name}_{k}": by_field(field, {f: x[k] for f, x in inferred.items() if len(x) > k}, none) for k in range(most)}
     out = out.withColumns(parts)
     decided = {f: n.decide(value, core, tuple(F.col(p) for p in list(parts)[: len(inferred[f])])) if f in whole else n(value) for f, n in registry.items()}
-    # a condition that always holds, and that the optimizer takes for a random one, so that it does not
-    # copy this long expression into filters on its results
-    result = F.when(F.rand(0) >= 0, by_field(field, decided, unknown(value))).otherwise(F.lit(None).cast(RESULT))
-    return out.withColumn(name, result).drop(f"{name}_noise", f"{name}_core", *parts)
+    return out.withColumn(name, by_field(field, decided, unknown(value))).drop(f"{name}_noise", f"{name}_core", *parts)
 
 
 def normalize_rows(rows: DataFrame, field: str | None = None, value: str = "value", out: str = "normalized", registry: Registry | None = None) -> DataFrame:
@@ -64,7 +61,10 @@ def normalize_rows(rows: DataFrame, field: str | None = None, value: str = "valu
         done = with_results(rows, v, F.col("field"), registry, "_result")
     else:
         done = with_result(rows, v, registry.get(field, unknown), "_result")
-    return done.withColumns({out: F.col("_result.value"), "confidence": F.col("_result.confidence")}).drop("_result")
+    # the result leaves by a generator of one row, through which the optimizer moves filters on other
+    # columns, but does not copy the long expression into filters on its own
+    kept = [c for c in done.columns if c not in ("_result", out, "confidence")]
+    return done.select(*kept, F.inline(F.array("_result")).alias(out, "confidence"))
 
 
 def normalize_with_confidence(value: Column, field: str) -> Column:

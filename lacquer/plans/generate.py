@@ -18,28 +18,121 @@ from ..functions.fields import check_digit
 from ..sources.scratch import stage, with_positions
 from .evaluate import PERTURBATIONS, split_rows
 
-# The words that clean values are made of.
-GIVEN_UNREPAIRED = d.pairs("丽莉 军君 杰捷 峰锋 慧惠 鑫馨 萍苹 佳家 云芸 月玥")
-REGIONS = {d.PROVINCES[p]: d.CITIES_OF.get(p, "") for p in d.PROVINCES if p not in ("香港", "澳门")}
-DISTRICTS = "城东区 城西区 城南区 城北区 河东区 河西区 江南区 江北区 滨江区 高新区 市中区 新城区 中山区 鼓楼区".split()
-ROADS = "人民路 中山路 解放路 建设路 新华路 长江路 文化路 和平路 青年路 学院路 花园路 朝阳路 胜利路 振兴路 世纪大道 科技大道".split()
-BRANDS = "嘉禾 恒信 天工 明远 华夏 启明 博远 汇通 星河 蓝海 绿洲 磐石 宏图 万邦 精诚 昌隆 广厦 润泽 开元 鼎盛 清源 鹏程 德胜 康泰 利丰 三江".split()
-FORMS = "有限公司 有限责任公司 股份有限公司 集团有限公司".split()
-PHONE_STARTS = "130 131 135 138 139 147 150 153 157 159 166 173 177 180 186 189 191 198 199".split()
-DOMAINS = "163.com 126.com 139.com qq.com gmail.com hotmail.com outlook.com sohu.com".split()
-SPACES, JOINTS = " 　", "- · | ／ ，".split()
+# The words that clean values are made of, and the wrong characters for right ones.
+GIVEN = {
+    "明": "铭", "伟": "炜", "强": "墙", "华": "桦", "军": "君", "丽": "莉", "静": "净", "燕": "艳", "杰": "捷", "涛": "滔", "波": "拨", "峰": "锋",
+    "慧": "惠", "婷": "庭", "鑫": "新", "鹏": "朋", "凯": "恺", "松": "嵩", "亮": "量", "文": "纹", "志": "智", "国": "果", "建": "健", "辉": "晖",
+    "磊": "蕾", "洋": "扬", "勇": "涌", "娟": "涓", "敏": "闵", "霞": "瑕", "平": "萍", "刚": "钢", "英": "应", "玉": "育", "萍": "苹", "红": "虹",
+    "玲": "铃", "芬": "纷", "兰": "蓝", "洁": "捷", "颖": "赢", "晶": "京", "露": "路", "薇": "微", "梦": "蒙", "瑶": "摇", "佳": "家", "俊": "骏",
+    "哲": "折", "睿": "瑞", "博": "伯", "硕": "烁", "聪": "匆", "云": "芸", "月": "玥", "星": "兴", "语": "雨", "若": "洛", "诗": "师", "亦": "易",
+    "可": "柯", "心": "欣", "思": "丝", "童": "同", "言": "岩", "沐": "木", "辰": "晨", "宇": "羽", "轩": "宣", "涵": "含", "然": "燃", "嘉": "家",
+    "旭": "绪", "昊": "浩", "天": "田", "龙": "隆", "飞": "非", "翔": "祥", "宁": "凝", "怡": "仪", "帅": "率",
+}
+REGIONS = {
+    "北京市": ["北京"],
+    "上海市": ["上海"],
+    "天津市": ["天津"],
+    "重庆市": ["重庆"],
+    "河北省": ["石家庄", "唐山", "保定", "邯郸", "廊坊", "沧州"],
+    "山西省": ["太原", "大同", "长治", "临汾", "运城"],
+    "辽宁省": ["沈阳", "大连", "鞍山", "抚顺", "锦州", "营口"],
+    "吉林省": ["长春", "吉林", "四平", "通化", "松原"],
+    "黑龙江省": ["哈尔滨", "齐齐哈尔", "大庆", "牡丹江", "佳木斯"],
+    "江苏省": ["南京", "苏州", "无锡", "常州", "南通", "徐州", "扬州", "盐城", "镇江", "泰州", "淮安", "连云港", "宿迁"],
+    "浙江省": ["杭州", "宁波", "温州", "嘉兴", "绍兴", "金华", "台州", "湖州", "丽水", "衢州", "舟山"],
+    "安徽省": ["合肥", "芜湖", "蚌埠", "安庆", "马鞍山", "阜阳", "滁州"],
+    "福建省": ["福州", "厦门", "泉州", "漳州", "莆田", "三明", "龙岩"],
+    "江西省": ["南昌", "赣州", "九江", "上饶", "宜春", "吉安"],
+    "山东省": ["济南", "青岛", "烟台", "潍坊", "淄博", "临沂", "济宁", "泰安", "威海", "日照", "德州", "聊城"],
+    "河南省": ["郑州", "洛阳", "开封", "南阳", "新乡", "许昌", "安阳", "焦作", "信阳"],
+    "湖北省": ["武汉", "宜昌", "襄阳", "荆州", "黄石", "十堰", "荆门"],
+    "湖南省": ["长沙", "株洲", "湘潭", "衡阳", "岳阳", "常德", "郴州", "益阳"],
+    "广东省": ["广州", "深圳", "珠海", "佛山", "东莞", "中山", "惠州", "汕头", "江门", "湛江", "肇庆", "茂名"],
+    "广西壮族自治区": ["南宁", "柳州", "桂林", "北海", "玉林", "梧州"],
+    "海南省": ["海口", "三亚"],
+    "四川省": ["成都", "绵阳", "德阳", "宜宾", "南充", "泸州", "乐山", "内江"],
+    "贵州省": ["贵阳", "遵义", "六盘水", "安顺", "毕节"],
+    "云南省": ["昆明", "曲靖", "玉溪", "大理", "丽江", "红河"],
+    "陕西省": ["西安", "宝鸡", "咸阳", "渭南", "榆林", "汉中"],
+    "甘肃省": ["兰州", "天水", "白银", "酒泉", "庆阳"],
+    "青海省": ["西宁", "海东"],
+    "内蒙古自治区": ["呼和浩特", "包头", "鄂尔多斯", "赤峰", "通辽"],
+    "宁夏回族自治区": ["银川", "石嘴山", "吴忠"],
+    "新疆维吾尔自治区": ["乌鲁木齐", "克拉玛依", "喀什", "伊宁"],
+    "西藏自治区": ["拉萨", "日喀则"],
+    "香港特别行政区": ["香港"],
+    "澳门特别行政区": ["澳门"],
+}
+DISTRICTS = [
+    "城关区", "新城区", "东城区", "西城区", "朝阳区", "鼓楼区", "滨江区", "高新区", "经济开发区", "城南区", "城北区", "城东区", "城西区", "河东区", "河西区", "江南区",
+    "江北区", "市中区", "市南区", "市北区", "新区", "开发区", "高新技术产业开发区", "中山区",
+]
+ROADS = [
+    "人民路", "中山路", "解放路", "建设路", "新华路", "长江路", "黄河路", "北京路", "文化路", "光明路", "幸福路", "和平路", "青年路", "迎宾大道", "世纪大道", "科技大道",
+    "创业路", "兴业路", "环城路", "滨江路", "花园路", "学院路", "朝阳路", "民主路", "团结路", "胜利路", "育才路", "振兴路", "富民路", "望江路",
+]
+PHONE_STARTS = [
+    "130", "131", "132", "133", "134", "135", "136", "137", "138", "139", "145", "147", "149", "150", "151", "152", "153", "155", "156", "157", "158", "159", "165", "166",
+    "167", "170", "171", "172", "173", "175", "176", "177", "178", "180", "181", "182", "183", "184", "185", "186", "187", "188", "189", "190", "191", "192", "193", "195",
+    "196", "197", "198", "199",
+]
+BRANDS = [
+    "云栖", "华宇", "恒信", "天工", "明远", "卓越", "盛世", "华夏", "东方", "中天", "联创", "启明", "拓普", "博远", "弘毅", "智联",
+    "汇通", "远景", "星河", "蓝海", "绿洲", "磐石", "天翼", "木森", "宏图", "万邦", "精诚", "拓维", "新元", "昌隆", "益丰", "广厦",
+    "润泽", "开元", "鼎盛", "立信", "卓远", "光谷", "未来", "云图", "数联", "智远", "慧通", "环宇", "泰和", "恒通", "众诚", "一诺",
+    "金诚", "众和", "星辰", "岩松", "清源", "嘉禾", "骏驰", "鹏程", "思创", "维信", "中科", "天成", "瑞泰", "德胜", "信达", "康泰",
+    "鑫源", "利丰", "华瑞", "润和", "三江", "九鼎",
+]
+TRADES = [
+    "科技", "网络", "信息", "教育", "文化", "传媒", "贸易", "实业", "电子", "生物", "医药", "环保", "智能", "数据", "软件", "物流",
+    "供应链", "建筑", "机械", "食品", "农业", "新能源", "数智", "咨询",
+]
+FORMS = [
+    "有限公司", "有限责任公司", "股份有限公司", "集团有限公司",
+]
+DOMAINS = [
+    "gmail.com", "qq.com", "163.com", "126.com", "sina.com", "sohu.com", "foxmail.com", "outlook.com", "hotmail.com",
+    "yahoo.com", "aliyun.com", "139.com", "189.cn", "example.com", "company.net", "school.edu", "test.org", "mail.cn",
+]
+ADDRESS_MISTAKES = {
+    "市": "式", "区": "曲", "路": "露", "号": "豪", "栋": "洞", "室": "式", "楼": "搂", "城": "诚", "湖": "胡", "州": "洲", "阳": "杨", "江": "姜",
+    "山": "杉", "新": "欣", "东": "冬", "西": "茜", "南": "楠", "北": "贝", "大": "太", "道": "到", "街": "介", "苑": "园", "滨": "宾", "桥": "乔",
+}
+COMPANY_MISTAKES = {
+    "公": "工", "司": "词", "有": "友", "限": "线", "责": "则", "份": "分", "集": "积", "团": "困", "技": "记", "易": "意", "业": "叶", "络": "落",
+    "信": "芯", "息": "希", "电": "店", "子": "宇", "智": "志", "咨": "资",
+}
+PHONE_MISTAKES = {
+    "0": "O", "1": "l", "2": "Z", "3": "E", "5": "S", "8": "B",
+}
+DIGIT_MISTAKES = {
+    "0": "O", "1": "l", "2": "Z", "3": "E", "4": "A", "5": "S", "6": "G", "7": "T", "8": "B", "9": "q",
+}
+EMAIL_MISTAKES = {
+    "0": "o", "1": "l", "2": "z", "5": "s", "6": "g", "8": "b", "o": "0", "l": "1", "z": "2", "s": "5", "g": "6", "b": "8",
+}
+SPACES = [
+    " ", "　",
+]
+JOINTS = [
+    "-", "·", "|", "／", "，",
+]
 #: What stands around noisy values; a label ends in a colon and goes in front.
 NOISE = {
-    "person": "姓名： 联系人: 先生 女士 （本人） 。", "address": "地址： 收货地址: （收货） 。", "phone": "电话： 手机: （本人） 。", "company": "单位： 公司名称: （总部） 。",
-    "amount": "金额： 总价: （含税） 。", "date": "日期： 日期: （生效日） 。", "idcard": "身份证号： 证件号: （复印件） 。", "email": "邮箱： Email: （常用） 。",
+    "person": ["姓名：", "名字:", "先生", "女士", "老师", "（本人）"],
+    "address": ["地址：", "住址:", "（收货地址）", "（已搬迁）", "（老地址）", "。"],
+    "phone": ["电话：", "手机:", "（微信同号）", "（本人）", "（备用）", "。"],
+    "company": ["单位：", "公司名称:", "（总部）", "（原单位）", "（分公司）", "。"],
+    "amount": ["金额：", "金额:", "费用：", "（含税）", "（未税）", "。"],
+    "date": ["日期：", "日期:", "（录入日期）", "（生效日）", "。"],
+    "idcard": ["身份证号：", "身份证:", "证件号：", "（复印件）", "（本人）", "。"],
+    "email": ["邮箱：", "邮箱:", "Email:", "（工作邮箱）", "（常用）", "。"],
 }
 
-GIVEN = {r: w for w, r in d.PERSON_TYPOS.items() if r not in d.PERSON_TYPOS} | GIVEN_UNREPAIRED
-#: Right characters to wrong ones.
+#: Right characters to wrong ones, by field.
 TYPOS = {
-    "person": GIVEN, "address": d.pairs("区曲 路露 号豪 市式 栋洞"), "company": d.pairs("公工 司词 有友 限线 责则"), "phone": d.pairs("0O 1l 2Z 3E 5S 8B"),
-    **dict.fromkeys(("amount", "date", "idcard"), {digit: c for c, digit in d.NUMBER_DIGITS.items()}),
-    "email": d.EMAIL_LETTERS | {v: k for k, v in d.EMAIL_LETTERS.items()},
+    "person": GIVEN, "address": ADDRESS_MISTAKES, "company": COMPANY_MISTAKES, "phone": PHONE_MISTAKES,
+    "amount": DIGIT_MISTAKES, "date": DIGIT_MISTAKES, "idcard": DIGIT_MISTAKES, "email": EMAIL_MISTAKES,
 }
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -97,10 +190,11 @@ def person_parts(x: Draw) -> list[Column]:
 
 
 def address_parts(x: Draw) -> list[Column]:
-    places = [(region, city + "市" if city else "") for region, cities in REGIONS.items() for city in cities.split() or [""]]
-    place = F.element_at(F.array(*[F.struct(F.lit(r).alias("region"), F.lit(c).alias("city")) for r, c in places]), x.below("place", len(places)) + 1)
+    regions = F.array(*[F.struct(F.lit(r).alias("region"), F.array(*[F.lit("" if c in r else c + "市") for c in cities]).alias("cities")) for r, cities in REGIONS.items()])
+    region = F.element_at(regions, x.below("region", len(REGIONS)) + 1)
+    city = F.element_at(region["cities"], x.below("city", F.size(region["cities"])) + 1)
     room = F.concat(x.number("block", 1, 30), F.lit("栋"), x.number("door", 1, 6), F.lit("单元"), x.number("room", 101, 2508), F.lit("室"))
-    return [place["region"], place["city"], x.one("district", DISTRICTS), x.one("road", ROADS), F.concat(x.number("house", 1, 1999), F.lit("号")), F.when(x.below("long", 10) < 6, room).otherwise("")]
+    return [region["region"], city, x.one("district", DISTRICTS), x.one("road", ROADS), F.concat(x.number("house", 1, 1999), F.lit("号")), F.when(x.below("long", 10) < 6, room).otherwise("")]
 
 
 def phone_parts(x: Draw) -> list[Column]:
@@ -108,7 +202,7 @@ def phone_parts(x: Draw) -> list[Column]:
 
 
 def company_parts(x: Draw) -> list[Column]:
-    return [x.one("city", [c for cities in REGIONS.values() for c in cities.split()]), x.one("brand", BRANDS), x.one("industry", sorted(d.INDUSTRIES)), x.one("form", FORMS)]
+    return [x.one("city", [c for cities in REGIONS.values() for c in cities]), x.one("brand", BRANDS), x.one("trade", TRADES), x.one("form", FORMS)]
 
 
 def amount_parts(x: Draw) -> list[Column]:
@@ -191,12 +285,12 @@ def separated(x: Draw, field: str, v: Column, p: list[Column]) -> Column:
 
 def variants(x: Draw, field: str, v: Column, p: list[Column]) -> dict[str, Column]:
     """A value by kind of perturbation."""
-    gap = x.one("gap", list(SPACES))
+    gap = x.one("gap", SPACES)
     if field == "email":
         space = F.concat(p[0], x.one("gap", (" @", "@ ")), p[1])
     else:
         space = inserted(v, 1 + x.below("cut", F.length(v) - 1), gap)
-    affix = x.one("noise", NOISE[field].split())
+    affix = x.one("noise", NOISE[field])
     return {
         "space": space,
         "typo": F.concat(p[0], mistyped(x, p[1], GIVEN)) if field == "person" else mistyped(x, v, TYPOS[field]),

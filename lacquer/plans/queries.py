@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as d
 from ..functions import similarity
 from ..operators import audit, dedupe, routing, tables
 from ..operators.normalize import normalize_rows
@@ -17,6 +18,32 @@ from ..sources import benchmark, files
 from ..sources.scratch import scratch_path, stage
 from . import evaluate, generate
 
+def cell(words: list[str], at: str) -> str:
+    """SQL for word number `at` of a list, from 0; both dialects cut it from one text of words of equal width."""
+    width = max(map(len, words))
+    return f"replace(substr('{''.join(w.ljust(width, '_') for w in words)}', CAST({at} AS INT) * {width} + 1, {width}), '_', '')"
+
+
+# What the values of person, company and address are made of: all of the closed sets.
+SURNAMES = [*sorted(d.SURNAMES), *d.COMPOUND_SURNAMES]
+NAME_TYPOS = [(wrong, right) for wrong, right in d.PERSON_TYPOS.items() if right not in d.PERSON_TYPOS]
+#: Without 那曲, whose second character is itself taken for a mistyped 区 wherever no other repair is found.
+PLACES = [(short, d.PROVINCES[short], city) for short, cities in d.CITIES_OF.items() for city in cities.split() if city != "那曲"]
+TRADES = sorted(d.INDUSTRIES)
+#: Every form and trade of a company with one character mistyped in it, and what it has to become.
+COMPANY_CASES = [(form[:k] + wrong + form[k + 1 :], form) for form in sorted(d.ORGANISATIONS) for k, c in enumerate(form) for wrong, right in d.COMPANY_TYPOS.items() if right == c]
+TRADE_CASES = [(trade[:k] + wrong + trade[k + 1 :], trade) for trade in TRADES for k, c in enumerate(trade) for wrong, right in d.COMPANY_TYPOS.items() if right == c]
+
+
+def mistyped_city(city: str) -> str:
+    """The city with its first character that has a wrong one mistyped, or as it is."""
+    for k, c in enumerate(city):
+        for wrong, right in d.ADDRESS_TYPOS.items():
+            if right == c:
+                return city[:k] + wrong + city[k + 1 :]
+    return city
+
+
 CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 DAY = "substr(CAST(o_orderdate AS {str}), 1, 10)"
 ID17 = "'11' || lpad(CAST(c_custkey % 10000 AS {str}), 4, '0') || CAST(1970 + c_custkey % 30 AS {str}) || lpad(CAST(1 + c_custkey % 12 AS {str}), 2, '0') || lpad(CAST(1 + c_custkey % 28 AS {str}), 2, '0') || lpad(CAST(c_custkey % 1000 AS {str}), 3, '0')"
@@ -46,16 +73,16 @@ CASES = {
         [("u || '@hotmail.com'", "u || '@hotmail.com'", 0.95), ("u || ' @hotmail.com'", "u || '@hotmail.com'", 0.9), ("'Email: ' || u || '@hotmail.com'", "u || '@hotmail.com'", 0.9), ("u || '@h0tmail.com'", "u || '@hotmail.com'", 0.7), ("u || '@hotmail.c0m'", "u || '@hotmail.com'", 0.7), ("u || '.hotmail.com'", "u || '.hotmail.com'", 0.1)],
     ),
     "person": (
-        "SELECT c_custkey AS k, substr('王李张刘陈杨黄赵吴周', CAST(c_custkey % 10 AS INT) + 1, 1) AS s, substr('小大建国新立海春秋成', CAST(c_custkey {div} 10 % 10 AS INT) + 1, 1) AS g, substr('明伟强华静', CAST(c_custkey % 5 AS INT) + 1, 1) AS h, substr('鸣炜墙桦净', CAST(c_custkey % 5 AS INT) + 1, 1) AS x FROM customer",
-        [("s || g || h", "s || g || h", 0.95), ("s || '　' || g || h", "s || g || h", 0.9), ("s || g || h || '先生'", "s || g || h", 0.9), ("s || '·' || g || h", "s || g || h", 0.9), ("s || g || x", "s || g || h", 0.7), ("'x' || g || h", "'x' || g || h", 0.1), ("'姓名：' || s || g || h", "s || g || h", 0.9)],
+        f"SELECT k, {cell(SURNAMES, f'j % {len(SURNAMES)}')} AS s, substr('小大建国新立海春秋成', CAST(k % 10 AS INT) + 1, 1) AS g, {cell([r for _, r in NAME_TYPOS], f'j % {len(NAME_TYPOS)}')} AS h, {cell([w for w, _ in NAME_TYPOS], f'j % {len(NAME_TYPOS)}')} AS x FROM (SELECT c_custkey AS k, c_custkey {{div}} 9 AS j FROM customer) c",
+        [("s || g || h", "s || g || h", 0.95), ("s || '　' || g || h", "s || g || h", 0.9), ("s || g || h || '先生'", "s || g || h", 0.9), ("s || '·' || g || h", "s || g || h", 0.9), ("s || g || x", "s || g || h", 0.7), ("'x' || g || h", "'x' || g || h", 0.1), ("'姓名：' || s || g || h", "s || g || h", 0.9), ("s || x || h", "s || h || h", 0.7), ("s || x || ' ' || h || '教授'", "s || x || h", 0.9)],
     ),
     "company": (
-        "SELECT s_suppkey AS k, substr('武汉苏州杭州长沙济南', CAST(s_suppkey % 5 AS INT) * 2 + 1, 2) || '嘉禾' || substr('科技网络信息教育文化', CAST(s_suppkey {div} 5 % 5 AS INT) * 2 + 1, 2) AS b FROM supplier",
-        [("b || '有限公司'", "b || '有限公司'", 0.95), ("b || ' 有限公司'", "b || '有限公司'", 0.9), ("b || '有限公司（总部）'", "b || '有限公司'", 0.9), ("b || '有线公司'", "b || '有限公司'", 0.7), ("b || '股份公司'", "b || '股份有限公司'", 0.7), ("b", "b", 0.1)],
+        f"SELECT k, {cell([c for _, _, c in PLACES], f'k % {len(PLACES)}')} || '嘉禾' AS c, {cell(TRADES, f'k % {len(TRADES)}')} AS t, {cell([w for w, _ in COMPANY_CASES], f'j % {len(COMPANY_CASES)}')} AS fx, {cell([r for _, r in COMPANY_CASES], f'j % {len(COMPANY_CASES)}')} AS f, {cell([w for w, _ in TRADE_CASES], f'j % {len(TRADE_CASES)}')} AS tx, {cell([r for _, r in TRADE_CASES], f'j % {len(TRADE_CASES)}')} AS tr FROM (SELECT c_custkey AS k, c_custkey {{div}} 7 AS j FROM customer) x",
+        [("c || t || f", "c || t || f", 0.95), ("c || ' ' || t || f", "c || t || f", 0.9), ("c || t || f || '（总部）'", "c || t || f", 0.9), ("c || t || fx", "c || t || f", 0.7), ("c || t || '股份公司'", "c || t || '股份有限公司'", 0.7), ("c || tx || '有限公司'", "c || tr || '有限公司'", 0.7), ("c || t", "c || t", 0.1)],
     ),
     "address": (
-        "SELECT s_suppkey AS k, CAST(s_suppkey AS {str}) || '号' AS n FROM supplier",
-        [("'湖北省武汉市江北区人民路' || n", "'湖北省武汉市江北区人民路' || n", 0.95), ("'湖北省 武汉市江北区人民路' || n", "'湖北省武汉市江北区人民路' || n", 0.9), ("'地址：湖北省武汉市江北区人民路' || n", "'湖北省武汉市江北区人民路' || n", 0.9), ("'湖北武汉江北区人民路' || n", "'湖北省武汉市江北区人民路' || n", 0.7), ("'湖北省武汉市江北曲人民路' || n", "'湖北省武汉市江北区人民路' || n", 0.7), ("'湖北省武汉市江北区人民露' || n", "'湖北省武汉市江北区人民路' || n", 0.7), ("'湖北省武汉市江北区'", "'湖北省武汉市江北区'", 0.1)],
+        f"SELECT k, {cell([p for p, _, _ in PLACES], f'k % {len(PLACES)}')} AS p, {cell([f for _, f, _ in PLACES], f'k % {len(PLACES)}')} AS f, {cell([c for _, _, c in PLACES], f'k % {len(PLACES)}')} AS c, {cell([mistyped_city(c) for _, _, c in PLACES], f'k % {len(PLACES)}')} AS x, '江北区人民路' || CAST(k AS {{str}}) || '号' AS r FROM (SELECT c_custkey AS k FROM customer) n",
+        [("f || c || '市' || r", "f || c || '市' || r", 0.95), ("f || ' ' || c || '市' || r", "f || c || '市' || r", 0.9), ("'地址：' || f || c || '市' || r", "f || c || '市' || r", 0.9), ("p || c || r", "f || c || '市' || r", 0.7), ("p || c || '市' || r", "f || c || '市' || r", 0.7), ("f || x || '市' || r", "f || c || '市' || r", "CASE WHEN x = c THEN 0.95 ELSE 0.7 END"), ("f || c || '市' || replace(r, '区', '曲')", "f || c || '市' || r", 0.7), ("f || c || '市' || replace(r, '路', '露')", "f || c || '市' || r", 0.7), ("f || c || '市江北区'", "f || c || '市江北区'", 0.1), ("f || c || r", "f || c || '市' || r", 0.7), ("f || c || '市' || r || '3式'", "f || c || '市' || r || '3室'", 0.7)],
     ),
 }
 # a date without a leading zero in the month and with only the last digit of the day, which is no date if that is 0
@@ -129,6 +156,12 @@ def routed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES = "SELECT CAST(c_custkey AS BIGINT) AS _pos, 'code' AS field, CASE WHEN c_custkey % 3 = 0 THEN md5(CAST(c_custkey {div} 2 AS {str})) ELSE substr(md5(CAST(c_custkey {div} 2 AS {str})), 1, 31) || 'z' END AS value FROM customer"
 BRAND = "translate(substr(md5(CAST(s_suppkey {div} 2 AS {str})), 1, 8), '0123456789abcdef', '甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳')"
 FIRMS = f"SELECT s_suppkey AS _pos, 'company' AS field, CASE WHEN s_suppkey % 2 = 0 THEN '嘉兴' ELSE '' END || {BRAND} || '贸易集团有限公司' AS value FROM supplier"
+#: Characters that no normalizer knows, so that two keys share none.
+UNKNOWN = [c for c in map(chr, range(0x5200, 0x9E00)) if c not in set("".join(d.PERSON_TYPOS) + "".join(d.PERSON_TYPOS.values()) + "".join(map("".join, PLACES)) + "".join(d.ADDRESS_WORDS | d.DIRECTION_WORDS) + "".join(d.ADDRESS_TYPOS) + "".join(d.SURNAMES) + "".join(d.TITLES) + "贵州省贵阳市云岩区路号")]
+SIGNS = [f"substr('{''.join(UNKNOWN[j * 2000 : j * 2000 + p])}', CAST(s_suppkey {{div}} 2 % {p} AS INT) + 1, 1)" for j, p in enumerate((1999, 1997, 1993, 1987, 1979, 1973, 1951, 1949))]
+PEOPLE = f"SELECT s_suppkey AS _pos, 'person' AS field, {cell(SURNAMES, f's_suppkey {{div}} 2 % {len(SURNAMES)}')} || {SIGNS[0]} || CASE WHEN s_suppkey % 2 = 0 THEN {SIGNS[1]} ELSE '' END AS value FROM supplier"
+HOUSES = f"SELECT s_suppkey AS _pos, 'address' AS field, CASE WHEN s_suppkey % 2 = 0 THEN '贵州省' ELSE '' END || '贵阳市云岩区' || {' || '.join(SIGNS[2:])} || '路1号' AS value FROM supplier"
+ADAPTIVE = " UNION ALL ".join(f"SELECT _pos * 3 + {n} AS _pos, field, value, _pos {{div}} 2 AS pair FROM ({text}) t{n}" for n, text in enumerate((PEOPLE, FIRMS, HOUSES)))
 
 
 def grouped(text: str, table: str, group):
@@ -143,6 +176,17 @@ def group_sql(text: str, key: str) -> str:
     return f"SELECT _pos, value, (dense_rank() OVER (ORDER BY first) - 1)::BIGINT AS _group FROM (SELECT *, min(_pos) OVER (PARTITION BY {key}) AS first FROM ({text.format(**DUCK)}) v) w"
 
 
+#: JSON values of all kinds: text, whole numbers, null, lists, numbers with a zero decimal, true, objects.
+NOT_TEXT = "SELECT CAST(c_custkey AS BIGINT) AS _pos, CAST(c_custkey % 7 AS INT) AS kind, CAST(c_custkey % 20 AS {str}) AS n, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN '\"' || CAST(c_custkey % 20 AS {str}) || '\"' WHEN 1 THEN CAST(c_custkey % 20 AS {str}) WHEN 2 THEN 'null' WHEN 3 THEN '[1]' WHEN 4 THEN CAST(c_custkey % 20 AS {str}) || '.0' WHEN 5 THEN 'true' ELSE '{{\"a\": 1}}' END AS value FROM customer"
+
+
+def not_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    raw = spark.sql(NOT_TEXT.format(**SPARK)).select("_pos", F.col("_pos").alias("line"), F.concat(F.lit('{"field": "other", "value": '), "value", F.lit("}")).alias("raw"))
+    rows = files.parsed_rows(raw).withColumn("_pos", F.col("line"))
+    return dedupe.dedupe_exact(rows).select("_pos", F.col("_group").cast("long").alias("_group"))
+
+
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_exact(dirty(spark, sf_dir, ("person", "company", "phone"))).select("id", F.col("_group").cast("long").alias("_group"))
 
@@ -152,10 +196,12 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of a text against all of it: whole ones, and ones after whose first half something stands that it has not."""
     t = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    a = F.md5(F.col("c_custkey").cast("string"))
-    t = t.select("c_custkey", a.alias("a"), F.substring(a, 1, 32).alias("full"), F.substr(a, F.lit(1), (F.col("c_custkey") % 31 + 1).cast("int")).alias("b"))
-    return t.select("c_custkey", similarity.scored(similarity.ratio, F.col("a"), F.col("b")).alias("ratio"), similarity.scored(similarity.ratio_or_partial, F.col("a"), F.col("b")).alias("with_partial"))
+    a, n = F.md5(F.col("c_custkey").cast("string")), (F.col("c_custkey") % 15 + 1).cast("int")
+    t = t.select("c_custkey", a.alias("a"), F.substr(a, F.lit(1), (F.col("c_custkey") % 31 + 1).cast("int")).alias("b"), F.concat(F.substr(a, F.lit(1), n), F.repeat(F.lit("z"), n)).alias("spoilt"))
+    pair = lambda scorer, b: similarity.scored(scorer, F.col("a"), F.col(b))
+    return t.select("c_custkey", pair(similarity.ratio, "b").alias("ratio"), pair(similarity.ratio_or_partial, "b").alias("with_partial"), pair(similarity.ratio, "spoilt").alias("spoilt_ratio"), pair(similarity.partial_ratio, "spoilt").alias("spoilt_partial"), pair(similarity.same_initial_ratio, "spoilt").alias("spoilt_same_initial"))
 
 
 HEADER = ["编号", "phone", "email", "备注"]
@@ -219,6 +265,12 @@ def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.threshold_sweep(stage(spark.sql(SWEEP_ROWS.format(**SPARK)), "sweep-rows"))[1]
 
 
+def chosen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    best = evaluate.threshold_sweep(stage(spark.sql(SWEEP_ROWS.format(**SPARK)), "sweep-rows"))[0]
+    return spark.range(1).select(F.lit(best).cast("double").alias("threshold"))
+
+
 SWEEP_SQL = f"""
 WITH r AS (SELECT t::DOUBLE AS threshold, c_custkey // 4 AS id, c_custkey // 5 * 5 + CASE WHEN CASE c_custkey % 5 {' '.join(f'WHEN {v} THEN {near}' for v, (_, near) in enumerate(SWEPT))} END >= t THEN 0 ELSE c_custkey % 5 END AS value FROM customer, (VALUES {', '.join(f'({t})' for t in evaluate.GRID)}) v(t)),
 cells AS (SELECT threshold, id, value, count(*) AS n FROM r GROUP BY ALL),
@@ -254,10 +306,22 @@ def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dirty(spark, sf_dir, ("phone", "amount")).select("_pos", F.to_json(F.struct("id", "field", "value", F.lit("甲").alias("more"))).alias("text"))
     files.write_lines(rows, path + "-in")
     cleaned = normalize_rows(files.read_rows(spark, path + "-in"))
-    files.write_lines(cleaned.select("_pos", files.spliced(F.col("raw"), normalized=F.col("normalized"), confidence=F.col("confidence")).alias("text")), path + "-out")
+    files.write_lines(cleaned.select("_pos", files.spliced(F.col("raw"), normalized=files.json_text(F.col("normalized")), confidence=files.json_text(F.col("confidence"))).alias("text")), path + "-out")
     return spark.read.schema("id string, field string, value string, more string, normalized string, confidence double").json(path + "-out")
 
 
+def lines_cleaned_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that have the keys already, first, last and twice cleaned; each key is there once in the end."""
+    rows = dirty(spark, sf_dir, ("phone",)).withColumn("line", F.col("_pos"))
+    for _ in range(2):
+        old = [F.lit("old").alias("normalized"), "id", "field", "value", F.lit(True).alias("confidence")]
+        raw = rows.select("line", F.to_json(F.struct(*old)).alias("raw")) if "raw" not in rows.columns else rows.select("line", "raw")
+        done = normalize_rows(files.parsed_rows(raw))
+        rows = stage(done.select("line", files.spliced(F.col("raw"), normalized=files.json_text(F.col("normalized")), confidence=files.json_text(F.col("confidence"))).alias("raw")), "cleaned-again")
+    read = F.from_json("raw", "id string, normalized string, confidence double")
+    return rows.select(read.alias("row"), F.regexp_count("raw", F.lit('"normalized"')).alias("n_normalized")).select("row.*", "n_normalized")
+
+
 def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     head = spark.createDataFrame([(-1, HEADER)], "_pos long, cells array<string>")
@@ -277,24 +341,54 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path + "-out").select("id", "value", "normalized", "confidence")
 
 
+def run_stream(spark: SparkSession, rows: DataFrame, schema: str, plan, mode: str) -> DataFrame:
+    """The plan over the rows as a stream from files, its last result as a table."""
+    path = scratch_path(spark, "stream")
+    rows.write.parquet(path + "-in")
+    stream = plan(spark.readStream.schema(schema).parquet(path + "-in"))
+    put = lambda batch, n: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path + "-out")
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path + "-out")
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the date rows by weeks of their keys, as minutes after the epoch, counted in a stream."""
+    from ..streaming.normalize import changes_by_window
+
+    rows = dirty(spark, sf_dir, ("phone", "email")).select(F.timestamp_seconds(F.col("_pos") * 60).alias("at"), "field", "value")
+    found = run_stream(spark, rows, "at timestamp, field string, value string", lambda r: changes_by_window(r, "at", "1 hour", "2 hours"), "complete")
+    return found.select((F.unix_timestamp(F.col("window.start")) / 7200).cast("long").alias("nth"), "field", "total", "changed")
+
+
+def first_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.normalize import first_seen
+
+    rows = dirty(spark, sf_dir, ("person",)).select(F.timestamp_seconds(F.col("_pos")).alias("at"), "field", "value")
+    return run_stream(spark, rows, "at timestamp, field string, value string", lambda r: first_seen(r, "at", "365 days"), "append").select("field", "normalized")
+
+
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean values of every field: how many, how many distinct, and how many that the normalizers call clean."""
-    rows = stage(normalize_rows(generate.clean_values(spark, DRAWN)), "drawn")
+    """Clean values of every field, one for each supplier: how many, how many distinct, and how many that the normalizers call clean."""
+    rows = stage(normalize_rows(generate.clean_values(spark, suppliers(spark, sf_dir))), "drawn")
     return rows.groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("value").alias("different"), F.count_if((F.col("confidence") == 0.95) & (F.col("normalized") == F.col("value"))).alias("clean"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+
 def drawn_and_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants of drawn values that come back, for the cells in which all or none have to."""
-    spoilt = stage(generate.dirty_values(stage(generate.clean_values(spark, DRAWN), "drawn")), "spoilt")
+    spoilt = stage(generate.dirty_values(stage(generate.clean_values(spark, suppliers(spark, sf_dir)), "drawn")), "spoilt")
     cells = stage(evaluate.rollups(stage(evaluate.scored(spoilt), "scored")), "cells")
-    sure = F.col("perturbation").isin("space", "sep", "noise") | F.col("field").isin("phone", "amount", "idcard") | F.concat_ws("/", "field", "perturbation").isin("person/abbrev", "email/abbrev", "date/typo", "company/typo")
+    sure = F.col("perturbation").isin("space", "sep", "noise") | F.col("field").isin("phone", "amount", "idcard") | F.concat_ws("/", "field", "perturbation").isin("person/abbrev", "email/abbrev", "date/typo")
     return cells.where(F.col("field").isNotNull() & F.col("perturbation").isNotNull() & sure).select("field", "perturbation", "correct", "total")
 
 
 def sets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn sets, written and read again as rows for scoring duplicates, counted."""
     path = scratch_path(spark, "sets")
-    clean, spoilt = generate.build(spark, DRAWN)
+    clean, spoilt = generate.build(spark, suppliers(spark, sf_dir))
     benchmark.write_sets(clean, path + "/clean", benchmark.PAIR_FIELDS)
     benchmark.write_sets(spoilt, path + "/dirty", benchmark.PAIR_FIELDS)
     parts = [benchmark.load_pairs(spark, path + "/clean", path + "/dirty", s) for s in benchmark.SPLITS]
@@ -307,7 +401,7 @@ def wrong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.error_pairs(grouped).select("type", "a", "b", "id_a", "id_b", "value_a", "value_b")
 
 
-DRAWN = 150
+DRAWN = "(SELECT count(*) FROM supplier)"
 FIELD_VALUES = ", ".join(f"('{f}')" for f in generate.FIELDS)
 WRONG = "SELECT '{kind}' AS type, a._pos AS a, b._pos AS b, a.id AS id_a, b.id AS id_b, a.value AS value_a, b.value AS value_b FROM r a JOIN r b ON a.{same} = b.{same} AND a.{other} <> b.{other} AND a._pos < b._pos ORDER BY a._pos, b._pos LIMIT 50"
 
@@ -332,9 +426,11 @@ add("route_llm_budget", routed_with_budget, f"SELECT id, CASE WHEN sure >= 0.2 O
 add("route_max_steps", routed_steps, f"SELECT CASE WHEN sure >= 0.2 THEN 'cleaned' WHEN value <> want THEN 'hitl' ELSE 'unchanged' END AS bucket, count(*) AS n FROM ({cases(DUCK)}) c WHERE _pos < 4000 GROUP BY ALL")
 add("dedupe_exact", exact_groups, f"SELECT id, (dense_rank() OVER (ORDER BY first) - 1)::BIGINT AS _group FROM (SELECT *, min(_pos) OVER (PARTITION BY field, want) AS first FROM ({cases(DUCK, ('person', 'company', 'phone'))}) c) d")
 add("dedupe_plain", grouped(CODES, "customer", dedupe.dedupe), group_sql(CODES, "substr(value, 1, 31)"))
-add("dedupe_adaptive", grouped(FIRMS, "supplier", dedupe.dedupe_adaptive), group_sql(FIRMS, "replace(value, '嘉兴', '')"))
+add("dedupe_adaptive", grouped(ADAPTIVE, "supplier", dedupe.dedupe_adaptive), group_sql(ADAPTIVE, "field, pair"))
+add("dedupe_non_text", not_text_groups, group_sql(NOT_TEXT, "CASE kind WHEN 0 THEN 't' || n WHEN 1 THEN 'n' || n WHEN 2 THEN 'null' WHEN 3 THEN 'row' || _pos WHEN 4 THEN 'n' || n WHEN 5 THEN 'n1' ELSE 'row' || _pos END").replace("SELECT _pos, value,", "SELECT _pos,"))
+add("jsonl_renormalized", lines_cleaned_again, f"SELECT id, want AS normalized, sure AS confidence, 1 AS n_normalized FROM ({cases(DUCK, ('phone',))}) c")
 add("dedupe_group_stats", statistics, f"SELECT sum(n)::BIGINT AS rows, count(*) AS groups, count(*) FILTER (n > 1) AS multi, sum(n - 1)::BIGINT AS removable FROM (SELECT count(*) AS n FROM ({cases(DUCK, ('person', 'company'))}) c GROUP BY field, want) d")
-add("similarity_ratio", ratios, "SELECT c_custkey, 2.0::DOUBLE * (c_custkey % 31 + 1) / (32 + c_custkey % 31 + 1) AS ratio, 1.0::DOUBLE AS with_partial FROM customer")
+add("similarity_ratio", ratios, "SELECT c_custkey, 2.0::DOUBLE * (c_custkey % 31 + 1) / (32 + c_custkey % 31 + 1) AS ratio, 1.0::DOUBLE AS with_partial, 2.0::DOUBLE * n / (32 + 2 * n) AS spoilt_ratio, 2.0::DOUBLE * n / (2 * n + n) AS spoilt_partial, 2.0::DOUBLE * n / (32 + 2 * n) AS spoilt_same_initial FROM (SELECT c_custkey, c_custkey % 15 + 1 AS n FROM customer) c")
 add("table_clean", sheet_clean, f"SELECT _pos, c0, w1 AS c1, w2 AS c2, c3 FROM ({sheet(DUCK)}) s")
 add("table_report", sheet_report, f"SELECT 'phone' AS field, count(*) FILTER (c1 <> w1) AS changed, count(*) FILTER (c1 = w1) AS unchanged, count(*) FILTER (s1 < 0.2) AS hitl FROM ({sheet(DUCK)}) s UNION ALL SELECT 'email', count(*) FILTER (c2 <> w2), count(*) FILTER (c2 = w2), count(*) FILTER (s2 < 0.2) FROM ({sheet(DUCK)}) s")
 add("eval_grouping_sets", evaluated, f"SELECT field, 'v' || variant AS perturbation, count(*) FILTER (variant <> 4) AS correct, count(*) AS total, round(count(*) FILTER (variant <> 4) / count(*), 6) AS rate FROM ({cases(DUCK)}) c GROUP BY GROUPING SETS ((field, perturbation), (field), (perturbation), ())")
@@ -345,8 +441,11 @@ add("perturb_variants", perturbed_back, f"SELECT field, p AS perturbation, count
 add("jsonl_roundtrip", lines_round_trip, f"SELECT id, field, value, '甲' AS more, want AS normalized, sure AS confidence FROM ({cases(DUCK, ('phone', 'amount'))}) c")
 add("csv_roundtrip", sheet_round_trip, f"SELECT c0, c1, c2, c3 FROM ({sheet(DUCK)}) s")
 add("stream_normalize", streamed, f"SELECT id, value, want AS normalized, sure AS confidence FROM ({cases(DUCK, ('phone',))}) c")
+add("eval_threshold_choice", lambda spark, sf_dir: chosen_threshold(spark, sf_dir), SWEEP_SQL + "SELECT threshold FROM rates ORDER BY round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) DESC, threshold LIMIT 1")
+add("stream_changes_by_window", windows, f"SELECT _pos // 120 AS nth, field, count(*) AS total, count(*) FILTER (value <> want) AS changed FROM ({cases(DUCK, ('phone', 'email'))}) c GROUP BY ALL")
+add("stream_first_seen", first_of_stream, f"SELECT DISTINCT field, want AS normalized FROM ({cases(DUCK, ('person',))}) c")
 add("table_dedupe", sheet_deduped, f"SELECT min(_pos) AS _pos FROM ({FIRMS.format(**DUCK)}) f GROUP BY replace(value, '嘉兴', '')")
 add("generate_clean", drawn, f"SELECT field, {DRAWN}::BIGINT AS n, {DRAWN}::BIGINT AS different, {DRAWN}::BIGINT AS clean FROM (VALUES {FIELD_VALUES}) f(field)")
-add("generate_variants", drawn_and_spoilt, f"SELECT field, p AS perturbation, CASE WHEN p = 'abbrev' AND field IN ('person', 'email') OR p = 'sep' AND field = 'email' THEN 0 ELSE {DRAWN} END::BIGINT AS correct, {DRAWN}::BIGINT AS total FROM (VALUES {FIELD_VALUES}) f(field), (VALUES ('space'), ('typo'), ('abbrev'), ('sep'), ('noise')) v(p) WHERE p IN ('space', 'sep', 'noise') OR field IN ('phone', 'amount', 'idcard') OR field || '/' || p IN ('person/abbrev', 'email/abbrev', 'date/typo', 'company/typo')")
-add("benchmark_sets", sets_round_trip, f"SELECT field, kind, split, (CASE split WHEN 'heldout' THEN {DRAWN} // 5 ELSE {DRAWN} - {DRAWN} // 5 END * CASE kind WHEN 'clean' THEN 1 ELSE 5 END)::BIGINT AS n FROM (VALUES ('person'), ('address'), ('phone'), ('company')) f(field), (VALUES ('clean'), ('dirty')) k(kind), (VALUES ('heldout'), ('train')) s(split)")
+add("generate_variants", drawn_and_spoilt, f"SELECT field, p AS perturbation, CASE WHEN p = 'abbrev' AND field IN ('person', 'email') OR p = 'sep' AND field = 'email' THEN 0 ELSE {DRAWN} END::BIGINT AS correct, {DRAWN}::BIGINT AS total FROM (VALUES {FIELD_VALUES}) f(field), (VALUES ('space'), ('typo'), ('abbrev'), ('sep'), ('noise')) v(p) WHERE p IN ('space', 'sep', 'noise') OR field IN ('phone', 'amount', 'idcard') OR field || '/' || p IN ('person/abbrev', 'email/abbrev', 'date/typo')")
+add("benchmark_sets", sets_round_trip, f"SELECT field, kind, split, (CASE split WHEN 'heldout' THEN round({DRAWN} * 0.2) ELSE {DRAWN} - round({DRAWN} * 0.2) END * CASE kind WHEN 'clean' THEN 1 ELSE 5 END)::BIGINT AS n FROM (VALUES ('person'), ('address'), ('phone'), ('company')) f(field), (VALUES ('clean'), ('dirty')) k(kind), (VALUES ('heldout'), ('train')) s(split)")
 add("eval_error_pairs", wrong_pairs, f"WITH r AS ({PAIR_ROWS.format(**DUCK)}) (" + WRONG.format(kind="missed", same="id", other="value") + ") UNION ALL (" + WRONG.format(kind="wrong_merge", same="value", other="id") + ")")

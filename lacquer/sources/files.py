@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import with_positions
+from .scratch import forget, scratch_path, with_positions
 
 BOM = "﻿"
 
@@ -59,10 +60,32 @@ def read_rows(spark: SparkSession, path: str, need_field: bool = True) -> DataFr
     return with_positions(rows.orderBy("line"), "_pos")
 
 
+def json_text(value: Column) -> Column:
+    """A value as JSON text; a null is null."""
+    return F.regexp_extract(F.to_json(F.array(value), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
+
+
+def json_value(value: Column, value_json: Column) -> Column:
+    """The JSON text of a text column, or of what stands in its place if it is null."""
+    return F.when(value.isNull(), F.coalesce(value_json, F.lit("null"))).otherwise(json_text(value))
+
+
 def spliced(raw: Column, **added: Column) -> Column:
-    """The JSON object of a line with keys added at its end, all else as it stands."""
-    extra = F.to_json(F.struct(*[c.alias(k) for k, c in added.items()]), {"ignoreNullFields": "false"})
-    return F.concat(F.regexp_replace(raw, r"\}\s*\z", ""), F.lit(", "), F.substr(extra, F.lit(2)))
+    """The JSON object of a line with keys set to values, given as JSON text: in place if it has them, else at its end in order.
+
+    All else stands as it does in a line that has none of the keys; a line that has one is written anew.
+    """
+    tail = F.concat_ws(", ", *[F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ": "), v) for k, v in added.items()])
+    head = F.regexp_replace(raw, r"\s*\}\s*\z", "")
+    plain = F.concat(head, F.when(head.rlike(r"^\s*\{\s*\z"), "").otherwise(", "), tail, F.lit("}"))
+    entries = F.map_entries(F.from_json(raw, "map<string,variant>"))
+    new = F.create_map(*[x for k, v in added.items() for x in (F.lit(k), v)])
+    there = F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(": "), F.coalesce(F.element_at(new, e["key"]), F.to_json(e["value"]))))
+    names = F.transform(entries, lambda e: e["key"])
+    late = F.transform(F.filter(F.map_entries(new), lambda e: ~F.array_contains(names, e["key"])), lambda e: F.concat(json_text(e["key"]), F.lit(": "), e["value"]))
+    again = F.concat(F.lit("{"), F.array_join(F.concat(there, late), ", "), F.lit("}"))
+    has = F.exists(F.json_object_keys(raw), lambda k: k.isin(list(added)))
+    return F.when(has, again).otherwise(plain)
 
 
 def read_cells(spark: SparkSession, path: str, multiline: bool = False) -> tuple[list[str], DataFrame]:
@@ -95,3 +118,22 @@ def csv_line(cells: Column) -> Column:
 def write_lines(lines: DataFrame, path: str, by: str = "_pos") -> None:
     """The column `text` as a folder of text files whose names follow the order of `by`."""
     lines.orderBy(by).select("text").write.text(path)
+
+
+def parts_of(spark: SparkSession, lines: DataFrame, by: str = "_pos") -> Iterator[str]:
+    """The column `text` in the order of `by`, as pieces of text of whole lines; tasks format and order it, and the pieces pass one at a time."""
+    path = scratch_path(spark, "lines")
+    write_lines(lines, path, by)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    for name in names:
+        reader = spark._jvm.java.io.BufferedInputStream(fs.open(spark._jvm.org.apache.hadoop.fs.Path(at, name)))
+        rest = b""
+        while chunk := bytes(reader.readNBytes(1 << 20)):
+            whole, found, rest = (rest + chunk).rpartition(b"\n")
+            yield (whole + found).decode()
+        reader.close()
+        if rest:
+            yield rest.decode()
+    forget(spark, path)

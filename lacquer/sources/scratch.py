@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, with its scheme; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir, with its scheme. Only where all runs in one JVM, as in tests, may it be unset: a local folder is set then."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lacquer-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -21,8 +23,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return ("file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder in scratch_dir() of all that this application stages."""
+    return f"{scratch_dir(spark)}/lacquer-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str | None = None) -> None:
+    """Delete what was staged at path, or all that this application staged; tables read from there can't be used any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path or session_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget_staged(df: DataFrame) -> None:
+    """Delete the files of a table that stage() gave and that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        forget(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import changes
+from ..operators.audit import marked
 from ..operators.normalize import normalize_rows
 
 
@@ -21,5 +21,5 @@ def first_seen(rows: DataFrame, time: str, delay: str) -> DataFrame:
 
 def changes_by_window(rows: DataFrame, time: str, delay: str, width: str) -> DataFrame:
     """Counts of rows and changes by time window and field; late rows count until the watermark passes their window."""
-    found = changes(rows).withWatermark(time, delay)
+    found = marked(normalize_rows(rows)).withWatermark(time, delay)
     return found.groupBy(F.window(time, width).alias("window"), "field").agg(F.count("*").alias("total"), F.count_if("changed").alias("changed"))

@@ -3,12 +3,13 @@ import random
 import pytest
 
 from lacquer.functions import similarity
+from lacquer.operators import blocking
 from lacquer.operators.blocking import candidate_pairs
 from lacquer.operators.dedupe import BLOCKED
 
 
 @pytest.mark.parametrize("scorer", list(BLOCKED))
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 0.9])
 def test_no_pair_at_the_threshold_is_lost(spark, scorer, threshold):
     """Against all pairs, on short strings of few characters, copies with edits and windows of longer ones."""
     r = random.Random(5)
@@ -19,3 +20,44 @@ def test_no_pair_at_the_threshold_is_lost(spark, scorer, threshold):
     found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, threshold, **BLOCKED[scorer]).select("a", "b").collect()}
     want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if scorer(values[i], values[j]) >= threshold}
     assert want <= found
+
+
+def test_no_similar_long_string_is_lost(spark):
+    """Longer strings, with edits anywhere, and one run that all have."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(40):
+        one = "".join(r.choice("0123456789abcdef") for _ in range(r.randint(14, 30))) + "有限公司"
+        texts.append(one)
+        for _ in range(3):
+            chars = list(one)
+            for _ in range(r.randint(1, 6)):
+                at = r.randrange(len(chars))
+                chars[at : at + r.randint(0, 1)] = r.choice(["", "x", "5"])
+            texts.append("".join(chars))
+        texts.append(one[r.randint(0, 6) : r.randint(12, 40)] + r.choice(["", "乙", "丙丁"]))
+    values = sorted(set(filter(None, texts)))
+    df = spark.createDataFrame([("f", t, k) for k, t in enumerate(values)], "field string, value string, vid long")
+    for scorer, options in BLOCKED.items():
+        for threshold in (0.8, 0.85, 0.95):
+            found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, threshold, **options).select("a", "b").collect()}
+            want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if scorer(values[i], values[j]) >= threshold}
+            assert want <= found and (threshold < 0.95 or len(found) < len(values) ** 2 // 8)
+
+
+def test_hot_runs_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "PART_ROWS", 5)
+    values = [f"王{chr(0x4E00 + k)}" for k in range(60)]
+    df = spark.createDataFrame([("f", t, k) for k, t in enumerate(values)], "field string, value string, vid long")
+    assert candidate_pairs(df, 0.5, same_initial=True).count() == 60 * 59 // 2
+
+
+def test_scores_of_many_pairs_are_those_of_each():
+    r = random.Random(1)
+    text = lambda: "".join(r.choice("abcé中😀") for _ in range(r.choice([0, 1, 2, 3, 5, 9, 20, 63, 64, 65])))
+    left, right = [text() for _ in range(300)], [text() for _ in range(300)]
+    right = [a[: r.randint(0, len(a))] + b[:2] if r.random() < 0.4 else b for a, b in zip(left, right, strict=True)]
+    for scorer, batched in similarity.BATCHED.items():
+        assert batched(left, right).tolist() == [scorer(a, b) for a, b in zip(left, right, strict=True)]
+        assert batched([], []).tolist() == []
+    assert similarity.ratio("", "") == similarity.partial_ratio("", "") == 1.0 and similarity.partial_ratio("", "a") == 0.0
