@@ -146,12 +146,22 @@ BATCHED = {ratio: ratios, same_initial_ratio: same_initial_ratios, partial_ratio
 
 def scored(scorer, a: Column, b: Column) -> Column:
     """The scorer over two columns, in Arrow batches. It has to see both strings, so built-in functions don't do."""
-    batched = BATCHED.get(scorer)
+    return scored_by({}, scorer, F.lit(""), a, b)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        if batched:
-            return pd.Series(batched(x.tolist(), y.tolist()), dtype="float64")
-        return pd.Series([float(scorer(p, q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    return score(a, b)
+def scored_by(scorers: dict, default, field: Column, a: Column, b: Column) -> Column:
+    """The scorer of each row's field, or the default one, over two columns."""
+
+    @F.pandas_udf("double")
+    def score(f: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out, left, right = np.empty(len(x)), x.tolist(), y.tolist()
+        members: dict = {}
+        for i, name in enumerate(f.tolist()):
+            members.setdefault(scorers.get(name, default), []).append(i)
+        for scorer, at in members.items():
+            pairs = [left[i] for i in at], [right[i] for i in at]
+            batched = BATCHED.get(scorer)
+            out[at] = batched(*pairs) if batched else [float(scorer(p, q)) for p, q in zip(*pairs, strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    return score(field, a, b)

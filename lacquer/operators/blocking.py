@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,16 @@ BUCKET_BITS = 17
 PART_ROWS = 20_000
 ANYWHERE = 1 << 30
 
-SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int"
-LONG = "key long, salt int, b long, lb int, place int"
+SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int, both boolean"
+LONG = "key long, salt int, b long, lb int, at int"
+
+
+class Search(NamedTuple):
+    """What pairs are sought among values of a field: at a threshold over 0, by windows too, or only with the same first character."""
+
+    threshold: float
+    partial: bool = False
+    same_initial: bool = False
 
 
 @cache
@@ -68,13 +77,6 @@ def runs_of(la: int, changes: int, deletions: int) -> tuple[int, int]:
     return (length, changes + 1) if length > 1 else (1, min(la, deletions + 1))
 
 
-@cache
-def run_lengths(lb: int, threshold: float, partial: bool) -> tuple[int, ...]:
-    """The lengths of runs by which a string of lb characters can be met."""
-    least = 1 if partial else max(1, int(np.ceil(lb * threshold / (2 - threshold) - EPSILON)))
-    return tuple(sorted({band[0] for la in range(least, lb + 1) for band in bands(la, threshold, partial) if band[2] <= lb <= band[3]}))
-
-
 def rarest(counts: list[int], length: int, runs: int) -> list[int]:
     """The starts of `runs` runs of `length` that don't overlap, whose counts add up to the least."""
     if length == 1:
@@ -96,78 +98,130 @@ def rarest(counts: list[int], length: int, runs: int) -> list[int]:
     return out
 
 
-def run_key(head: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{head}\x00{text}".encode("utf-8", "surrogatepass"))
-
-
-def signed(keys: list[int]) -> pa.Array:
-    return pa.array(np.array(keys, np.uint64).view(np.int64))
-
-
-def candidate_ids(values: DataFrame, threshold: float, partial: bool = False, same_initial: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of vids of values (field, value, vid) that can reach the threshold, which is over 0."""
-    bucket = np.uint64(64 - BUCKET_BITS)
-    head = lambda field, text: f"{field}\x00{text[:1]}" if same_initial else f"{field}"
+class Reach:
+    """Bands and lengths of runs for the lengths of values that there are in each field."""
+
+    def __init__(self, searches: dict[str, Search], default: Search, there: dict[str, set[int]]):
+        self.searches, self.default, self.there = searches, default, there
+        self.known_bands: dict[tuple[str, int], list[tuple]] = {}
+        self.known_lengths: dict[tuple[str, int], frozenset[int]] = {}
+
+    def bands(self, field: str, la: int) -> list[tuple[int, int, int, int, int, int]]:
+        """The bands of a value of la characters in which there are partners."""
+        if (field, la) not in self.known_bands:
+            s = self.searches.get(field, self.default)
+            self.known_bands[field, la] = [b for b in bands(la, s.threshold, s.partial) if any(b[2] <= n <= b[3] for n in self.there[field])]
+        return self.known_bands[field, la]
+
+    def lengths(self, field: str, lb: int) -> frozenset[int]:
+        """The lengths of runs by which a value of lb characters can be met as the longer one."""
+        if (field, lb) not in self.known_lengths:
+            self.known_lengths[field, lb] = frozenset(b[0] for la in self.there[field] if la <= lb for b in self.bands(field, la) if b[2] <= lb <= b[3])
+        return self.known_lengths[field, lb]
+
+
+class Texts:
+    """Values of a batch as one row of code points, and the hashes of their runs."""
+
+    def __init__(self, batch: pa.RecordBatch, searches: dict[str, Search], default: Search):
+        self.fields, self.vids = batch.column("field").to_pylist(), batch.column("vid").to_numpy()
+        texts = batch.column("value").to_pylist()
+        self.searches = [searches.get(f, default) for f in self.fields]
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        heads = (f"{f}\x00{t[0]}" if s.same_initial else f"{f}" for f, t, s in zip(self.fields, texts, self.searches, strict=True))
+        self.heads = np.fromiter(map(xxhash.xxh64_intdigest, heads), np.uint64, len(texts))
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.known: dict[int, tuple] = {}
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and hash of each run of this length, and where each text's runs begin."""
+        if length not in self.known:
+            self.known[length] = self._runs(length)
+        return self.known[length]
+
+    def _runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = max(0, len(self.codes) - length + 1)
+        at = np.nonzero(self.owner[:n] == self.owner[length - 1 :][:n])[0]
+        of = self.owner[at]
+        h = self.heads[of].copy()
+        for k in range(length):
+            h = (h ^ self.codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return of, at - self.starts[of], h, np.concatenate(([0], np.cumsum(np.maximum(self.sizes - length + 1, 0))))
+
+
+def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
+    """Distinct pairs (a, b) of vids of values (field, value, vid) that can reach the threshold of their field's search."""
+    shift = np.uint64(64 - BUCKET_BITS)
     keyed = stage(values.where(F.length("value") > 0).select("field", "value", "vid"), "blocking")
+    # a length is a row for each field; only bands and runs for lengths that there are matter
+    there: dict[str, set[int]] = {}
+    for r in keyed.groupBy("field", F.length("value").alias("n")).count().collect():
+        there.setdefault(r["field"], set()).add(r["n"])
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        return zip(*(batch.column(c).to_pylist() for c in ("field", "value", "vid")), strict=True)
+    reach = Reach(searches, default, there)
 
-    def grams(field: str, text: str) -> Iterator[tuple[int, int]]:
-        start = head(field, text)
-        for q in run_lengths(len(text), threshold, partial):
-            for i in range(len(text) - q + 1):
-                yield run_key(start, text[i : i + q]), i
+    def met_by(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, place and hash of the runs by which texts can be met as the longer ones."""
+        lengths = [reach.lengths(f, n) for f, n in zip(texts.fields, texts.sizes.tolist(), strict=True)]
+        for length in sorted(set().union(*lengths)):
+            wanted = np.fromiter((length in x for x in lengths), bool, len(lengths))
+            of, at, h, _ = texts.runs(length)
+            yield of[wanted[of]], at[wanted[of]], h[wanted[of]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            keys = [k for field, text, _ in rows(batch) for k, _ in grams(field, text)]
-            total += np.bincount((np.array(keys, np.uint64) >> bucket).astype(np.int64), minlength=1 << BUCKET_BITS)
-        there = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(there, pa.int32()), "n": pa.array(total[there])})
+            for _, _, h in met_by(Texts(batch, searches, default)):
+                total += np.bincount((h >> shift).astype(np.int64), minlength=1 << BUCKET_BITS)
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used])})
 
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in keyed.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]
     sent = values.sparkSession.sparkContext.broadcast(counts)
 
-    def parts(key: int) -> int:
-        return 1 + int(sent.value[key >> int(bucket)]) // PART_ROWS
-
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for field, text, vid in rows(batch):
-                start = head(field, text)
-                for length, runs, least, most, before, after in bands(len(text), threshold, partial):
-                    keys = [run_key(start, text[i : i + length]) for i in range(len(text) - length + 1)]
-                    for i in rarest([int(sent.value[k >> int(bucket)]) for k in keys], length, runs):
-                        out += [(keys[i], salt, vid, len(text), i, least, most, before, after) for salt in range(parts(keys[i]))]
-            yield table(SHORT, out)
+            texts = Texts(batch, searches, default)
+            rows: list[tuple[int, ...]] = []
+            keys: list[np.ndarray] = []
+            for k, (field, size, vid, search) in enumerate(zip(texts.fields, texts.sizes.tolist(), texts.vids.tolist(), texts.searches, strict=True)):
+                for length, n, least, most, before, after in reach.bands(field, size):
+                    _, _, h, starts = texts.runs(length)
+                    mine = h[starts[k] : starts[k + 1]]
+                    held = sent.value[(mine >> shift).astype(np.int64)]
+                    at = rarest(held.tolist(), length, n)
+                    for i, salts in zip(at, (held[at] // PART_ROWS + 1).tolist(), strict=True):
+                        rows += [(salt, vid, size, i, least, most, before, after, search.partial) for salt in range(salts)]
+                        keys.append(np.full(salts, mine[i]))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.bool_()]
+            key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [c.split()[0] for c in SHORT.split(", ")])
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield table(LONG, [(k, vid % parts(k), vid, len(text), i) for field, text, vid in rows(batch) for k, i in grams(field, text)])
+            texts = Texts(batch, searches, default)
+            for of, at, h in met_by(texts):
+                salt = texts.vids[of] % (sent.value[(h >> shift).astype(np.int64)] // PART_ROWS + 1)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(h.view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "b": pa.array(texts.vids[of]), "lb": pa.array(texts.sizes[of].astype(np.int32)), "at": pa.array(at.astype(np.int32))})
 
     # few bytes can be many pairs, so partitions are not merged by their bytes
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = keyed.mapInArrow(short, SHORT).repartition(n, "key", "salt")
-    right = keyed.mapInArrow(long, LONG).withColumnRenamed("place", "at").repartition(n, "key", "salt")
-    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after")
-    # of two equally long strings, either may be the one of which windows are taken
-    met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if partial else met.where("la < lb OR a < b")
-    return met.select("a", "b").distinct()
-
-
-def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    """Rows as a batch whose first column holds unsigned keys."""
-    names = [(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.int32()) for c in schema.split(", ")]
-    cols = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([signed(list(cols[0])), *[pa.array(c, t) for c, (_, t) in zip(cols[1:], names[1:], strict=True)]], [n for n, _ in names])
+    right = keyed.mapInArrow(long, LONG).repartition(n, "key", "salt")
+    # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
+    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after AND (la < lb OR a < b OR both AND a <> b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def candidate_pairs(values: DataFrame, threshold: float, partial: bool = False, same_initial: bool = False) -> DataFrame:
-    """Distinct pairs (a, b, va, vb) of values (field, value, vid) that can reach the threshold, which is over 0."""
-    ids = candidate_ids(values, threshold, partial, same_initial)
-    return ids.join(values.select(F.col("vid").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("vid").alias("b"), F.col("value").alias("vb")), "b")
+def candidate_pairs(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
+    """Distinct pairs (field, a, b, va, vb) of values (field, value, vid) that can reach the threshold of their field's search."""
+    ids = candidate_ids(values, searches, default)
+    return ids.join(values.select("field", F.col("vid").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("vid").alias("b"), F.col("value").alias("vb")), "b")

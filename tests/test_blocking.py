@@ -4,7 +4,7 @@ import pytest
 
 from lacquer.functions import similarity
 from lacquer.operators import blocking
-from lacquer.operators.blocking import candidate_pairs
+from lacquer.operators.blocking import Search, candidate_pairs
 from lacquer.operators.dedupe import BLOCKED
 
 
@@ -17,7 +17,7 @@ def test_no_pair_at_the_threshold_is_lost(spark, scorer, threshold):
     texts |= {t[: r.randint(1, len(t))] for t in sorted(texts)} | {t + r.choice("xyz") * r.randint(1, 3) for t in sorted(texts)}
     values = sorted(texts)
     df = spark.createDataFrame([("f", t, k) for k, t in enumerate(values)], "field string, value string, vid long")
-    found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, threshold, **BLOCKED[scorer]).select("a", "b").collect()}
+    found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, {}, Search(threshold, **BLOCKED[scorer])).select("a", "b").collect()}
     want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if scorer(values[i], values[j]) >= threshold}
     assert want <= found
 
@@ -40,7 +40,7 @@ def test_no_similar_long_string_is_lost(spark):
     df = spark.createDataFrame([("f", t, k) for k, t in enumerate(values)], "field string, value string, vid long")
     for scorer, options in BLOCKED.items():
         for threshold in (0.8, 0.85, 0.95):
-            found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, threshold, **options).select("a", "b").collect()}
+            found = {tuple(sorted((x["a"], x["b"]))) for x in candidate_pairs(df, {"f": Search(threshold, **options)}, Search(1.0)).select("a", "b").collect()}
             want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if scorer(values[i], values[j]) >= threshold}
             assert want <= found and (threshold < 0.95 or len(found) < len(values) ** 2 // 8)
 
@@ -49,7 +49,7 @@ def test_hot_runs_are_dealt_to_parts(spark, monkeypatch):
     monkeypatch.setattr(blocking, "PART_ROWS", 5)
     values = [f"王{chr(0x4E00 + k)}" for k in range(60)]
     df = spark.createDataFrame([("f", t, k) for k, t in enumerate(values)], "field string, value string, vid long")
-    assert candidate_pairs(df, 0.5, same_initial=True).count() == 60 * 59 // 2
+    assert candidate_pairs(df, {}, Search(0.5, same_initial=True)).count() == 60 * 59 // 2
 
 
 def test_scores_of_many_pairs_are_those_of_each():
