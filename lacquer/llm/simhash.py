@@ -1,12 +1,13 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Fingerprints at most `radius` bits apart share a value at most radius/2 bits from both: each distinct
-fingerprint emits every value of that ball, 2081 of them for a radius of 4. The shuffle is on these
-variants, by their leading bits. The variants of one fingerprint that have given leading bits follow
-from the fingerprint itself, so the fingerprint travels once to each leading-bit cell that its ball
-reaches, and the cell writes out the variants. All fingerprints that emit the same variant are within
-the radius of each other; each group is linked as a star from its smallest member and every such link
-is verified, which keeps the components without emitting all pairs.
+fingerprint emits every value of that ball, 2081 of them for a radius of 4, and fingerprints that emit
+the same value are linked. Of radius + 1 blocks of bits, the flips that lead from two such fingerprints
+to the shared value leave one block untouched, in both and in the value. So the shuffle is on the
+variants' blocks: a fingerprint travels once for each block, to where all variants with that block lie,
+and its variants that flip only other bits are written out there. That is radius + 1 rows a fingerprint
+in a corpus of any size. Each group of equal variants is linked as a star from its smallest member and
+every such link is verified, which keeps the components without emitting all pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,8 @@ from .common import slices, stage, table, texts_of, unused
 BITS = 64
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
 BLOCK = 50_000
-#: Variants that a cell should write out at a time.
-CELL_VARIANTS = 3_000_000
-#: Leading bits of cells: as many for all corpora of up to 700,000 fingerprints, and more for larger ones.
-LEAST_CELL_BITS, MOST_CELL_BITS = 8, 24
+#: Variants written out at a time, and by a task.
+CHUNK_VARIANTS, TASK_VARIANTS = 3_000_000, 60_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -70,76 +70,130 @@ def flips(bits: range, most: int) -> list[np.ndarray]:
     return [np.array([sum(1 << b for b in c) for c in combinations(bits, k)], np.uint64) for k in range(most + 1)]
 
 
-def cell_links(fps: np.ndarray, cell: int, cell_bits: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the fingerprints whose variants fall in a cell, as (smaller, larger) of unsigned values."""
-    fps = np.unique(fps)
-    low = BITS - cell_bits
-    found: list[np.ndarray] = []
-    # A cell with many fingerprints is written out in sub-cells by further leading bits.
-    extra = 0
-    while (len(fps) * 1700) >> extra > CELL_VARIANTS and extra < 10:
+def collisions(variants: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, other) owners of equal variants: a star for each variant that is there more than once."""
+    none = np.empty(0, owners.dtype)
+    in_order = np.sort(variants)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
+    if not len(twice):
+        return none, none
+    slots = np.zeros(1 << 20, bool)
+    mixed = lambda v: ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    slots[mixed(twice)] = True
+    at = np.nonzero(slots[mixed(variants)])[0]
+    v, o = variants[at], owners[at]
+    order = np.lexsort((o, v))
+    v, o = v[order], o[order]
+    first = np.concatenate(([True], v[1:] != v[:-1]))
+    least = o[np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))]
+    return least[~first], o[~first]
+
+
+def ball_links(fps: np.ndarray, top: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smaller, larger) between distinct fingerprints, sorted, whose shared values differ from them below the `top` leading bits only.
+
+    Fingerprints of many values of those leading bits may come together, as long as their variants fit
+    a chunk; a longer row has to have one value, and is written out in parts by further leading bits.
+    """
+    half, free = radius // 2, BITS - top
+    size, extra = sum(comb(free, k) for k in range(half + 1)), 0
+    while (len(fps) * size) >> extra > CHUNK_VARIANTS and extra < free:
         extra += 1
-    shift = np.uint64(low - extra)
-    masks = flips(range(low - extra), half)
-    for sub in range(1 << extra):
-        head = np.uint64((cell << extra) | sub)
-        off = (fps >> shift) ^ head
+    shift, masks = np.uint64(free - extra), flips(range(free - extra), half)
+    found: list[np.ndarray] = []
+    heads = [None] if not extra else np.arange(1 << extra, dtype=np.uint64) | (fps[0] >> np.uint64(free)) << np.uint64(extra)
+    for head in heads:
+        off = np.zeros(len(fps), np.uint64) if head is None else (fps >> shift) ^ head
         apart = np.bitwise_count(off)
         variants, owners = [], []
         for e in range(half + 1):
             mine = np.nonzero(apart == e)[0]
-            if not len(mine):
-                continue
-            moved = fps[mine] ^ (off[mine] << shift)
-            for flip in masks[: half - e + 1]:
+            if len(mine):
+                moved = fps[mine] ^ (off[mine] << shift)
+                flip = np.concatenate(masks[: half - e + 1])
                 variants.append((moved[:, None] ^ flip[None, :]).ravel())
                 owners.append(np.repeat(mine.astype(np.int32), len(flip)))
-        if not variants:
-            continue
-        v, o = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(v)
-        v, o = v[order], o[order]
-        first = np.concatenate(([True], v[1:] != v[:-1]))
-        start = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
-        repeated = np.nonzero(~first)[0]
-        if len(repeated):
-            least = np.minimum.reduceat(o, np.nonzero(first)[0])[np.cumsum(first) - 1]  # fps are sorted, so the smallest index is the smallest value
-            group = np.unique(start[repeated])
-            members = np.concatenate((repeated, group))
-            a, b = least[members], o[members]
-            pair = np.unique(a[a != b].astype(np.int64) * len(fps) + b[a != b])
-            found.append(pair)
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    pair = np.unique(np.concatenate(found))
-    a, b = fps[pair // len(fps)], fps[pair % len(fps)]
-    near = np.bitwise_count(a ^ b) <= radius
+        if variants:
+            least, other = collisions(np.concatenate(variants), np.concatenate(owners))
+            found.append(np.unique(least.astype(np.int64) * len(fps) + other))
+    pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    a, b = fps[pair // max(1, len(fps))], fps[pair % max(1, len(fps))]
+    near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
     return a[near], b[near]
 
 
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """(rotation, bits) of radius + 1 blocks of bits: a rotation brings a block to the front."""
+    widths = [BITS // (radius + 1) + (k < BITS % (radius + 1)) for k in range(radius + 1)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def rotated(fps: np.ndarray, by: int) -> np.ndarray:
+    return fps if not by % BITS else (fps << np.uint64(by % BITS)) | (fps >> np.uint64(BITS - by % BITS))
+
+
 def near_links(fps: DataFrame, n_distinct: int, radius: int = 4) -> DataFrame:
     """Star links (a, b) between distinct fingerprints (fp) at most radius bits apart; their closure is that of all links."""
-    half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even, so that both balls meet halfway")
-    cell_bits = LEAST_CELL_BITS
-    while cell_bits < MOST_CELL_BITS and (n_distinct * 2081) >> cell_bits > 2 * CELL_VARIANTS:
-        cell_bits += 1
-    top = BITS - cell_bits
-    reach = np.concatenate(flips(range(cell_bits), half))
+    parts = blocks(radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            cells = ((fp >> np.uint64(top))[:, None] ^ reach[None, :]).ravel().astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.repeat(fp, len(reach)).view(np.int64))], ["cell", "fp"])
-
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        a, b = cell_links(fp, key[0].as_py(), cell_bits, half, radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+            turned = np.concatenate([rotated(fp, by) for by, _ in parts])
+            block = np.repeat(np.arange(len(parts), dtype=np.int32), len(fp))
+            value = np.concatenate([(rotated(fp, by) >> np.uint64(BITS - bits)).astype(np.int32) for by, bits in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(value), pa.array(turned.view(np.int64))], ["block", "value", "fp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block and value; whole values are held until their variants fill a chunk."""
+        held: list[np.ndarray] = []
+        block, n = -1, 0
+
+        def done() -> pa.RecordBatch:
+            by, bits = parts[block]
+            found = [ball_links(np.unique(group), bits, radius) for group in chunks(held, bits)]
+            a, b = (rotated(np.concatenate([f[k] for f in found]), BITS - by) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        def chunks(groups: list[np.ndarray], bits: int) -> Iterator[np.ndarray]:
+            """The groups one by one if they are large, else joined up to a chunk."""
+            most, joined, size = CHUNK_VARIANTS // sum(comb(BITS - bits, k) for k in range(radius // 2 + 1)), [], 0
+            for g in groups:
+                if joined and size + len(g) > most:
+                    yield np.concatenate(joined)
+                    joined, size = [], 0
+                joined.append(g)
+                size += len(g)
+            if joined:
+                yield np.concatenate(joined)
 
-    return fps.mapInArrow(send, "cell int, fp long").groupBy("cell").applyInArrow(meet, "a long, b long")
+        for batch in batches:
+            of, value = batch.column("block").to_numpy(), batch.column("value").to_numpy()
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            key = of.astype(np.int64) << 32 | value
+            cuts = np.concatenate(([0], np.nonzero(np.diff(key))[0] + 1, [len(key)])).tolist()
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if start == stop:
+                    continue
+                same = bool(held) and (block, last) == (int(of[start]), int(value[start]))
+                if held and not same and (n > 50_000 or block != int(of[start])):
+                    yield done()
+                    held, n = [], 0
+                block, last = int(of[start]), int(value[start])
+                if same:
+                    held[-1] = np.concatenate((held[-1], fp[start:stop]))
+                else:
+                    held.append(fp[start:stop])
+                n += stop - start
+        if held:
+            yield done()
+
+    per_fp = sum(sum(comb(BITS - bits, k) for k in range(radius // 2 + 1)) for _, bits in parts)
+    tasks = max(24, -(-n_distinct * per_fp // TASK_VARIANTS))
+    sent = fps.mapInArrow(send, "block int, value int, fp long").repartition(tasks, "block", "value").sortWithinPartitions("block", "value")
+    return sent.mapInArrow(meet, "a long, b long")
 
 
 def _roots(distinct: DataFrame, radius: int) -> DataFrame:
@@ -167,18 +221,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """One row of docs, with all its columns, of each near-duplicate group: the one with the smallest doc_id.
 
-    A null doc_id comes after all others; of rows with the same doc_id in a group one stays. docs may
-    have any other columns, whatever their names.
+    A null doc_id comes after all others; of rows with the same doc_id in a group, that with the smallest
+    hash of all its columns stays, and rows equal in all of them are one row. docs may have any other
+    columns, whatever their names. The rows to keep are named by ids and hashes; whole rows are shuffled
+    once, to meet these, and once more only if rows to keep are repeated.
     """
-    columns, text_hash = docs.columns, F.xxhash64("text")
-    marked = stage(fingerprints(docs, shingle, seed, keep=text_hash), "fingerprints")
+    columns = docs.columns
+    of, same, whole, nth = unused(columns, "id", "same", "hash", "nth")
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    marked = stage(fingerprints(docs, shingle, seed, keep=row_hash), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "kept"))
     distinct = stage(marked.groupBy("fp").agg(first.alias("first")), "distinct")
-    of, same, nth = unused(columns, "id", "hash", "nth")
-    stays = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.kept").alias(same))
-    numbered = Window.partitionBy(of, same).orderBy(F.lit(0))
-    found = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & text_hash.eqNullSafe(F.col(same)))
-    return found.withColumn(nth, F.row_number().over(numbered)).where(F.col(nth) == 1).select(*columns)
+    named = _roots(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))
+    stays = stage(named.select(F.col("first.doc_id").alias(of), F.col("first.kept").alias(same)), "stays")
+    found = docs.withColumn(whole, row_hash).join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(whole) == F.col(same)), "left_semi")
+    if marked.join(stays, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("kept") == F.col(same)), "left_semi").count() > stays.count():
+        numbered = Window.partitionBy("doc_id", whole).orderBy(F.lit(0))  # of equal rows any is as good
+        found = found.withColumn(nth, F.row_number().over(numbered)).where(F.col(nth) == 1)
+    return found.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
