@@ -71,6 +71,28 @@ def window_hashes(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     return out
 
 
+class BitFilter:
+    """A set of 64-bit hashes in a bounded number of bits: tells all that it holds, and some that it does not."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str, n: int, most_bits: int) -> BitFilter:
+        """Of n hashes in a column, with 16 bits for each up to 2 ** most_bits; only words with bits reach the driver."""
+        bits = min(most_bits, max(13, (16 * n).bit_length()))
+        place = F.shiftrightunsigned(F.col(column), 64 - bits)
+        rows = hashes.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).collect()
+        words = np.zeros(1 << bits - 6, np.int64)
+        for r in rows:
+            words[r["word"]] = r["v"]
+        return cls(bits, words.view(np.uint64))
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def training_row(id_column) -> object:
     """crc32 of the id as text, modulo 3, is not 1: the rows that models may learn from. A null id may not."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 != 1, F.lit(False))

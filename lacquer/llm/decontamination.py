@@ -5,29 +5,31 @@ an item that share a seed, that is a run of `shortest` tokens, are tiled: the lo
 do not overlap are marked again and again, found with Karp-Rabin hashes of falling length. The share
 of the item's tokens under tiles decides, in whatever order its passages stand in the document.
 
-The benchmark is worked off in blocks of a bounded size. Each block's seeds go to the executors, and
-all documents are probed with it; so an item set of any size is compared with every document.
+Documents are read once. A filter of bounded size tells most seeds that no item has, so that only a
+document's tokens in the others, and these seeds, go on; then the seeds of documents and items are
+joined. An item that is covered to the share has a number of its seeds in the document, so it can do
+without as many of its seeds less one: those that most documents have are left out of the join. No
+pair that can reach the share is lost. Neither documents nor items go to the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, window_hashes, word_hashes
+from .common import BitFilter, slices, stage, table, unused, window_hashes, word_hashes
 
 TOKEN = re.compile(r"[^\W_]+")
 SEED_BASE = 0x9E3779B97F4A7C15
 SHORTEST = 5
 COVERAGE = 0.6
-#: Characters of benchmark text in a block; bounds what is sent to executors at a time.
-BLOCK_CHARS = 20_000_000
+#: Bits of the filter of the items' seeds: 8 MB at most. With more seeds than bits, more of the documents' seeds pass.
+FILTER_BITS = 26
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -109,139 +111,124 @@ def longest_common(item, doc, free_item, free_doc, shortest: int, most: int) ->
     return low if low >= shortest else 0
 
 
-class Seeds:
-    """The seeds of a block of items, to find which items a document shares seeds with."""
-
-    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
-        self.shortest = shortest
-        self.ids = [i for i, _ in items]
-        self.tokens = [tokens(t) for _, t in items]
-        hashes = [self._seeds(t) for t in self.tokens]
-        owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
-        every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.owner = every[order], owner[order]
-        self.bits = max(12, min(26, int(np.ceil(np.log2(16 * len(every) + 1)))))
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[self._slot(every)] = True
-
-    @classmethod
-    def of(cls, parts: dict) -> Seeds:
-        """From the arrays alone, as a broadcast carries them."""
-        out = cls.__new__(cls)
-        vars(out).update(parts)
-        return out
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _seeds(self, t: np.ndarray) -> np.ndarray:
-        """An item shorter than a seed is one seed by itself."""
-        return window_hashes(t, min(self.shortest, len(t)), SEED_BASE) if len(t) else np.empty(0, np.uint64)
-
-    def short_widths(self) -> list[int]:
-        return sorted({len(t) for t in self.tokens if 0 < len(t) < self.shortest})
-
-    def shared(self, doc: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item that shares seeds with the document, the document's tokens in such seeds, with gaps closed by a mark."""
-        out: dict[int, np.ndarray] = {}
-        for width in [*self.short_widths(), self.shortest]:
-            h = window_hashes(doc, width, SEED_BASE)
-            at = np.nonzero(self.filter[self._slot(h)])[0]
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            some = high > low
-            at, low, high = at[some], low[some], high[some]
-            if not len(at):
-                continue
-            counts = high - low
-            places = np.repeat(at, counts)
-            owners = self.owner[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-            for k in np.unique(owners).tolist():
-                if (len(self.tokens[k]) >= self.shortest) != (width == self.shortest) or width < self.shortest and len(self.tokens[k]) != width:
-                    continue
-                step = np.zeros(len(doc) + 1, np.int64)
-                mine = np.unique(places[owners == k])
-                step[mine] += 1
-                np.add.at(step, mine + width, -1)
-                cover = np.cumsum(step[:-1]) > 0
-                # a token no item has stands for each gap
-                marks = np.nonzero(cover)[0]
-                breaks = np.nonzero(np.diff(marks) > 1)[0] + 1
-                out[k] = np.insert(doc[marks], breaks, np.uint64(0))
-        return out
-
-    def coverage(self, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, item's tokens, tokens under tiles, tiles) for each item that shares a seed."""
-        out = []
-        for k, part in sorted(self.shared(doc).items()):
-            item = self.tokens[k]
-            found = tiles(item, part, min(self.shortest, len(item)))
-            out.append((self.ids[k], len(item), sum(n for _, _, n in found), len(found)))
-        return out
-
-
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Seeds]:
-    """The items in blocks of bounded size, in order of item_id; items without tokens can't be found and are left out."""
-    held, size = [], 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-    for item_id, text in rows.toLocalIterator():
-        if held and size + len(text) > block_chars:
-            yield Seeds(held)
-            held, size = [], 0
-        held.append((item_id, text))
-        size += len(text)
-    if held:
-        yield Seeds(held)
-
-
-def _matches(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(vars(seeds))
+def seed_hashes(t: np.ndarray, width: int) -> np.ndarray:
+    return window_hashes(t, width, SEED_BASE)
+
+
+def item_seeds(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(item_id, tokens, width, seeds, weights) of items with tokens: the hashes of the tokens and of each seed, and in how many places the item has it.
+
+    An item shorter than a seed is one seed by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds.of(sent.value)
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(doc_id, i, n, c, c / n, t) for i, n, c, t in own.coverage(tokens(text)) if c >= least * n]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"])
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                t = tokens(text)
+                if len(t):
+                    width = min(shortest, len(t))
+                    seeds, n = np.unique(seed_hashes(t, width), return_counts=True)
+                    rows.append((item_id, t.view(np.int64).tolist(), width, seeds.view(np.int64).tolist(), n.tolist()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "tokens", "width", "seeds", "weights"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, item_tokens long, covered_tokens long, coverage double, tiles long")
+    given = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return given.mapInArrow(run, "item_id long, tokens array<long>, width int, seeds array<long>, weights array<long>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, item_tokens, covered_tokens, coverage, tiles) of documents that cover an item to the share `least`.
+def doc_seeds(docs: DataFrame, key: Column, held: BitFilter, widths: list[int]) -> DataFrame:
+    """(row, key, doc_id, part, seeds) of documents with seeds that pass the filter: the tokens in these, gaps closed by a mark that no item has.
 
-    docs has doc_id and text, benchmark item_id and text. Null texts and texts without tokens match
-    nothing; an item of fewer tokens than a seed counts if it stands in the document whole. Null
-    doc_ids are given as they are, null item_ids left out; repeated rows give a row each. Without
-    documents or items there are no rows.
+    row is a number of its own for each row of the table, once that is written.
     """
-    found = [_matches(docs, seeds, least) for seeds in blocks(benchmark, block_chars)]
-    if not found:
-        return _matches(docs.limit(0), Seeds([]), least)
-    return reduce(DataFrame.unionByName, found)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that contaminated() would not name."""
-    for seeds in blocks(benchmark, block_chars):
-        docs = _clean(docs, seeds, least)
-    return docs
+    sent = docs.sparkSession.sparkContext.broadcast(held)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _clean(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(vars(seeds))
+        row = TaskContext.get().partitionId() << 33
+        for batch in slices(batches):
+            rows = []
+            for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
+                t = tokens(text)
+                step, found = np.zeros(len(t) + 1, np.int64), []
+                for width in widths:
+                    h = seed_hashes(t, width)
+                    at = np.nonzero(sent.value.may_have(h))[0]
+                    if len(at):
+                        found.append(np.unique(h[at]))
+                        step[at] += 1
+                        step[at + width] -= 1
+                if found:
+                    at = np.nonzero(np.cumsum(step[:-1]) > 0)[0]
+                    part = np.insert(t[at], np.nonzero(np.diff(at) > 1)[0] + 1, np.uint64(0))
+                    rows.append((row, k, doc_id, part.tobytes(), np.unique(np.concatenate(found)).view(np.int64).tolist()))
+                    row += 1
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], ["row", "key", "doc_id", "part", "seeds"])
+
+    given = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return given.mapInArrow(run, "row long, key long, doc_id long, part binary, seeds array<long>")
+
+
+def candidates(found: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Distinct (row, uid) of documents and items that share one of the item's seeds that the share can't do without."""
+    each = items.select("uid", F.ceil(F.size("tokens") * least / F.col("width") - 1e-9).alias("need"), F.explode(F.arrays_zip("seeds", "weights")).alias("s")).select("uid", "need", F.col("s.seeds").alias("seed"), F.col("s.weights").alias("weight"))
+    places = found.select("row", F.explode("seeds").alias("seed"))
+    common = places.groupBy("seed").agg(F.count("*").alias("n"))
+    ranked = each.join(common, "seed")  # a seed of no document joins nothing
+    by_count = Window.partitionBy("uid").orderBy(F.desc("n"), "seed")
+    left = ranked.withColumn("dropped", F.sum("weight").over(by_count)).where((F.col("dropped") >= F.col("need")) | (F.col("need") <= 0))
+    return places.join(left.select("uid", "seed"), "seed").select("row", "uid").distinct()
+
+
+def covered(docs: DataFrame, benchmark: DataFrame, least: float, shortest: int, key: Column) -> DataFrame:
+    """(row, key, doc_id, item_id, item_tokens, covered_tokens, tiles) of documents and items that cover the item to the share."""
+    items = stage(item_seeds(benchmark, shortest).withColumn("uid", F.monotonically_increasing_id()), "items")
+    seeds = items.select(F.explode("seeds").alias("seed"))
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    held = BitFilter.of(seeds, "seed", seeds.count(), FILTER_BITS)
+    found = stage(doc_seeds(docs, key, held, widths), "doc-seeds")
+    pairs = candidates(found, items, least).join(found.select("row", "key", "doc_id", "part"), "row").join(items.select("uid", "item_id", "tokens"), "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Seeds.of(sent.value)
         for batch in slices(batches):
-            yield batch.filter(pa.array([all(c < least * n for _, n, c, _ in own.coverage(tokens(t))) for t in batch.column("text").to_pylist()], pa.bool_()))
+            rows = []
+            for row, k, doc_id, part, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("row", "key", "doc_id", "part", "item_id", "tokens")), strict=True):
+                t = np.array(item, np.int64).view(np.uint64)
+                marked = tiles(t, np.frombuffer(part, np.uint64), min(shortest, len(t)))
+                n = sum(size for _, _, size in marked)
+                if marked and n >= least * len(t):
+                    rows.append((row, k, doc_id, item_id, len(t), n, len(marked)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "key", "doc_id", "item_id", "item_tokens", "covered_tokens", "tiles"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("row", "key", "doc_id", "part", "item_id", "tokens").repartition(n, "row", "item_id").mapInArrow(run, "row long, key long, doc_id long, item_id long, item_tokens long, covered_tokens long, tiles long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
+    """(doc_id, item_id, item_tokens, covered_tokens, coverage, tiles) of documents that cover an item to the share `least`.
+
+    docs has doc_id and text, benchmark item_id and text; other columns are not looked at. Null texts
+    and texts without tokens match nothing; an item of fewer tokens than a seed counts if it stands in
+    the document whole. Null doc_ids are given as they are, null item_ids left out; repeated rows of
+    either table give a row each. Without documents or items there are no rows.
+    """
+    found = covered(docs, benchmark, least, shortest, F.lit(0).cast("long"))
+    return found.select("doc_id", "item_id", "item_tokens", "covered_tokens", (F.col("covered_tokens") / F.col("item_tokens")).alias("coverage"), "tiles")
+
 
-    return docs.mapInArrow(run, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs, with all their columns, that contaminated() would not name; they are told by doc_id and a hash of the text."""
+    of, ident, key = unused(docs.columns, "of", "ident", "key")
+    text_hash = F.xxhash64("text")
+    bad = stage(covered(docs, benchmark, least, shortest, text_hash).select(F.col("key").alias(of), F.col("doc_id").alias(ident)).distinct(), "contaminated")
+    same = (F.col(key) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ident))
+    return docs.withColumn(key, text_hash).join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ import pytest
 import xxhash
 
 from lacquer.llm import decontamination, html_text, language_id, mixing, pii, quality_classifier, quality_rules, simhash, substrings, warc
-from lacquer.llm.common import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,36 +137,10 @@ def test_language_and_quality_learn(spark):
     assert len(scored) == 122 and all(x["predicted"] == x["doc_id"] % 2 for x in scored if x["doc_id"] < 120)
 
 
-def naive_tiles(a, b, shortest):
-    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
-    while True:
-        best, found = 0, []
-        for i in range(len(a)):
-            for j in range(len(b)):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, []
-                if n == best and n:
-                    found.append((i, j))
-        if best < shortest:
-            return covered
-        for i, j in found:
-            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
-                free_a[i : i + best], free_b[j : j + best] = [False] * best, [False] * best
-                covered += best
-
-
-def test_tiling(spark, docs):
-    r = random.Random(1)
-    for _ in range(60):
-        a, b = [r.choice("abc") for _ in range(r.randint(5, 30))], [r.choice("abc") for _ in range(r.randint(5, 40))]
-        found = decontamination.tiles(word_hashes([x.encode() for x in a]), word_hashes([x.encode() for x in b]), 3)
-        assert sum(n for _, _, n in found) == naive_tiles(a, b, 3)
+def test_decontamination_of_reordered_passages(spark, docs):
     w = corpus()[5][1].split()
     items = spark.createDataFrame([(7, " ".join(w[20:35] + w[:15])), (8, None), (None, "x"), (9, "nothing like it at all in there")], "item_id long, text string")
-    assert [(x["doc_id"], x["item_id"], x["tiles"]) for x in decontamination.contaminated(docs, items, block_chars=10).collect()] == [(5, 7, 2)]
+    assert [(x["doc_id"], x["item_id"], x["tiles"]) for x in decontamination.contaminated(docs, items).collect()] == [(5, 7, 2)]
     assert docs.count() - decontamination.drop_contaminated(docs, items).count() == 1
 
 
