@@ -12,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, stage, table, training_row
+from .common import BitFilter, held_out, slices, stage, table, training_row
 from .ngrams import PIECES, Presence, add_pieces, joined, pieces
 
 ORDERS, BITS = (1, 2, 3, 4), 17
 MARK = "\u21ba"
+#: Bits of the filter of labelled ids: 8 MB at most, on the driver and in the tasks.
+FILTER_BITS = 26
 
 
 def with_repeats_marked(text: str | None) -> str:
@@ -96,18 +98,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityM
 
     A document's label is 1 if at least half of its non-null labels are; a null label says nothing.
     Counts cover all labelled rows; the support vectors come from at most per_class rows of each class,
-    those with the smallest hashes of their ids, a quarter of which is set aside for the probabilities.
-    Labels and texts are joined by sorting both at any size, since the labels grow with the texts.
+    those with the smallest hashes of their ids and texts, a quarter of which is set aside for the
+    probabilities; repeated rows are one row of the sample.
     Without both classes every score is the share of label 1, or a half without labels.
     """
     known = labels.where(training_row(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    known = stage(known, "quality-labels")
     sizes = dict(known.groupBy("label").count().collect())
     bound = {c: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.2 * per_class / n))) for c, n in sizes.items()}
-    texts = docs.where(training_row(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "label")
+    ids = docs.where(training_row(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = labelled(ids, known, sum(sizes.values())).select(F.xxhash64("doc_id", "text").alias("h"), "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Class counts of buckets in pieces, and the buckets of sampled rows."""
-        seen, total, n = Presence(ORDERS, BITS), np.zeros((2, 1 << BITS), np.int64), 0
+        seen, total, n, taken = Presence(ORDERS, BITS), np.zeros((2, 1 << BITS), np.int64), 0, set()
         schema = pa.schema([("piece", pa.int32()), ("counts", pa.binary()), ("h", pa.int64()), ("label", pa.int32())])
         for batch in slices(batches):
             picked: dict[str, list] = {"piece": [], "counts": [], "h": [], "label": []}
@@ -115,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityM
                 at = seen(with_repeats_marked(text))
                 total[label, at] += 1
                 n += 1
-                if h <= bound[label]:
+                if h <= bound[label] and h not in taken:
+                    taken.add(h)
                     for k, v in (("piece", -1), ("counts", at.astype("<i4").tobytes()), ("h", h), ("label", label)):
                         picked[k].append(v)
             if picked["h"]:
@@ -126,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityM
     gathered = stage(texts.mapInArrow(run, "piece int, counts binary, h long, label int"), "quality-counts")
     sums = gathered.where("piece >= 0").select("piece", "counts").groupBy("piece").applyInArrow(add_pieces, "piece int, counts binary").collect()
     counts = joined(sums, 2, BITS)
-    sample = sorted(gathered.where("piece < 0").select("label", "h", "counts").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    # rows that are repeated, in other tasks too, are one row of the sample; the cut is made before anything is collected
+    by_hash = Window.partitionBy("label").orderBy("h")
+    chosen = gathered.where("piece < 0").select("label", "h", "counts").dropDuplicates(["label", "h"]).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_class)
+    sample = sorted(chosen.select("label", "h", "counts").collect(), key=lambda r: (r[0], r[1]))
     r = log_ratios(counts[1].astype(float), counts[0].astype(float))
     taken, rows, y = {0: 0, 1: 0}, [], []
     for label, _, at in sample:
@@ -151,6 +159,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityM
     return model
 
 
+def labelled(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Rows of texts (doc_id, text) with their label from known (doc_id, label), n distinct ids.
+
+    Labels grow with the texts, so both are joined by sorting. Most texts have no label: a filter of
+    known size, FILTER_BITS bits at most, lets few of those pass, so that little more than the texts
+    with labels is shuffled.
+    """
+    hashed = F.xxhash64("doc_id")
+    sent = texts.sparkSession.sparkContext.broadcast(BitFilter.of(known.select(hashed.alias("h")), "h", n, FILTER_BITS))
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.may_have(batch.column("h").to_numpy())))
+
+    few = texts.withColumn("h", hashed).mapInArrow(pass_on, "doc_id long, text string, h long").drop("h")
+    return few.join(known.hint("merge"), "doc_id")
+
+
 def rate(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
