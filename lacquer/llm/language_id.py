@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, table, training_row
@@ -21,6 +21,8 @@ from .ngrams import add_pieces, counted, joined, pieces
 ORDERS, BITS = (1, 2, 3), 15
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
+#: Languages that are learned, and rows that the weights are fitted on, at most.
+MOST_LANGUAGES, MOST_ROWS = 1000, 50_000
 
 
 def letters(text: str | None) -> str:
@@ -101,8 +103,9 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 6) -> Language
     """Fit on rows of docs (doc_id, text, lang) that have a language and whose id may be learned from.
 
     Document frequencies cover all of them. The weights come from at most per_language of them for each
-    language, those with the smallest hashes of their ids; every fifth of these is set aside for the
-    temperature. Of each sampled text a short stretch is learned from as well, so that the weights also
+    language, those with the smallest hashes of their ids and texts; every fifth of these is set aside for
+    the temperature. MOST_LANGUAGES of them at most, those with the most rows, are learned,
+    from MOST_ROWS rows in all. Of each sampled text a short stretch is learned from as well, so that the weights also
     suit short texts.
     """
     rows = docs.where(training_row(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -120,11 +123,13 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 6) -> Language
             yield pa.RecordBatch.from_pydict(pieces(total), schema=pa.schema([("piece", pa.int32()), ("counts", pa.binary())]))
 
     df = joined(rows.select("text").mapInArrow(frequencies, "piece int, counts binary").groupBy("piece").applyInArrow(add_pieces, "piece int, counts binary").collect(), 1, BITS)[0]
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    # a model has a column of weights for each language, so their number is bounded
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
+    idf = np.log((1 + rows.count()) / (1 + df)) + 1
     if not languages:
         return LanguageModel([], idf, np.zeros((1 << BITS, 0)), 1.0)
+    per_language = max(1, min(per_language, MOST_ROWS // len(languages)))
 
     # twice the share that gives per_language rows, so that the cut below has enough to take
     low = F.lit(None).cast("long")
@@ -146,7 +151,10 @@ def train(docs: DataFrame, per_language: int = 500, epochs: int = 6) -> Language
             lang = [x for x in batch.column("lang").to_pylist() for _ in (0, 1)]
             yield pa.RecordBatch.from_pydict({"h": pa.array([h for h in hashes for _ in (0, 1)], pa.int64()), "lang": pa.array(lang, pa.string()), "at": pa.array(at, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    sampled = rows.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= low).select("h", "text", "lang")
+    # repeated rows are one row of the sample; the cut is made before texts are looked at, and nothing beyond it is collected
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    low_rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h") <= low).select("h", "text", "lang").dropDuplicates(["lang", "h"])
+    sampled = low_rows.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_language).drop("nth")
     found = sorted(sampled.mapInArrow(features, "h long, lang string, at binary, n binary").collect(), key=lambda r: (r[1], r[0], -len(r[2]), bytes(r[2])))
     seen: dict[str, int] = {}
     examples: list[list] = [[], []]
