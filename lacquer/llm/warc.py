@@ -28,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, stage, table
+from .common import groups_for, scratch_path, slices, stage, table
 
 #: Lines in a block of the index, and rows in an index file; there are never more than MOST_FILES of these.
 BLOCK_LINES = 3000
 FILE_ROWS = 200_000
 MOST_FILES = 10_000
 LEVEL = 4
+#: Bytes of archives that a task reads back, and keys that a task looks up.
+TASK_BYTES, TASK_KEYS = 4_000_000, 20_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -274,7 +276,8 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
     if not names:
         return keys.sparkSession.createDataFrame([], "key string, file string, offset long, length long")
     # tasks take ranges of keys, so one index file may serve many of them, each with its own few blocks
-    return keys.mapInArrow(place, "key string, part int").repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "key string, file string, offset long, length long")
+    tasks = groups_for(len(names) * FILE_ROWS, TASK_KEYS)
+    return keys.mapInArrow(place, "key string, part int").repartitionByRange(tasks, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "key string, file string, offset long, length long")
 
 
 def fetch(archive: Archive, found: DataFrame) -> DataFrame:
@@ -298,7 +301,10 @@ def fetch(archive: Archive, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         files.close()
 
-    in_order = found.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # pointers are few bytes to many of records, so partitions follow the records' bytes and are not merged by their own
+    pointers = stage(found.select("file", "offset", "length"), "warc-pointers")
+    n_bytes = pointers.agg(F.sum("length")).first()[0] or 0
+    in_order = pointers.repartitionByRange(groups_for(n_bytes, TASK_BYTES), "file", "offset").sortWithinPartitions("file", "offset")
     return in_order.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
