@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, stage, table
+from .common import WORD_PATTERN, stage, table, unused
 
 KEY_BITS = 60
 
@@ -22,7 +22,8 @@ def source_targets(per_source: DataFrame, weights=(1, 2, 3), max_epochs: int = 3
     Sources in code-point order, null last, take the weights in turn and share the sum of all sizes.
     A target stops at max_epochs times the size and its excess goes to the others by weight: that is
     one water level over weights, found by ordering the sources by the level at which they fill up.
-    The windows without a key run over one row per source, never over documents.
+    The windows without a key run over one row per source, never over documents: fine to some 10**5
+    sources. A source's ranges are one window too, of a row for each rows_per_range documents.
     """
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy(F.lit(1))
@@ -41,17 +42,47 @@ def source_targets(per_source: DataFrame, weights=(1, 2, 3), max_epochs: int = 3
     return levels.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).drop("level", "at", "cap")
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_per_range: int = 4_000, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_per_range: int = 4_000, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
 
     taken counts the words that the mix takes from the row, repeats included: whole epochs, then the
     words before the source's cut in key order. A null text has size 0 and is taken 0 times; a null
     source is a source of its own, after the others; a null doc_id has a key of its own. Rows equal in
-    doc_id are ordered by size. An empty table gives no rows. carry names columns of docs to keep.
+    doc_id are ordered by size. An empty table gives no rows.
     """
+    return _taken(_sized(docs, seed), weights, max_epochs, rows_per_range).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_taken(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_per_range: int = 4_000, seed: str = "mix") -> DataFrame:
+    """docs, whatever its other columns, with size, source_size, target and taken; columns of these names are replaced.
+
+    Budgets are cut on rows without texts, ordered by key, doc_id, size and a hash of the whole row, so
+    that reruns agree however rows come in; then the texts meet the result once. Rows equal in all
+    columns are as one row that is there several times: they share what is taken of them, the first ones first.
+    """
+    new = ("size", "source_size", "target", "taken")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    row, of, ident, nth, first = unused(kept, "row", "of", "ident", "nth", "first")
+    told = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    cut = stage(_taken(_sized(told, seed, F.col(row)), weights, max_epochs, rows_per_range).select(F.col("tie").alias(of), F.col("doc_id").alias(ident), *new, F.col("nth").alias(first)), "mix-cut")
+    told = told.drop(*[c for c in docs.columns if c not in kept])
+    same = (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(ident))
+    if cut.where(F.col(first) > 1).limit(1).count():  # some rows are repeated; which of them is which doesn't matter
+        told = told.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", row).orderBy(F.lit(0))))
+        same = same & (F.col(nth) == F.col(first))
+    return told.join(cut, same).select(*[F.col(f"`{c}`") for c in kept], *new)
+
+
+def _sized(docs: DataFrame, seed: str, tie=None) -> DataFrame:
+    """(doc_id, source, size, key, tie) of docs, without texts; staged, since all else is worked out from it."""
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, KEY_BITS // 4), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = stage(docs.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], size.alias("size"), key.alias("key")), "mix-sizes")
+    last = F.lit(0).cast("long") if tie is None else tie
+    return stage(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), last.alias("tie")), "mix-sizes")
+
+
+def _taken(sized: DataFrame, weights, max_epochs: int, rows_per_range: int) -> DataFrame:
+    """sized rows with source_size, target, taken and nth, the number of the row among those equal to it."""
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, max_epochs)
     sources = sources.withColumn("ranges", F.ceil(F.col("n") / rows_per_range)).withColumnRenamed("source", "of").drop("n", "weight")
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -60,13 +91,14 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, rows_pe
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("sid", "range").agg(F.sum("size").alias("held")).select("sid", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
 
-    inside = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("sid", "range").orderBy("key", "doc_id", "size", "tie")
+    equal = Window.partitionBy("sid", "range", "key", "doc_id", "size", "tie").orderBy("key")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    out = placed.join(offsets, ["sid", "range"]).withColumn("prefix", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    out = placed.join(offsets, ["sid", "range"]).withColumn("prefix", F.col("offset") + F.coalesce(inside, F.lit(0))).withColumn("nth", F.row_number().over(equal))
     rest = budget - epochs * F.col("source_size") - F.col("prefix")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.select("doc_id", *carry, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import groups_for, slices, table, texts_of, total_bytes, window_hashes, word_hashes
 
-#: Bytes of text in a pack, and of text whose hashes meet in a slot; both in the mean.
+#: Bytes of text in a pack, and of text whose hashes meet in a slot; both in the mean. A pack sends a row
+#: to each slot, so rows hold fewer hashes the larger the corpus is: some 500 at 30 GB, 15 at 1 TB and
+#: never less than one. Beyond 1 TB both should be raised with the memory of the workers.
 PACK_BYTES = 6_000_000
 SLOT_BYTES = 12_000_000
 #: Odd multipliers of the polynomial hashes of anchors and of windows.
@@ -184,7 +186,7 @@ def spread(marks: np.ndarray, back: int, ahead: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, pack_bytes: int = PACK_BYTES, slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for each row of docs (doc_id, text).
 
     A word goes if a window of `window` words over it also starts in a document with a smaller doc_id.
@@ -194,9 +196,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     """
     block = (window + 1) // 2
     n_bytes = total_bytes(docs, "text")
-    packs, slots = groups_for(n_bytes, PACK_BYTES), groups_for(n_bytes, SLOT_BYTES)
+    packs, slots = groups_for(n_bytes, pack_bytes), groups_for(n_bytes, slot_bytes)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = given.where("doc_id IS NOT NULL").withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(groups_for(n_bytes, 4 * PACK_BYTES), "pack")
+    dealt = given.where("doc_id IS NOT NULL").withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(groups_for(n_bytes, 4 * pack_bytes), "pack")
 
     def candidates(pack: Pack, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows around hits, on either side, as start, hash and document."""
