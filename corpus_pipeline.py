@@ -29,8 +29,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with their size, their source's size and target, and the words taken."""
-    return mixing.mix_sources(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
+    """Documents that the mix takes words of, with all their columns, their size, their source's size and target, and the words taken."""
+    return mixing.with_taken(docs).where("taken > 0")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("personal data", redact), ("mixing", mix)]
