@@ -9,10 +9,13 @@ from ..sources.scratch import forget_staged, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the smallest node among itself and its neighbours."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Each node links its larger neighbours to the smallest node among itself and its neighbours. Edges come with a > b.
+
+    So an edge's larger end goes to the smallest neighbour of its smaller end, or stays there if that end
+    has none that is smaller; a root is nobody's larger end and is only looked for.
+    """
+    least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    return edges.join(least, edges.b == least.n, "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

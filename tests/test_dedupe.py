@@ -52,6 +52,12 @@ def test_threshold_bounds(spark):
     assert dedupe.checked_threshold(1) == 1.0 and isinstance(dedupe.checked_threshold(0), float)
 
 
+def test_null_fields_are_one_field(spark):
+    rows = spark.createDataFrame([(0, None, "abcd"), (1, "x", "abcd"), (2, None, "abce"), (3, None, "abcd"), (4, "x", None), (5, None, None)], "_pos long, field string, value string")
+    assert [r["_group"] for r in dedupe.dedupe(rows, 0.7).orderBy("_pos").collect()] == [0, 1, 0, 0, 2, 3]
+    assert [r["_group"] for r in dedupe.dedupe(rows, 0.7, dedupe.ADAPTIVE).orderBy("_pos").collect()] == [0, 1, 0, 0, 2, 3]
+
+
 def test_best_links_and_ties(spark):
     # the middle value is as near to either neighbour, so it links to neither; each of these links to it
     rule = lambda link: {"other": {"scorer": similarity.ratio, "threshold": 0.5, "link": link}}
