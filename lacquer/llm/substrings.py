@@ -3,7 +3,8 @@
 A window of W words that repeats an earlier document's window covers one of the earlier document's
 non-overlapping blocks of B words whole, when W >= 2 * B - 1. So the blocks of all documents are the
 index, and every rolling B-word window probes it. Hits are extended to every W-word window around
-them, which are then compared by full hashes; the union of the repeated windows is the maximal repeat.
+them, which are then compared by full hashes of 96 bits, 64 from one hash of the words and 32 from
+another; the union of the repeated windows is the maximal repeat.
 
 Documents are dealt to packs by a hash of doc_id. A pack sends each of its distinct window hashes once
 to a slot (by hash), four bytes each in reading order with the slot's bits apart, with the smallest and
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_for, slices, table, texts_of, total_bytes, window_hashes, word_hashes
+from .common import groups_for, slices, table, texts_of, total_bytes, window_hashes
 
 #: Bytes of text in a pack, and of text whose hashes meet in a slot; both in the mean. A pack sends a row
 #: to each slot, so rows hold fewer hashes the larger the corpus is: some 500 at 30 GB, 15 at 1 TB and
@@ -30,9 +32,9 @@ from .common import groups_for, slices, table, texts_of, total_bytes, window_has
 PACK_BYTES = 6_000_000
 SLOT_BYTES = 12_000_000
 #: Odd multipliers of the polynomial hashes of anchors and of windows.
-ANCHOR_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+ANCHOR_BASE, WINDOW_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
-SENT = "slot int, pack int, n long, docs binary, back binary, hashes binary"
+SENT = "slot int, pack int, n long, docs binary, back binary, hashes binary, more binary"
 ANSWER = "pack int, slot int, hit binary, hit2 binary"
 
 
@@ -47,10 +49,11 @@ class Pack:
         counts = np.empty(len(order), np.int64)
         parts = []
         for k, t in enumerate(self.texts):
-            h = word_hashes(t.split())
+            h = two_hashes(t.split())
             counts[k] = len(h)
             parts.append(h)
-        self.hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        both = np.concatenate(parts) if parts else np.empty((0, 2), np.uint64)
+        self.hashes, self.second = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         self.counts = counts
         self.starts = np.concatenate(([0], np.cumsum(counts)))
         self.id_of = np.array(self.ids, np.int64)
@@ -65,6 +68,16 @@ class Pack:
         return at, window_hashes(self.hashes, width, base)[at], doc[at]
 
 
+    def second_hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        """32 more bits of the windows at these places, from other hashes of the words."""
+        return (window_hashes(self.second, width, SECOND_BASE)[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def two_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent hashes of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+
 def deal(h: np.ndarray, slots: int) -> np.ndarray:
     """The slot of a hash, from its high half; what a slot is sent comes from the low half."""
     return ((h >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
@@ -89,12 +102,20 @@ def _unplanes(data: bytes, n: int, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(dtype).ravel()
 
 
-def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each distinct hash, in reading order, and for each hash its number among these."""
-    order = np.argsort(h)
-    in_order = h[order]
+def grouped(h: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order in which equal hashes lie together, and where in it a new one starts."""
+    order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
-    new[1:] = in_order[1:] != in_order[:-1]
+    new[1:] = h[order][1:] != h[order][:-1]
+    if more is not None and (~new[1:] & (more[order][1:] != more[order][:-1])).any():
+        order = np.lexsort((more, h))
+        new[1:] = (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, new
+
+
+def distinct(h: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct hash, in reading order, and for each hash its number among these."""
+    order, new = grouped(h, more)
     starts = np.nonzero(new)[0]
     firsts = np.minimum.reduceat(order, starts) if len(h) else order
     is_first = np.zeros(len(h), bool)
@@ -104,7 +125,7 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(is_first)[0], of
 
 
-def send(pack: int, h: np.ndarray, ids: np.ndarray, back: np.ndarray | None, slots: int) -> pa.Table:
+def send(pack: int, h: np.ndarray, ids: np.ndarray, back: np.ndarray | None, slots: int, more: np.ndarray | None = None) -> pa.Table:
     """Distinct hashes of a pack by slot, in the order given, with a doc_id each.
 
     With back, the ids are the largest of their hashes; where back is not negative, the hash is of an
@@ -112,7 +133,7 @@ def send(pack: int, h: np.ndarray, ids: np.ndarray, back: np.ndarray | None, slo
     doc_id of such a block is.
     """
     order, names, first = _sorted_by_slot(deal(h, slots))
-    rows: dict[str, list] = {"slot": [], "pack": [], "n": [], "docs": [], "back": [], "hashes": []}
+    rows: dict[str, list] = {"slot": [], "pack": [], "n": [], "docs": [], "back": [], "hashes": [], "more": []}
     for k, slot in enumerate(names.tolist()):
         i = order[first[k] : first[k + 1]]
         if back is None:
@@ -126,7 +147,8 @@ def send(pack: int, h: np.ndarray, ids: np.ndarray, back: np.ndarray | None, slo
         rows["docs"].append(_planes(np.diff(ids[i], prepend=np.int64(0)), "<i8"))
         rows["back"].append(less)
         rows["hashes"].append(own)
-    return pa.table(rows, schema=pa.schema([("slot", pa.int32()), ("pack", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("back", pa.binary()), ("hashes", pa.binary())]))
+        rows["more"].append(b"" if more is None else _planes(more[i], "<u4"))
+    return pa.table(rows, schema=pa.schema([("slot", pa.int32()), ("pack", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("back", pa.binary()), ("hashes", pa.binary()), ("more", pa.binary())]))
 
 
 def answer(group: pa.Table, anchors: bool) -> pa.Table:
@@ -138,13 +160,13 @@ def answer(group: pa.Table, anchors: bool) -> pa.Table:
     if anchors:
         h = np.concatenate([np.frombuffer(x, "<u4") for x in raw])
         ref = (h & 1).astype(bool)
-        h = h & np.uint32(0xFFFFFFFE)
+        h, more = h & np.uint32(0xFFFFFFFE), None
         low = ids - np.concatenate([_unplanes(d, n, "<i8") for d, n in zip(group.column("back").to_pylist(), sizes, strict=True)])
     else:
         h = np.concatenate([_unplanes(x, n, "<u8") for x, n in zip(raw, sizes, strict=True)])
+        more = np.concatenate([_unplanes(x, n, "<u4") for x, n in zip(group.column("more").to_pylist(), sizes, strict=True)])
         ref, low = np.ones(len(h), bool), ids
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    order, new = grouped(h, more)
     group_of = np.cumsum(new) - 1
     first = np.nonzero(new)[0]
     least = np.minimum.reduceat(np.where(ref, low, np.iinfo(np.int64).max)[order], first)
@@ -200,8 +222,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, p
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = given.where("doc_id IS NOT NULL").withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int")).repartition(groups_for(n_bytes, 4 * pack_bytes), "pack")
 
-    def candidates(pack: Pack, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows around hits, on either side, as start, hash and document."""
+    def candidates(pack: Pack, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows around hits, on either side, as start, hashes and document."""
         at, h, _ = pack.windows(block, ANCHOR_BASE)
         first, of = distinct(h)
         hit = marked(answers, h[first], slots, "hit", "hit2")
@@ -210,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, p
         around = spread(around, window - block, 0)
         at, h, doc = pack.windows(window, WINDOW_BASE)
         keep = around[at]
-        return at[keep], h[keep], doc[keep]
+        return at[keep], h[keep], pack.second_hashes(at[keep], window), doc[keep]
 
     def index(key: tuple, group: pa.Table) -> pa.Table:
         pack = Pack(group)
@@ -225,18 +247,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, p
 
     def extend(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
-            return send(0, np.empty(0, np.uint64), np.empty(0, np.int64), None, slots)
+            return send(0, np.empty(0, np.uint64), np.empty(0, np.int64), None, slots, np.empty(0, np.uint32))
         pack = Pack(group)
-        _, h, doc = candidates(pack, answers)
-        first, _ = distinct(h)
-        return send(key[0].as_py(), h[first], pack.id_of[doc][first], None, slots)
+        _, h, more, doc = candidates(pack, answers)
+        first, _ = distinct(h, more)
+        return send(key[0].as_py(), h[first], pack.id_of[doc][first], None, slots, more[first])
 
     def cut(_: tuple, group: pa.Table, probed: pa.Table, compared: pa.Table) -> pa.Table:
         pack = Pack(group)
         gone = np.zeros(len(pack.hashes), bool)
         if probed.num_rows:
-            at, h, doc = candidates(pack, probed)
-            first, of = distinct(h)
+            at, h, more, doc = candidates(pack, probed)
+            first, of = distinct(h, more)
             ids = pack.id_of[doc]
             smaller_elsewhere = marked(compared, h[first], slots, "hit")
             gone[at[smaller_elsewhere[of] | (ids > ids[first][of])]] = True

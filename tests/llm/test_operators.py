@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -165,6 +166,38 @@ def test_distinct_hashes():
     first, of = substrings.distinct(h)
     assert first.tolist() == [0, 1, 3, 6] and of.tolist() == [0, 1, 0, 2, 1, 1, 3]
     assert [x.tolist() for x in substrings.distinct(h[:0])] == [[], []]
+    more = np.array([1, 9, 1, 2, 8, 9, 7], np.uint32)
+    first, of = substrings.distinct(h, more)
+    assert first.tolist() == [0, 1, 3, 4, 6] and of.tolist() == [0, 1, 0, 2, 3, 1, 4]
+
+
+def test_hashes_that_collide_in_64_bits(monkeypatch):
+    """With almost no bits in the first hash of windows, the second still tells different windows apart."""
+    plain = substrings.Pack.windows
+
+    def poor(self, width, base):
+        at, h, doc = plain(self, width, base)
+        return at, (h % np.uint64(3) if base == substrings.WINDOW_BASE else h), doc
+
+    monkeypatch.setattr(substrings.Pack, "windows", poor)
+    r = random.Random(2)
+    words = [[f"w{r.randint(0, 40)}" for _ in range(60)] for _ in range(20)]
+    for k in range(1, 20, 2):
+        words[k][10:40] = words[k - 1][5:35]
+    first = {}
+    for i, w in enumerate(words):
+        for k in range(48):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = {i: len({j for k in range(48) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}) for i, w in enumerate(words)}
+    group = {"doc_id": list(range(20)), "text": [" ".join(w) for w in words]}
+    pack = substrings.Pack(pa.table(group))
+    at, h, doc = pack.windows(13, substrings.WINDOW_BASE)
+    more = pack.second_hashes(at, 13)
+    head, of = substrings.distinct(h, more)
+    gone = np.zeros(len(pack.hashes), bool)
+    gone[at[doc > doc[head][of]]] = True
+    gone = substrings.spread(gone, 0, 12)
+    assert {i: int(gone[60 * i : 60 * i + 60].sum()) for i in range(20)} == want
 
 
 def test_repeats_of_a_hot_passage(spark):
