@@ -72,25 +72,28 @@ def window_hashes(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 class BitFilter:
-    """A set of 64-bit hashes in a bounded number of bits: tells all that it holds, and some that it does not."""
+    """A set of 64-bit hashes in a bounded number of bits, two for each: tells all that it holds, and few that it does not."""
 
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
 
     @classmethod
     def of(cls, hashes: DataFrame, column: str, n: int, most_bits: int) -> BitFilter:
-        """Of n hashes in a column, with 16 bits for each up to 2 ** most_bits; only words with bits reach the driver."""
-        bits = min(most_bits, max(13, (16 * n).bit_length()))
-        place = F.shiftrightunsigned(F.col(column), 64 - bits)
-        rows = hashes.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).collect()
+        """Of n hashes in a column, with 64 bits for each up to 2 ** most_bits, 26 at most; only words with bits reach the driver."""
+        bits = min(most_bits, 26, max(13, (64 * n).bit_length()))
+        low = F.lit((1 << bits) - 1)
+        places = F.array(F.shiftrightunsigned(F.col(column), 64 - bits), F.shiftrightunsigned(F.col(column), 64 - 2 * bits).bitwiseAND(low))
+        found = hashes.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).toArrow()
         words = np.zeros(1 << bits - 6, np.int64)
-        for r in rows:
-            words[r["word"]] = r["v"]
+        words[found.column("word").to_numpy()] = found.column("v").to_numpy()
         return cls(bits, words.view(np.uint64))
 
     def may_have(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        h, low = hashes.view(np.uint64), np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(h), bool)
+        for at in (h >> np.uint64(64 - self.bits), (h >> np.uint64(64 - 2 * self.bits)) & low):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
 def training_row(id_column) -> object:

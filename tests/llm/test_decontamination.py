@@ -130,5 +130,5 @@ def test_the_filter_tells_all_it_holds(spark):
     r = np.random.default_rng(3)
     held, others = r.integers(-(2**63), 2**63 - 1, 2000), r.integers(-(2**63), 2**63 - 1, 20_000)
     f = BitFilter.of(spark.createDataFrame([(int(x),) for x in held], "h long"), "h", 2000, 26)
-    assert f.may_have(held).all() and f.may_have(others.astype(np.int64)).mean() < 0.1
+    assert f.may_have(held).all() and f.may_have(others.astype(np.int64)).mean() < 0.01
     assert BitFilter.of(spark.createDataFrame([(int(x),) for x in held], "h long"), "h", 2000, 8).may_have(held).all()
