@@ -70,7 +70,7 @@ CASES = {
     ),
     "email": (
         "SELECT c_custkey AS k, 'user' || CAST(c_custkey AS {str}) AS u FROM customer",
-        [("u || '@hotmail.com'", "u || '@hotmail.com'", 0.95), ("u || ' @hotmail.com'", "u || '@hotmail.com'", 0.9), ("'Email: ' || u || '@hotmail.com'", "u || '@hotmail.com'", 0.9), ("u || '@h0tmail.com'", "u || '@hotmail.com'", 0.7), ("u || '@hotmail.c0m'", "u || '@hotmail.com'", 0.7), ("u || '.hotmail.com'", "u || '.hotmail.com'", 0.1)],
+        [("u || '@hotmail.com'", "u || '@hotmail.com'", 0.95), ("u || ' @hotmail.com'", "u || '@hotmail.com'", 0.9), ("'Email: ' || u || '@hotmail.com'", "u || '@hotmail.com'", 0.9), ("u || '@h0tmail.com'", "u || '@hotmail.com'", 0.7), ("u || '@hotmail.c0m'", "u || '@hotmail.com'", 0.7), ("u || '.hotmail.com'", "u || '.hotmail.com'", 0.1), ("'5ser' || substr(u, 5) || '@hotmail.com'", "'sser' || substr(u, 5) || '@hotmail.com'", 0.7)],
     ),
     "person": (
         f"SELECT k, {cell(SURNAMES, f'j % {len(SURNAMES)}')} AS s, substr('小大建国新立海春秋成', CAST(k % 10 AS INT) + 1, 1) AS g, {cell([r for _, r in NAME_TYPOS], f'j % {len(NAME_TYPOS)}')} AS h, {cell([w for w, _ in NAME_TYPOS], f'j % {len(NAME_TYPOS)}')} AS x FROM (SELECT c_custkey AS k, c_custkey {{div}} 9 AS j FROM customer) c",
@@ -82,7 +82,9 @@ CASES = {
     ),
     "address": (
         f"SELECT k, {cell([p for p, _, _ in PLACES], f'k % {len(PLACES)}')} AS p, {cell([f for _, f, _ in PLACES], f'k % {len(PLACES)}')} AS f, {cell([c for _, _, c in PLACES], f'k % {len(PLACES)}')} AS c, {cell([mistyped_city(c) for _, _, c in PLACES], f'k % {len(PLACES)}')} AS x, '江北区人民路' || CAST(k AS {{str}}) || '号' AS r FROM (SELECT c_custkey AS k FROM customer) n",
-        [("f || c || '市' || r", "f || c || '市' || r", 0.95), ("f || ' ' || c || '市' || r", "f || c || '市' || r", 0.9), ("'地址：' || f || c || '市' || r", "f || c || '市' || r", 0.9), ("p || c || r", "f || c || '市' || r", 0.7), ("p || c || '市' || r", "f || c || '市' || r", 0.7), ("f || x || '市' || r", "f || c || '市' || r", "CASE WHEN x = c THEN 0.95 ELSE 0.7 END"), ("f || c || '市' || replace(r, '区', '曲')", "f || c || '市' || r", 0.7), ("f || c || '市' || replace(r, '路', '露')", "f || c || '市' || r", 0.7), ("f || c || '市江北区'", "f || c || '市江北区'", 0.1), ("f || c || r", "f || c || '市' || r", 0.7), ("f || c || '市' || r || '3式'", "f || c || '市' || r || '3室'", 0.7)],
+        [("f || c || '市' || r", "f || c || '市' || r", 0.95), ("f || ' ' || c || '市' || r", "f || c || '市' || r", 0.9), ("'地址：' || f || c || '市' || r", "f || c || '市' || r", 0.9), ("p || c || r", "f || c || '市' || r", 0.7), ("p || c || '市' || r", "f || c || '市' || r", 0.7), ("f || x || '市' || r", "f || c || '市' || r", "CASE WHEN x = c THEN 0.95 ELSE 0.7 END"), ("f || c || '市' || replace(r, '区', '曲')", "f || c || '市' || r", 0.7), ("f || c || '市' || replace(r, '路', '露')", "f || c || '市' || r", 0.7), ("f || c || '市江北区'", "f || c || '市江北区'", 0.1), ("f || c || r", "f || c || '市' || r", 0.7), ("f || c || '市' || r || '3式'", "f || c || '市' || r || '3室'", 0.7),
+         # directions are repaired only before 区 or 城, whether by a word or by one character
+         ("f || c || '市城茜' || substr(r, 3)", "f || c || '市城西' || substr(r, 3)", 0.7), ("f || c || '市江北区河冬路' || substr(r, 7)", "f || c || '市江北区河冬路' || substr(r, 7)", 0.95), ("f || c || '市江北区式中路' || substr(r, 7)", "f || c || '市江北区式中路' || substr(r, 7)", 0.95), ("f || c || '市曲阜路' || substr(r, 7)", "f || c || '市曲阜路' || substr(r, 7)", 0.95)],
     ),
 }
 # a date without a leading zero in the month and with only the last digit of the day, which is no date if that is 0
