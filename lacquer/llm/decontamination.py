@@ -143,12 +143,13 @@ def doc_seeds(docs: DataFrame, key: Column, held: BitFilter, widths: list[int])
 
     row is a number of its own for each row of the table, once that is written.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+    # as plain arrays, which workers read without this package
+    sent = docs.sparkSession.sparkContext.broadcast((held.bits, held.words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 33
+        own, row = BitFilter(*sent.value), TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             rows = []
             for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
@@ -156,7 +157,7 @@ def doc_seeds(docs: DataFrame, key: Column, held: BitFilter, widths: list[int])
                 step, found = np.zeros(len(t) + 1, np.int64), []
                 for width in widths:
                     h = seed_hashes(t, width)
-                    at = np.nonzero(sent.value.may_have(h))[0]
+                    at = np.nonzero(own.may_have(h))[0]
                     if len(at):
                         found.append(np.unique(h[at]))
                         step[at] += 1

@@ -167,11 +167,14 @@ def labelled(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
     with labels is shuffled.
     """
     hashed = F.xxhash64("doc_id")
-    sent = texts.sparkSession.sparkContext.broadcast(BitFilter.of(known.select(hashed.alias("h")), "h", n, FILTER_BITS))
+    # as plain arrays, which workers read without this package
+    held = BitFilter.of(known.select(hashed.alias("h")), "h", n, FILTER_BITS)
+    sent = texts.sparkSession.sparkContext.broadcast((held.bits, held.words))
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BitFilter(*sent.value)
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.may_have(batch.column("h").to_numpy())))
+            yield batch.filter(pa.array(own.may_have(batch.column("h").to_numpy())))
 
     few = texts.withColumn("h", hashed).mapInArrow(pass_on, "doc_id long, text string, h long").drop("h")
     return few.join(known.hint("merge"), "doc_id")

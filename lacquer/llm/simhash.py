@@ -13,7 +13,6 @@ every such link is verified, which keeps the components without emitting all pai
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -64,7 +63,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: Column
     return taken.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *kept)))
 
 
-@cache
 def flips(bits: range, most: int) -> list[np.ndarray]:
     """For each number of flipped bits up to most, the masks of all ways to flip that many of bits."""
     return [np.array([sum(1 << b for b in c) for c in combinations(bits, k)], np.uint64) for k in range(most + 1)]
@@ -89,17 +87,21 @@ def collisions(variants: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np
     return least[~first], o[~first]
 
 
-def ball_links(fps: np.ndarray, top: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def ball_links(fps: np.ndarray, top: int, radius: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (smaller, larger) between distinct fingerprints, sorted, whose shared values differ from them below the `top` leading bits only.
 
     Fingerprints of many values of those leading bits may come together, as long as their variants fit
     a chunk; a longer row has to have one value, and is written out in parts by further leading bits.
+    known holds masks from one call to the next.
     """
     half, free = radius // 2, BITS - top
     size, extra = sum(comb(free, k) for k in range(half + 1)), 0
     while (len(fps) * size) >> extra > CHUNK_VARIANTS and extra < free:
         extra += 1
-    shift, masks = np.uint64(free - extra), flips(range(free - extra), half)
+    known = {} if known is None else known
+    if free - extra not in known:
+        known[free - extra] = flips(range(free - extra), half)
+    shift, masks = np.uint64(free - extra), known[free - extra]
     found: list[np.ndarray] = []
     heads = [None] if not extra else np.arange(1 << extra, dtype=np.uint64) | (fps[0] >> np.uint64(free)) << np.uint64(extra)
     for head in heads:
@@ -149,11 +151,12 @@ def near_links(fps: DataFrame, n_distinct: int, radius: int = 4) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block and value; whole values are held until their variants fill a chunk."""
         held: list[np.ndarray] = []
+        known: dict[int, list[np.ndarray]] = {}
         block, n = -1, 0
 
         def done() -> pa.RecordBatch:
             by, bits = parts[block]
-            found = [ball_links(np.unique(group), bits, radius) for group in chunks(held, bits)]
+            found = [ball_links(np.unique(group), bits, radius, known) for group in chunks(held, bits)]
             a, b = (rotated(np.concatenate([f[k] for f in found]), BITS - by) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
