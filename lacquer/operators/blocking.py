@@ -15,7 +15,6 @@ strings with a hot run are dealt; they never decide whether a pair is found.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -44,7 +43,6 @@ class Search(NamedTuple):
     same_initial: bool = False
 
 
-@cache
 def bands(la: int, threshold: float, partial: bool) -> list[tuple[int, int, int, int, int, int]]:
     """(run length, runs, least and most length of the partner, places before and after) of a string of la characters."""
     t = threshold
