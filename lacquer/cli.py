@@ -199,7 +199,7 @@ def read_backup(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         head = [text.readline() for _ in range(3)]
     mark = re.fullmatch(r'  "checksum": ("[^"]*"),\n', head[1])
     if head[0] == "{\n" and mark and head[2] == '  "rows": [\n':
-        lines = spark.read.text("file://" + str(Path(path).resolve())).where(F.col("value").startswith("    "))
+        lines = files.text_lines(spark, "file://" + str(Path(path).resolve())).where(F.col("value").startswith("    "))
         lines = lines.select(F.regexp_replace(F.substr("value", F.lit(5)), r",$", "").alias("value"))
         rows = files.checked(files.parsed_rows(files.numbered_lines(lines)))
         return stage(with_positions(rows.orderBy("line")), "cli-backup"), json.loads(mark[1])

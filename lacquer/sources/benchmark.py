@@ -22,7 +22,7 @@ def read_sets(spark: SparkSession, folder: str, schema: str, fields=FIELDS) -> D
     """Rows of all fields' files with rank, the field's place, and line; blank lines are left out."""
     parts = []
     for rank, field in enumerate(fields):
-        lines = files.numbered_lines(spark.read.text(f"{folder}/{field}.jsonl")).where(F.trim("raw") != "")
+        lines = files.numbered_lines(files.text_lines(spark, f"{folder}/{field}.jsonl")).where(F.trim("raw") != "")
         parts.append(lines.select(F.lit(rank).alias("rank"), "line", F.from_json("raw", schema).alias("row")).select("rank", "line", "row.*"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -20,9 +20,18 @@ class SourceError(ValueError):
     """Input that can't be read as asked; the message names the line, counted from 1."""
 
 
+#: Where a piece of text stands: Spark reads large files first, whatever their names.
+PLACE = ("_file", "_block")
+
+
+def text_lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """The lines (value) of a file or of a folder of files, or whole files, with their PLACE."""
+    return spark.read.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """lines (value) with `line`, from 1, without a byte-order mark at the start."""
-    at = with_positions(lines, "line")
+    """lines (value) with `line`, from 1, in the order of their PLACE if they have one, without a byte-order mark at the start."""
+    at = with_positions(lines, "line", tuple(c for c in PLACE if c in lines.columns))
     return at.select((F.col("line") + 1).alias("line"), F.when(F.col("line") == 0, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value")).alias("raw"))
 
 
@@ -56,7 +65,7 @@ def checked(rows: DataFrame, need_field: bool = True) -> DataFrame:
 
 def read_rows(spark: SparkSession, path: str, need_field: bool = True) -> DataFrame:
     """Rows of a JSON lines file with _pos, their dense position; fails at the first bad line."""
-    rows = checked(parsed_rows(numbered_lines(spark.read.text(path))), need_field)
+    rows = checked(parsed_rows(numbered_lines(text_lines(spark, path))), need_field)
     return with_positions(rows.orderBy("line"), "_pos")
 
 
@@ -97,13 +106,16 @@ def read_cells(spark: SparkSession, path: str, multiline: bool = False) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column("value").to_pylist():
-                rows += [r for r in csv.reader(io.StringIO((text or "").removeprefix(BOM), newline="")) if any(c.strip() for c in r)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["cells"])
-
-    lines = spark.read.text(path, wholetext=multiline)
-    rows = with_positions(lines.mapInArrow(run, "cells array<string>"), "_pos")
+            rows, of = [], []
+            for k, text in enumerate(batch.column("value").to_pylist()):
+                found = [r for r in csv.reader(io.StringIO((text or "").removeprefix(BOM), newline="")) if any(c.strip() for c in r)]
+                rows += found
+                of += [k] * len(found)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), *[batch.column(c).take(at) for c in PLACE]], ["cells", *PLACE])
+
+    lines = text_lines(spark, path, multiline)
+    rows = with_positions(lines.mapInArrow(run, "cells array<string>, _file string, _block long"), "_pos", PLACE)
     first = rows.where("_pos = 0").first()
     return (list(first["cells"]) if first else []), rows.where("_pos > 0").withColumn("_pos", F.col("_pos") - 1)
 

@@ -53,15 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_positions(df: DataFrame, column: str = "_pos") -> DataFrame:
-    """df with the dense position of each row in its present order, from 0.
+def with_positions(df: DataFrame, column: str = "_pos", by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the dense position of each row in its present order, from 0; its columns `by`, which are dropped, come before that order.
 
     Spark numbers rows within partitions; the staged rows then get the sum of the sizes of the
-    partitions before theirs. Only one row a partition is summed up in order.
+    partitions before theirs. Only one row a partition is summed up in order. Rows equal in `by` and in
+    their partition have to follow each other, as those of a piece of a file do.
     """
-    numbered = stage(df.withColumn("_at", F.monotonically_increasing_id()), "positions")
-    part = F.shiftright("_at", 33)
-    sizes = numbered.groupBy(part.alias("_part")).count()
-    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), part == F.col("_part")).withColumn(column, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
+    numbered = stage(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "positions")
+    order = [*by, "_part"]
+    sizes = numbered.groupBy(*order).agg(F.count("*").alias("count"), F.min("_at").alias("_least"))
+    before = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_least", *by, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return numbered.join(F.broadcast(starts), order).withColumn(column, F.col("_start") + F.col("_at") - F.col("_least")).drop(*order, "_at", "_least", "_start")
