@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,26 +311,36 @@ def candidates(spark: SparkSession, field: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("parts", F.array(*maker(Draw(seed, ("field", "n"))))).withColumn("value", F.array_join("parts", between))
 
 
-def clean_values(spark: SparkSession, per_field: int = 200, seed: int = 42, fields=FIELDS) -> DataFrame:
+def clean_values(spark: SparkSession, per_field: int = 200, seed: int = 42, fields=FIELDS, repeats: bool = False) -> DataFrame:
     """(_pos, id, field, value, n, parts): per_field distinct values of each field, ids field-0001 and on.
 
     More values are drawn than are needed, and of equal ones the first stays; with too few left, twice as
-    many are drawn. Raises if a field's words don't give as many values.
+    many are drawn. Where a field's words don't give as many values, repeats says what happens: without
+    it this raises; with it all the values that there are come first, then drawn ones a second time and on.
     """
-    drawn = per_field + per_field // 4 + 50
+    drawn, short, found, tables = per_field + per_field // 4 + 50, list(fields), {}, []
     for _ in range(8):
-        parts = [candidates(spark, f, drawn, seed).withColumn("rank", F.lit(k)) for k, f in enumerate(fields)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+        parts = [candidates(spark, f, drawn, seed).withColumn("rank", F.lit(fields.index(f))) for f in short]
+        every = reduce(DataFrame.unionByName, parts)
         distinct = stage(every.groupBy("rank", "field", "value").agg(F.min("n").alias("n"), F.min_by("parts", "n").alias("parts")), "clean-values")
-        found = distinct.groupBy("field").count().where(F.col("count") >= per_field).count()
-        if found == len(fields):
+        before, found = found, {r["field"]: r["count"] for r in distinct.groupBy("field").count().collect()}
+        full = [f for f in short if found.get(f, 0) >= per_field]
+        tables.append(distinct.where(F.col("field").isin(full)).withColumn("again", F.lit(False)))
+        short = [f for f in short if f not in full]
+        if not short:
             break
+        spent = [f for f in short if found.get(f) == before.get(f)] if repeats else []
+        if spent:
+            first = distinct.where(F.col("field").isin(spent))
+            more = every.where(F.col("field").isin(spent)).join(first.select("rank", "n"), ["rank", "n"], "left_anti")
+            tables.append(first.withColumn("again", F.lit(False)).unionByName(more.withColumn("again", F.lit(True))))
+            short = [f for f in short if f not in spent]
+            if not short:
+                break
         drawn *= 2
     else:
         raise RuntimeError(f"the words of a field give fewer than {per_field} values")
-    placed = stage(with_positions(distinct.orderBy("rank", "n"), "place"), "clean-places")
+    placed = stage(with_positions(reduce(DataFrame.unionByName, tables).orderBy("rank", "again", "n").drop("again"), "place"), "clean-places")
     starts = placed.groupBy("rank").agg(F.min("place").alias("start"))
     nth = F.col("place") - F.col("start") + 1
     kept = placed.join(F.broadcast(starts), "rank").withColumn("nth", nth).where(F.col("nth") <= per_field)
@@ -338,11 +349,11 @@ def clean_values(spark: SparkSession, per_field: int = 200, seed: int = 42, fiel
     return kept.select((F.col("rank") * per_field + F.col("nth") - 1).alias("_pos"), ident.alias("id"), "field", "value", "n", "parts")
 
 
-def dirty_values(clean: DataFrame, seed: int = 42) -> DataFrame:
-    """(_pos, id, field, value, truth, perturbation): five variants of each row of clean_values()."""
+def dirty_values(clean: DataFrame, seed: int = 42, fields=FIELDS) -> DataFrame:
+    """(_pos, id, field, value, truth, perturbation): five variants of each row of clean_values() of these fields."""
     x, v = Draw(seed, ("field", "n")), F.col("value")
     out = None
-    for field in FIELDS:
+    for field in fields:
         made = variants(x, field, v, [F.get("parts", F.lit(k)) for k in range(len(MAKERS[field][0](x)))])
         each = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("perturbation"), made[k].alias("value")) for j, k in enumerate(PERTURBATIONS)])
         one = clean.where(F.col("field") == field).select("_pos", "id", "field", v.alias("truth"), F.explode(each).alias("_v"))
@@ -350,15 +361,15 @@ def dirty_values(clean: DataFrame, seed: int = 42) -> DataFrame:
     return out.select((F.col("_pos") * len(PERTURBATIONS) + F.col("_v.j")).alias("_pos"), "id", "field", F.col("_v.value").alias("value"), "truth", F.col("_v.perturbation").alias("perturbation"))
 
 
-def build(spark: SparkSession, per_field: int = 200, seed: int = 42, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Clean rows (_pos, id, field, value) and dirty rows with truth, perturbation and split.
+def build(spark: SparkSession, per_field: int = 200, seed: int = 42, share: float = 0.2, fields=FIELDS) -> tuple[DataFrame, DataFrame]:
+    """Clean rows (_pos, id, field, value) and dirty rows with truth, perturbation and split, of these fields.
 
     All variants of an id are in its split. Raises if a variant is no other than its truth.
     """
     if per_field < 1 or not 0 <= share < 1:
         raise ValueError("per_field has to be 1 or more, and the share held out in [0, 1)")
-    clean = stage(clean_values(spark, per_field, seed), "clean")
-    dirty = stage(dirty_values(clean, seed), "dirty")
+    clean = stage(clean_values(spark, per_field, seed, fields), "clean")
+    dirty = stage(dirty_values(clean, seed, fields), "dirty")
     same = dirty.where("value IS NULL OR value = truth").orderBy("_pos").first()
     if same:
         raise ValueError(f"{same['id']}: {same['perturbation']} leaves the value as it is")
