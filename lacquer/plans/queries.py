@@ -393,7 +393,7 @@ def drawn_and_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn sets, written and read again as rows for scoring duplicates, counted."""
     path = scratch_path(spark, "sets")
-    clean, spoilt = generate.build(spark, suppliers(spark, sf_dir))
+    clean, spoilt = generate.build(spark, suppliers(spark, sf_dir), fields=benchmark.PAIR_FIELDS)
     benchmark.write_sets(clean, path + "/clean", benchmark.PAIR_FIELDS)
     benchmark.write_sets(spoilt, path + "/dirty", benchmark.PAIR_FIELDS)
     parts = [benchmark.load_pairs(spark, path + "/clean", path + "/dirty", s) for s in benchmark.SPLITS]

@@ -3,8 +3,10 @@
 from hashlib import md5
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lacquer.functions import similarity
-from lacquer.plans import evaluate
+from lacquer.plans import evaluate, generate
 from lacquer.plans.queries import QUERIES, SPARK, SWEEP_ROWS
 
 
@@ -50,3 +52,12 @@ def test_plain_duplicates_take_all_customers(spark, tmp_path):
     found = QUERIES["dedupe_plain"](spark, sf_dir).orderBy("_pos").collect()
     assert [(r["_pos"], r["_group"]) for r in found] == [(k, (k - 600) // 2) for k in range(600, 620)]
     assert {r["value"].endswith("z") for r in found} == {True, False}
+
+
+def test_drawn_queries_take_more_suppliers_than_a_field_has_values(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(generate.MAKERS, "date", (lambda x: [F.lit("2001"), x.number("month", 1, 12, 2), F.lit("05")], "-"))
+    spark.range(40).withColumnRenamed("id", "s_suppkey").write.parquet(f"file://{tmp_path}/supplier.parquet")
+    found = {name: QUERIES[name](spark, f"file://{tmp_path}").collect() for name in ("generate_clean", "generate_variants", "benchmark_sets")}
+    assert {r["field"]: tuple(r)[1:] for r in found["generate_clean"]} == {f: (40, 12 if f == "date" else 40, 40) for f in generate.FIELDS}
+    assert len(found["generate_variants"]) == 33 and {r["total"] for r in found["generate_variants"]} == {40}
+    assert {(r["kind"], r["split"], r["n"]) for r in found["benchmark_sets"]} == {("clean", "heldout", 8), ("clean", "train", 32), ("dirty", "heldout", 40), ("dirty", "train", 160)}
