@@ -4,8 +4,10 @@ At a threshold, a string can lose only so many characters to a similar one, and
 between. One deletion or insertion breaks at most one of several separate runs of characters. So of
 one run more than there can be changes, the similar string has at least one whole: the shorter string
 gives that many runs, the rarest ones in the corpus that don't overlap, and the longer one all its runs
-of that length. Pairs meet by a run, at places that the changes can bring about. For runs of single
-characters deletions alone count, so that there always are enough of them.
+of that length. Pairs meet by a run, at places that the changes can bring about, and if the shorter
+string has no more characters that the longer one lacks than it can lose. For runs of single characters
+deletions alone count, so that there always are enough of them. Runs of half the length are taken too,
+so that a string with a common part of its own length gives runs of the rest of it.
 
 Lengths of partners are taken in bands, since partners of nearly the same length allow longer runs.
 A run's counts, in buckets of a bounded number, say which runs are rare, and into how many parts the
@@ -29,10 +31,12 @@ EPSILON = 1e-9
 #: Buckets in which runs are counted, and the share of the longer side's rows with one run that a part of them may have.
 BUCKET_BITS = 17
 PART_ROWS = 20_000
+#: Places times runs of texts that are worked out together.
+CELLS = 1 << 22
 ANYWHERE = 1 << 30
 
-SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int, both boolean"
-LONG = "key long, salt int, b long, lb int, at int"
+SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int, lost int, both boolean, bag_a long, more_a long"
+LONG = "key long, salt int, b long, lb int, at int, bag_b long, more_b long"
 
 
 class Search(NamedTuple):
@@ -43,14 +47,14 @@ class Search(NamedTuple):
     same_initial: bool = False
 
 
-def bands(la: int, threshold: float, partial: bool) -> list[tuple[int, int, int, int, int, int]]:
-    """(run length, runs, least and most length of the partner, places before and after) of a string of la characters."""
+def bands(la: int, threshold: float, partial: bool) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(run length, runs, least and most length of the partner, places before and after, characters lost at most) of a string of la characters."""
     t = threshold
     longest = int(la * (2 - t) / t + EPSILON)
     if partial:
-        # a window is no longer than la; of the whole partner, the longest that the threshold allows counts
+        # a window is no longer than la, and begins no later than the longer one's surplus and the deletions; of the whole partner, the longest that the threshold allows counts
         changes, deletions = int((1 - t) * 2 * la / t + EPSILON), int(la - la * t / (2 - t) + EPSILON)
-        return [(*runs_of(la, changes, deletions), la, ANYWHERE, ANYWHERE, ANYWHERE)]
+        return [(*runs_of(la, changes, deletions), la, ANYWHERE, deletions, deletions + changes, deletions)]
     out, low, width = [], 0, 1
     while la + low <= longest:
         high = min(low + width - 1, longest - la)
@@ -58,7 +62,7 @@ def bands(la: int, threshold: float, partial: bool) -> list[tuple[int, int, int,
         insertions = max((most_changes(la, d, t) + d) // 2 for d in range(low, high + 1))
         changes = max(most_changes(la, d, t) for d in range(low, high + 1))
         if deletions >= 0:
-            out.append((*runs_of(la, changes, deletions), la + low, la + high, deletions, insertions))
+            out.append((*runs_of(la, changes, deletions), la + low, la + high, deletions, insertions, deletions))
         low, width = high + 1, width * 2
     return out
 
@@ -75,25 +79,42 @@ def runs_of(la: int, changes: int, deletions: int) -> tuple[int, int]:
     return (length, changes + 1) if length > 1 else (1, min(la, deletions + 1))
 
 
-def rarest(counts: list[int], length: int, runs: int) -> list[int]:
-    """The starts of `runs` runs of `length` that don't overlap, whose counts add up to the least."""
-    if length == 1:
-        return sorted(range(len(counts)), key=counts.__getitem__)[:runs]
-    n, none = len(counts), float("inf")
-    # best[k][i]: the least sum of k runs from place i on
-    best = [[0.0] * (n + length + 1)]
-    for k in range(1, runs + 1):
-        row, last = [none] * (n + length + 1), best[k - 1]
-        for i in range(n - 1, -1, -1):
-            row[i] = min(row[i + 1], counts[i] + last[i + length])
-        best.append(row)
-    out, i = [], 0
-    for k in range(runs, 0, -1):
-        while best[k][i] == best[k][i + 1]:
-            i += 1
-        out.append(i)
-        i += length
-    return out
+def lengths_of(length: int) -> tuple[int, ...]:
+    """The lengths that runs may have where this one always gives enough of them."""
+    half = (length + 1) // 2
+    return (length, half) if half > 1 and half < length else (length,)
+
+
+def rarest(counts: dict[int, np.ndarray], size: int, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of `runs` runs that don't overlap, whose counts add up to the least, for each of many texts of a size.
+
+    counts has by length a row for each text and a column for each place. Of no text fewer runs are given.
+    """
+    n = len(next(iter(counts.values())))
+    if list(counts) == [1]:
+        at = np.argsort(counts[1], axis=1, kind="stable")[:, :runs]
+        return at, np.ones_like(at)
+    # best[i]: for each text the least sum of k runs from place i on; taken[k][i]: the length of the run that starts there, 0 for none
+    width = size + max(counts) + 1
+    last, taken = np.zeros((width, n)), np.zeros((runs, size, n), np.int16)
+    for k in range(runs):
+        best = np.full((width, n), np.inf)
+        for i in range(size - 1, -1, -1):
+            best[i] = best[i + 1]
+            for length, held in counts.items():
+                if i < held.shape[1]:
+                    with_it = held[:, i] + last[i + length]
+                    less = with_it < best[i]
+                    best[i][less] = with_it[less]
+                    taken[k, i, less] = length
+        last = best
+    out, of, i, texts = np.zeros((n, runs), np.int64), np.zeros((n, runs), np.int64), np.zeros(n, np.int64), np.arange(n)
+    for k in range(runs - 1, -1, -1):
+        while (skip := taken[k, i, texts] == 0).any():
+            i += skip
+        out[:, k], of[:, k] = i, taken[k, i, texts]
+        i = i + of[:, k]
+    return out, of
 
 
 class Reach:
@@ -104,7 +125,7 @@ class Reach:
         self.known_bands: dict[tuple[str, int], list[tuple]] = {}
         self.known_lengths: dict[tuple[str, int], frozenset[int]] = {}
 
-    def bands(self, field: str, la: int) -> list[tuple[int, int, int, int, int, int]]:
+    def bands(self, field: str, la: int) -> list[tuple[int, int, int, int, int, int, int]]:
         """The bands of a value of la characters in which there are partners."""
         if (field, la) not in self.known_bands:
             s = self.searches.get(field, self.default)
@@ -114,7 +135,7 @@ class Reach:
     def lengths(self, field: str, lb: int) -> frozenset[int]:
         """The lengths of runs by which a value of lb characters can be met as the longer one."""
         if (field, lb) not in self.known_lengths:
-            self.known_lengths[field, lb] = frozenset(b[0] for la in self.there[field] if la <= lb for b in self.bands(field, la) if b[2] <= lb <= b[3])
+            self.known_lengths[field, lb] = frozenset(n for la in self.there[field] if la <= lb for b in self.bands(field, la) if b[2] <= lb <= b[3] for n in lengths_of(b[0]))
         return self.known_lengths[field, lb]
 
 
@@ -133,6 +154,24 @@ class Texts:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         self.known: dict[int, tuple] = {}
 
+    def bags(self) -> list[np.ndarray]:
+        """Two words for each text, a bit for the hash of each character and of which one of its like it is.
+
+        Of the bits of one text that another lacks there are no more than of its characters.
+        """
+        order = np.lexsort((self.codes, self.owner))
+        code, owner = self.codes[order], self.owner[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        at = np.arange(len(code))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        bit = ((code * np.uint64(64) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+        out = [np.zeros(len(self.sizes), np.uint64) for _ in range(2)]
+        for k, held in enumerate(out):
+            mine = bit // np.uint64(64) == k
+            np.bitwise_or.at(held, owner[mine], np.uint64(1) << (bit[mine] % np.uint64(64)))
+        return [held.view(np.int64) for held in out]
+
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, place and hash of each run of this length, and where each text's runs begin."""
         if length not in self.known:
@@ -184,38 +223,53 @@ def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Searc
         counts[r["bucket"]] = r["n"]
     sent = values.sparkSession.sparkContext.broadcast(counts)
 
+    def alike(texts: Texts) -> Iterator[tuple[np.ndarray, tuple, Search]]:
+        """Texts of a field and a size, a bounded number at a time, with each of their bands."""
+        groups: dict[tuple[str, int], list[int]] = {}
+        for k, of in enumerate(zip(texts.fields, texts.sizes.tolist(), strict=True)):
+            groups.setdefault(of, []).append(k)
+        for (field, size), members in groups.items():
+            for band in reach.bands(field, size):
+                step = max(1, CELLS // (size * band[1]))
+                for at in range(0, len(members), step):
+                    yield np.array(members[at : at + step]), band, texts.searches[members[0]]
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch, searches, default)
-            rows: list[tuple[int, ...]] = []
-            keys: list[np.ndarray] = []
-            for k, (field, size, vid, search) in enumerate(zip(texts.fields, texts.sizes.tolist(), texts.vids.tolist(), texts.searches, strict=True)):
-                for length, n, least, most, before, after in reach.bands(field, size):
-                    _, _, h, starts = texts.runs(length)
-                    mine = h[starts[k] : starts[k + 1]]
-                    held = sent.value[(mine >> shift).astype(np.int64)]
-                    at = rarest(held.tolist(), length, n)
-                    for i, salts in zip(at, (held[at] // PART_ROWS + 1).tolist(), strict=True):
-                        rows += [(salt, vid, size, i, least, most, before, after, search.partial) for salt in range(salts)]
-                        keys.append(np.full(salts, mine[i]))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.bool_()]
-            key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [c.split()[0] for c in SHORT.split(", ")])
+            bags = texts.bags()
+            for mine, (length, n, least, most, before, after, lost), search in alike(texts):
+                size, hashes, counts = int(texts.sizes[mine[0]]), {}, {}
+                for m in lengths_of(length):
+                    _, _, h, starts = texts.runs(m)
+                    hashes[m] = h[starts[mine][:, None] + np.arange(size - m + 1)]
+                    counts[m] = sent.value[(hashes[m] >> shift).astype(np.int64)]
+                at, of = rarest(counts, size, n)
+                key, salts = np.empty(at.shape, np.uint64), np.empty(at.shape, np.int64)
+                for m in hashes:
+                    t, k = np.nonzero(of == m)
+                    key[t, k], salts[t, k] = hashes[m][t, at[t, k]], counts[m][t, at[t, k]] // PART_ROWS + 1
+                times = salts.ravel()
+                row = np.repeat(np.arange(times.size), times)
+                salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                who, same = mine[row // at.shape[1]], lambda x: pa.array(np.full(len(row), x, np.int32))
+                cols = [pa.array(key.ravel()[row].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(texts.vids[who]), same(size), pa.array(at.ravel()[row].astype(np.int32)), *map(same, (least, most, before, after, lost)), pa.array(np.full(len(row), search.partial)), *[pa.array(held[who]) for held in bags]]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SHORT.split(", ")])
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch, searches, default)
+            bags = texts.bags()
             for of, at, h in met_by(texts):
                 salt = texts.vids[of] % (sent.value[(h >> shift).astype(np.int64)] // PART_ROWS + 1)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(h.view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "b": pa.array(texts.vids[of]), "lb": pa.array(texts.sizes[of].astype(np.int32)), "at": pa.array(at.astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(h.view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "b": pa.array(texts.vids[of]), "lb": pa.array(texts.sizes[of].astype(np.int32)), "at": pa.array(at.astype(np.int32)), "bag_b": pa.array(bags[0][of]), "more_b": pa.array(bags[1][of])})
 
     # few bytes can be many pairs, so partitions are not merged by their bytes
     n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = keyed.mapInArrow(short, SHORT).repartition(n, "key", "salt")
     right = keyed.mapInArrow(long, LONG).repartition(n, "key", "salt")
     # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
-    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after AND (la < lb OR a < b OR both AND a <> b)")
+    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after + IF(both, lb - la, 0) AND (la < lb OR a < b OR both AND a <> b) AND bit_count(bag_a & ~bag_b) + bit_count(more_a & ~more_b) <= lost")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

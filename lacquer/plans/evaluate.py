@@ -177,9 +177,10 @@ def threshold_sweep(train: DataFrame, grid=GRID, group=dd.dedupe) -> tuple[float
     if train.where("split <> 'train'").limit(1).count() or not train.limit(1).count():
         raise ValueError("thresholds are chosen on train rows only, and on some")
     out = None
-    for k, t in enumerate(grid):
+    every = dd.dedupe_each(train, grid) if group is dd.dedupe else ((t, group(train, t)) for t in grid)
+    for k, (t, found) in enumerate(every):
         # staged one by one, so that the driver plans one threshold at a time
-        scores = pair_scores(stage(group(train, t), "sweep-groups")).where("field IS NULL")
+        scores = pair_scores(stage(found, "sweep-groups")).where("field IS NULL")
         row = stage(scores.select(F.lit(t).alias("threshold"), F.lit(k).alias("nth"), "tp", "true_pairs", "pred_pairs", "precision", "recall", "f1"), "sweep")
         out = row if out is None else out.unionByName(row)
     best = out.orderBy(F.desc("f1"), "nth").first()["threshold"]

@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from lacquer.functions import similarity
+from lacquer.operators import dedupe
 from lacquer.plans import evaluate, generate
 from lacquer.plans.queries import QUERIES, SPARK, SWEEP_ROWS
 
@@ -54,10 +55,18 @@ def test_plain_duplicates_take_all_customers(spark, tmp_path):
     assert {r["value"].endswith("z") for r in found} == {True, False}
 
 
-def test_drawn_queries_take_more_suppliers_than_a_field_has_values(spark, tmp_path, monkeypatch):
+def test_more_rows_are_drawn_than_a_field_has_values(spark, monkeypatch):
     monkeypatch.setitem(generate.MAKERS, "date", (lambda x: [F.lit("2001"), x.number("month", 1, 12, 2), F.lit("05")], "-"))
-    spark.range(40).withColumnRenamed("id", "s_suppkey").write.parquet(f"file://{tmp_path}/supplier.parquet")
-    found = {name: QUERIES[name](spark, f"file://{tmp_path}").collect() for name in ("generate_clean", "generate_variants", "benchmark_sets")}
-    assert {r["field"]: tuple(r)[1:] for r in found["generate_clean"]} == {f: (40, 12 if f == "date" else 40, 40) for f in generate.FIELDS}
-    assert len(found["generate_variants"]) == 33 and {r["total"] for r in found["generate_variants"]} == {40}
-    assert {(r["kind"], r["split"], r["n"]) for r in found["benchmark_sets"]} == {("clean", "heldout", 8), ("clean", "train", 32), ("dirty", "heldout", 40), ("dirty", "train", 160)}
+    rows = generate.clean_values(spark, 40, fields=("phone", "date"), repeats=True).orderBy("_pos").collect()
+    assert [r["id"] for r in rows] == [f"{f}-{k:04d}" for f in ("phone", "date") for k in range(1, 41)]
+    assert len({r["value"] for r in rows[:40]}) == 40 and len({r["value"] for r in rows[40:52]}) == len({r["value"] for r in rows[40:]}) == 12
+    clean, spoilt = generate.build(spark, 40, fields=("phone",))
+    assert clean.count() == 40 and spoilt.count() == 200
+
+
+def test_a_sweep_seeks_similar_values_once(spark, tmp_path, monkeypatch):
+    sought, search = [], dedupe.scored_pairs
+    monkeypatch.setattr(dedupe, "scored_pairs", lambda *args: sought.append(args) or search(*args))
+    rows = spark.createDataFrame([(k, str(k // 2), "code", v, "train") for k, v in enumerate(("abcdefghij", "abcdefghijk", "klmnopqrst", "klmnopqrs"))], "_pos long, id string, field string, value string, split string")
+    best, scores = evaluate.threshold_sweep(rows, (0.9, 0.95))
+    assert best == 0.9 and len(sought) == 1 and [r["tp"] for r in scores.orderBy("threshold").collect()] == [2, 1]
