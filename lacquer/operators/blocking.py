@@ -5,13 +5,16 @@ between. One deletion or insertion breaks at most one of several separate runs o
 one run more than there can be changes, the similar string has at least one whole: the shorter string
 gives that many runs, the rarest ones in the corpus that don't overlap, and the longer one all its runs
 of that length. Pairs meet by a run, at places that the changes can bring about, and if the shorter
-string has no more characters that the longer one lacks than it can lose. For runs of single characters
-deletions alone count, so that there always are enough of them. Runs of half the length are taken too,
-so that a string with a common part of its own length gives runs of the rest of it.
+string has no more characters that the longer one lacks than it can lose, by themselves and in their
+order. For runs of single characters deletions alone count, so that there always are enough of them.
+Runs of half the length are taken too, so that a string with a common part of its own length gives runs
+of the rest of it.
 
 Lengths of partners are taken in bands, since partners of nearly the same length allow longer runs.
-A run's counts, in buckets of a bounded number, say which runs are rare, and into how many parts the
-strings with a hot run are dealt; they never decide whether a pair is found.
+A run's counts, in buckets of a bounded number, say which runs are rare, which buckets go to one task,
+and to how many tasks the longer strings of hot ones are dealt; they never decide whether a pair is found.
+A string goes to a task once, whatever the number of its runs there, and pairs are met and sieved in
+the task, so what is written grows with the strings and not with the pairs that share a run.
 """
 
 from __future__ import annotations
@@ -28,15 +31,19 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stage
 
 EPSILON = 1e-9
-#: Buckets in which runs are counted, and the share of the longer side's rows with one run that a part of them may have.
+#: Buckets in which runs are counted; the longer side's runs and the pairs of equal runs that a task may have; pairs that are worth a task.
 BUCKET_BITS = 17
-PART_ROWS = 20_000
-#: Places times runs of texts that are worked out together.
+PART_ROWS = 4_000_000
+TASK_PAIRS = 4_000_000_000
+FEW_PAIRS = 10_000_000
+#: Places times runs of texts that are worked out together; pairs that are sieved together, by one word of each and further.
 CELLS = 1 << 22
+SIEVED = 1 << 17
 ANYWHERE = 1 << 30
-
-SHORT = "key long, salt int, a long, la int, place int, least int, most int, before int, after int, lost int, both boolean, bag_a long, more_a long"
-LONG = "key long, salt int, b long, lb int, at int, bag_b long, more_b long"
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SHIFT = np.uint64(64 - BUCKET_BITS)
+#: The longest string that fits the bits of a machine word.
+WORD = 64
 
 
 class Search(NamedTuple):
@@ -148,52 +155,245 @@ class Texts:
         self.searches = [searches.get(f, default) for f in self.fields]
         self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        heads = (f"{f}\x00{t[0]}" if s.same_initial else f"{f}" for f, t, s in zip(self.fields, texts, self.searches, strict=True))
-        self.heads = np.fromiter(map(xxhash.xxh64_intdigest, heads), np.uint64, len(texts))
+        heads = [(f, t[0] if s.same_initial else "") for f, t, s in zip(self.fields, texts, self.searches, strict=True)]
+        hashed = {(f, c): xxhash.xxh64_intdigest(f"{f}\x00{c}" if c else f"{f}") for f, c in set(heads)}
+        self.heads = np.fromiter(map(hashed.__getitem__, heads), np.uint64, len(texts))
         self.owner = np.repeat(np.arange(len(texts)), self.sizes)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         self.known: dict[int, tuple] = {}
 
-    def bags(self) -> list[np.ndarray]:
-        """Two words for each text, a bit for the hash of each character and of which one of its like it is.
+    def bags(self) -> np.ndarray:
+        """Three words for each text, with a bit for the hash of each character and of which one of its like it is, in the first word or in the other two.
 
         Of the bits of one text that another lacks there are no more than of its characters.
         """
-        order = np.lexsort((self.codes, self.owner))
-        code, owner = self.codes[order], self.owner[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-        at = np.arange(len(code))
-        nth = at - np.maximum.accumulate(np.where(new, at, 0))
-        bit = ((code * np.uint64(64) + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
-        out = [np.zeros(len(self.sizes), np.uint64) for _ in range(2)]
-        for k, held in enumerate(out):
-            mine = bit // np.uint64(64) == k
-            np.bitwise_or.at(held, owner[mine], np.uint64(1) << (bit[mine] % np.uint64(64)))
-        return [held.view(np.int64) for held in out]
+        out = np.zeros((3, len(self.sizes)), np.uint64)
+        one, last = np.uint64(1), np.uint64(63)
+        for size in np.unique(self.sizes):
+            mine = np.nonzero(self.sizes == size)[0]
+            code = np.sort(self.codes[self.starts[mine][:, None] + np.arange(size)].astype(np.uint32), axis=1)
+            code, nth = np.ascontiguousarray(code.T).astype(np.uint64), np.zeros(len(mine), np.uint64)
+            bags = np.zeros((3, len(mine)), np.uint64)
+            for j in range(size):
+                nth = (nth + one) * (code[j] == code[j - 1]) if j else nth
+                mixed = (code[j] * np.uint64(64) + nth) * MIX
+                bit, upper = one << (mixed >> np.uint64(57) & last), mixed >> last
+                bags[0] |= one << (mixed >> np.uint64(58))
+                bags[1] |= bit * (one - upper)
+                bags[2] |= bit * upper
+            out[:, mine] = bags
+        return out
+
+    def letters(self) -> np.ndarray:
+        """A number under WORD for each character; equal characters have the same."""
+        return (self.codes * MIX >> np.uint64(58)).astype(np.uint8)
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, place and hash of each run of this length, and where each text's runs begin."""
         if length not in self.known:
-            self.known[length] = self._runs(length)
+            n = max(0, len(self.codes) - length + 1)
+            at = np.nonzero(self.owner[:n] == self.owner[length - 1 :][:n])[0]
+            of = self.owner[at]
+            self.known[length] = of, at - self.starts[of], self.hashed(of, at, length), np.concatenate(([0], np.cumsum(np.maximum(self.sizes - length + 1, 0))))
         return self.known[length]
 
-    def _runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = max(0, len(self.codes) - length + 1)
-        at = np.nonzero(self.owner[:n] == self.owner[length - 1 :][:n])[0]
-        of = self.owner[at]
+    def hashed(self, of: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """The hashes of runs of texts that begin at these code points of all."""
         h = self.heads[of].copy()
         for k in range(length):
-            h = (h ^ self.codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ self.codes[at + k]) * MIX
             h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        return of, at - self.starts[of], h, np.concatenate(([0], np.cumsum(np.maximum(self.sizes - length + 1, 0))))
+        return h
+
+
+class Routes(NamedTuple):
+    """For each bucket of runs the first task that has it, -1 for none, and to how many tasks its longer strings are dealt."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    tasks: int
+
+
+def routes(met: np.ndarray, given: np.ndarray, cores: int) -> Routes:
+    """Buckets to tasks in their order, by the pairs of equal runs: met counts those of longer strings, given those that shorter ones give."""
+    used = np.nonzero(met * given)[0]
+    first, parts = np.full(len(met), -1, np.int64), np.ones(len(met), np.int64)
+    if not len(used):
+        return Routes(first, parts, 1)
+    load = met[used].astype(np.float64) * given[used]
+    total = load.sum()
+    n = int(min(len(used), 1 + max(met[used].sum() // PART_ROWS, total // TASK_PAIRS, min(cores, total // FEW_PAIRS))))
+    slot = np.minimum((np.cumsum(load) - load / 2) * n / total, n - 1).astype(np.int64)
+    of_slot = lambda x: np.bincount(slot, x, n)
+    dealt = np.maximum(of_slot(met[used]) // PART_ROWS, of_slot(load) // (2 * TASK_PAIRS)).astype(np.int64) + (of_slot(None) > 0)
+    first[used], parts[used] = (np.cumsum(dealt) - dealt)[slot], dealt[slot]
+    return Routes(first, parts, int(dealt.sum()))
+
+
+def packed(batch: pa.RecordBatch, rows: np.ndarray, **more: np.ndarray) -> bytes:
+    """Rows of a batch, with more columns, as bytes."""
+    taken = pa.RecordBatch.from_pydict({n: batch.column(n).take(pa.array(rows)) for n in ("field", "value", "vid")} | {n: pa.array(x) for n, x in more.items()})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, taken.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(taken)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+class Side:
+    """Strings of one side in a task: vids, sizes, bags and letters, read a batch at a time."""
+
+    def __init__(self):
+        self.kept: list[tuple] = []
+
+    def add(self, texts: Texts) -> None:
+        self.kept.append((texts.vids, texts.sizes, texts.bags(), texts.letters()))
+
+    def close(self) -> None:
+        self.vids, self.sizes, self.bags, self.letters = (np.concatenate(x, axis=-1) for x in zip(*self.kept, strict=True))
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.kept = []
+
+
+def lost_in_order(short: Side, long: Side, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of a shorter string of no more than WORD characters and a longer one, how many characters at least the shorter one loses.
+
+    The longest common subsequence of their letters, which is no shorter than that of their characters.
+    """
+    mark = np.zeros(len(short.sizes), bool)
+    mark[a] = True
+    mine = np.nonzero(mark)[0]
+    rank = np.empty(len(mark), np.int64)
+    rank[mine] = np.arange(len(mine)) * WORD
+    places = np.zeros(len(mine) * WORD, np.uint64)
+    for i in range(int(short.sizes[mine].max())):
+        there = mine[short.sizes[mine] > i]
+        places[rank[there] + short.letters[short.starts[there] + i]] |= np.uint64(1 << i)
+    base, begin, size = rank[a], long.starts[b], long.sizes[b]
+    least, most = int(size.min()), int(size.max())
+    row = np.full(len(a), ~np.uint64(0))
+    for j in range(most):
+        if j < least:
+            hit = places[base + long.letters[begin + j]]
+        else:
+            hit = places[base + long.letters[np.minimum(begin + j, len(long.letters) - 1)]] * (size > j)
+        both = row & hit
+        row = (row + both) | (row - both)
+    return short.sizes[a] - np.bitwise_count(~row)
+
+
+def meetings(bag: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the shorter side, and of the longer one among those from low to high, where the first has no more bits that the second lacks than it can lose.
+
+    Runs with the same group, which follow each other, have the same low, high and lost.
+    """
+    begins = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1)) if len(group) else np.zeros(0, np.int64)
+    sizes, widths = np.diff(np.concatenate((begins, [len(group)]))), high[begins] - low[begins]
+    large = sizes * widths >= 4096
+    for begin, size, width in zip(begins[large].tolist(), sizes[large].tolist(), widths[large].tolist(), strict=True):
+        lo, most = int(low[begin]), lost[begin]
+        for x in range(lo, lo + width, SIEVED):
+            right = lacks[x : min(x + SIEVED, lo + width)]
+            step = max(1, SIEVED // len(right))
+            for y in range(begin, begin + size, step):
+                few = np.bitwise_count(bag[y : min(y + step, begin + size), None] & right) <= most
+                found = np.flatnonzero(few)
+                if len(found):
+                    yield y + found // len(right), x + found % len(right)
+    rest = np.nonzero(np.repeat(~large, sizes) & (high > low))[0]
+    wide = high[rest] - low[rest]
+    ends = np.cumsum(wide)
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SIEVED, "right")))
+        a = np.repeat(rest[at:to], wide[at:to])
+        b = np.arange(len(a)) + np.repeat(low[rest[at:to]] - (ends[at:to] - wide[at:to] - (ends[at - 1] if at else 0)), wide[at:to])
+        few = np.bitwise_count(bag[a] & lacks[b]) <= lost[a]
+        yield a[few], b[few]
+        at = to
+
+
+def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Reach, route: Routes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of vids that meet in a task, each of them a few times at most."""
+    short, long, runs, kinds = Side(), Side(), [], {}
+    for data in short_data:
+        batch = unpacked(data)
+        texts = Texts(batch, reach.searches, reach.default)
+        place, length, band = (batch.column(n).to_numpy() for n in ("place", "length", "band"))
+        kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(texts.fields, texts.sizes.tolist(), band.tolist(), strict=True)), np.int64, len(place))
+        h, rows = np.empty(len(place), np.uint64), np.arange(len(place))
+        for m in np.unique(length):
+            mine = length == m
+            h[mine] = texts.hashed(rows[mine], texts.starts[:-1][mine] + place[mine], m)
+        short.add(texts)
+        runs.append((place, length, kind, h))
+    short.close()
+    place, length, kind, h = (np.concatenate(x) for x in zip(*runs, strict=True))
+    place = place.astype(np.int64)
+    least, most, before, after, lost = np.array([reach.bands(f, n)[k][2:] for f, n, k in kinds], np.int64).T
+    both = np.array([reach.searches.get(f, reach.default).partial for f, _, _ in kinds])
+    keys, key = np.unique(h, return_inverse=True)
+
+    found, n = [], 0
+    for data in long_data:
+        texts = Texts(unpacked(data), reach.searches, reach.default)
+        for m in np.unique(length).tolist():
+            of, at, h, _ = texts.runs(m)
+            nth = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            bucket = (h >> SHIFT).astype(np.int64)
+            mine = np.nonzero((keys[nth] == h) & (route.first[bucket] + texts.vids[of] % route.parts[bucket] == task))[0]
+            found.append((nth[mine], at[mine].astype(np.int64), n + of[mine]))
+        n += len(texts.sizes)
+        long.add(texts)
+    long.close()
+    nth, at, who = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(nth):
+        return
+    width = int(at.max()) + 2
+    ordered = np.argsort(nth * width + at, kind="stable")
+    at, who, spot = at[ordered], who[ordered], (nth * width + at)[ordered]
+    lacks = ~long.bags[0][who]
+    low = np.searchsorted(spot, key * width + np.maximum(place - before[kind], 0).clip(max=width - 1))
+    high = np.searchsorted(spot, key * width + np.where(both[kind], width - 1, np.minimum(place + after[kind], width - 1)), "right")
+    by = np.lexsort((kind, high, low))
+    low, high, kind, place = low[by], high[by], kind[by], place[by]
+    lost = lost[kind]
+    new = (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(kind) != 0)
+    group = np.concatenate(([0], np.cumsum(new)))
+
+    def sieved(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+        a, b = by[x], who[y]
+        va, vb, la, lb = short.vids[a], long.vids[b], short.sizes[a], long.sizes[b]
+        k, moved = kind[x], at[y] - place[x]
+        # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
+        ok = (lb >= least[k]) & (lb <= most[k]) & (va != vb) & ((la < lb) | (va < vb) | both[k]) & (moved >= -before[k]) & (moved <= after[k] + both[k] * (lb - la))
+        ok &= np.bitwise_count(short.bags[1][a] & ~long.bags[1][b]) + np.bitwise_count(short.bags[2][a] & ~long.bags[2][b]) <= lost[x]
+        fits = np.nonzero(ok & (la <= WORD))[0]
+        if len(fits):
+            ok[fits] = lost_in_order(short, long, a[fits], b[fits]) <= lost[x][fits]
+        pairs = np.unique(np.column_stack((np.minimum(va, vb)[ok], np.maximum(va, vb)[ok])), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    parts, waiting = [], 0
+    for pair in meetings(short.bags[0][by], lacks, low, high, lost, group):
+        parts.append(pair)
+        waiting += len(pair[0])
+        if waiting >= 2 * SIEVED:
+            yield sieved(parts)
+            parts, waiting = [], 0
+    if parts:
+        yield sieved(parts)
 
 
 def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
     """Distinct pairs (a, b) of vids of values (field, value, vid) that can reach the threshold of their field's search."""
-    shift = np.uint64(64 - BUCKET_BITS)
+    context = values.sparkSession.sparkContext
     keyed = stage(values.where(F.length("value") > 0).select("field", "value", "vid"), "blocking")
     # a length is a row for each field; only bands and runs for lengths that there are matter
     there: dict[str, set[int]] = {}
@@ -202,75 +402,97 @@ def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Searc
 
     reach = Reach(searches, default, there)
 
-    def met_by(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Text, place and hash of the runs by which texts can be met as the longer ones."""
+    def met_by(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Text and hash of the runs by which texts can be met as the longer ones."""
         lengths = [reach.lengths(f, n) for f, n in zip(texts.fields, texts.sizes.tolist(), strict=True)]
         for length in sorted(set().union(*lengths)):
             wanted = np.fromiter((length in x for x in lengths), bool, len(lengths))
-            of, at, h, _ = texts.runs(length)
-            yield of[wanted[of]], at[wanted[of]], h[wanted[of]]
+            of, _, h, _ = texts.runs(length)
+            yield of[wanted[of]], h[wanted[of]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for _, _, h in met_by(Texts(batch, searches, default)):
-                total += np.bincount((h >> shift).astype(np.int64), minlength=1 << BUCKET_BITS)
-        used = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used])})
-
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in keyed.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
-    sent = values.sparkSession.sparkContext.broadcast(counts)
-
-    def alike(texts: Texts) -> Iterator[tuple[np.ndarray, tuple, Search]]:
-        """Texts of a field and a size, a bounded number at a time, with each of their bands."""
+    def given_by(texts: Texts, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Text, place, length and hash of the runs that texts give as the shorter ones, for one of their bands."""
         groups: dict[tuple[str, int], list[int]] = {}
         for k, of in enumerate(zip(texts.fields, texts.sizes.tolist(), strict=True)):
             groups.setdefault(of, []).append(k)
         for (field, size), members in groups.items():
-            for band in reach.bands(field, size):
-                step = max(1, CELLS // (size * band[1]))
-                for at in range(0, len(members), step):
-                    yield np.array(members[at : at + step]), band, texts.searches[members[0]]
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for band, (length, n, *_) in enumerate(reach.bands(field, size)):
+                step = max(1, CELLS // (size * n))
+                for x in range(0, len(members), step):
+                    mine, hashes, held = np.array(members[x : x + step]), {}, {}
+                    for m in lengths_of(length):
+                        _, _, h, starts = texts.runs(m)
+                        hashes[m] = h[starts[mine][:, None] + np.arange(size - m + 1)]
+                        held[m] = counts[(hashes[m] >> SHIFT).astype(np.int64)]
+                    at, of = rarest(held, size, n)
+                    h = np.empty(at.shape, np.uint64)
+                    for m in hashes:
+                        t, k = np.nonzero(of == m)
+                        h[t, k] = hashes[m][t, at[t, k]]
+                    yield np.repeat(mine, at.shape[1]), at.ravel(), of.ravel(), h.ravel(), band
+
+    def counted(hashes_of) -> np.ndarray:
+        """How many runs of all texts fall in each bucket."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << BUCKET_BITS, np.int64)
+            for batch in batches:
+                for h in hashes_of(Texts(batch, searches, default)):
+                    total += np.bincount((h >> SHIFT).astype(np.int64), minlength=1 << BUCKET_BITS)
+            used = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used])})
+
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for r in keyed.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            counts[r["bucket"]] = r["n"]
+        return counts
+
+    met = counted(lambda texts: (h for _, h in met_by(texts)))
+    sent = context.broadcast(met)
+    route = routes(met, counted(lambda texts: (h for _, _, _, h, _ in given_by(texts, sent.value))), context.defaultParallelism)
+    way = context.broadcast(tuple(route))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of each batch that a task has, as bytes: shorter ones once for each run that they give it."""
+        first, parts, _ = way.value
         for batch in batches:
-            texts = Texts(batch, searches, default)
-            bags = texts.bags()
-            for mine, (length, n, least, most, before, after, lost), search in alike(texts):
-                size, hashes, counts = int(texts.sizes[mine[0]]), {}, {}
-                for m in lengths_of(length):
-                    _, _, h, starts = texts.runs(m)
-                    hashes[m] = h[starts[mine][:, None] + np.arange(size - m + 1)]
-                    counts[m] = sent.value[(hashes[m] >> shift).astype(np.int64)]
-                at, of = rarest(counts, size, n)
-                key, salts = np.empty(at.shape, np.uint64), np.empty(at.shape, np.int64)
-                for m in hashes:
-                    t, k = np.nonzero(of == m)
-                    key[t, k], salts[t, k] = hashes[m][t, at[t, k]], counts[m][t, at[t, k]] // PART_ROWS + 1
-                times = salts.ravel()
-                row = np.repeat(np.arange(times.size), times)
-                salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                who, same = mine[row // at.shape[1]], lambda x: pa.array(np.full(len(row), x, np.int32))
-                cols = [pa.array(key.ravel()[row].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(texts.vids[who]), same(size), pa.array(at.ravel()[row].astype(np.int32)), *map(same, (least, most, before, after, lost)), pa.array(np.full(len(row), search.partial)), *[pa.array(held[who]) for held in bags]]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SHORT.split(", ")])
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts, rows = Texts(batch, searches, default), []
+            n = len(texts.sizes)
+            sendings = [np.zeros(0, np.int64)]
+            for of, h in met_by(texts):
+                bucket = (h >> SHIFT).astype(np.int64)
+                task = first[bucket]
+                sendings.append(np.unique((task + texts.vids[of] % parts[bucket])[task >= 0] * n + of[task >= 0]))
+            task, of = np.divmod(np.unique(np.concatenate(sendings)), n)
+            for x in np.split(np.arange(len(of)), np.nonzero(np.diff(task))[0] + 1):
+                if len(x):
+                    rows.append((task[x[0]], False, packed(batch, of[x])))
+            given = []
+            for of, place, length, h, band in given_by(texts, sent.value):
+                bucket = (h >> SHIFT).astype(np.int64)
+                times = parts[bucket] * (first[bucket] >= 0)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                given.append(np.stack([np.repeat(first[bucket], times) + nth, *(np.repeat(x, times) for x in (of, place, length)), np.full(len(nth), band)]))
+            task, of, place, length, band = np.concatenate(given, axis=1) if given else np.zeros((5, 0), np.int64)
+            order = np.lexsort((of, task))
+            for x in np.split(order, np.nonzero(np.diff(task[order]))[0] + 1):
+                if len(x):
+                    rows.append((task[x[0]], True, packed(batch, of[x], place=place[x].astype(np.int32), length=length[x].astype(np.int32), band=band[x].astype(np.int32))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["task", "short", "data"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[bool, list[bytes]]] = {}
         for batch in batches:
-            texts = Texts(batch, searches, default)
-            bags = texts.bags()
-            for of, at, h in met_by(texts):
-                salt = texts.vids[of] % (sent.value[(h >> shift).astype(np.int64)] // PART_ROWS + 1)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(h.view(np.int64)), "salt": pa.array(salt.astype(np.int32)), "b": pa.array(texts.vids[of]), "lb": pa.array(texts.sizes[of].astype(np.int32)), "at": pa.array(at.astype(np.int32)), "bag_b": pa.array(bags[0][of]), "more_b": pa.array(bags[1][of])})
-
-    # few bytes can be many pairs, so partitions are not merged by their bytes
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = keyed.mapInArrow(short, SHORT).repartition(n, "key", "salt")
-    right = keyed.mapInArrow(long, LONG).repartition(n, "key", "salt")
-    # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
-    met = left.join(right, ["key", "salt"]).where("lb BETWEEN least AND most AND at - place BETWEEN -before AND after + IF(both, lb - la, 0) AND (la < lb OR a < b OR both AND a <> b) AND bit_count(bag_a & ~bag_b) + bit_count(more_a & ~more_b) <= lost")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            for r in batch.to_pylist():
+                held.setdefault(r["task"], {True: [], False: []})[r["short"]].append(r["data"])
+        for task, sides in held.items():
+            if sides[True] and sides[False]:
+                for a, b in met_in(task, sides[True], sides[False], reach, Routes(*way.value)):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+    # few bytes can be many pairs, so tasks are not merged by their bytes
+    return keyed.mapInArrow(send, "task int, short boolean, data binary").repartitionById(route.tasks, "task").mapInArrow(meet, "a long, b long").distinct()
 
 
 def candidate_pairs(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:

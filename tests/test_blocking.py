@@ -52,6 +52,37 @@ def test_hot_runs_are_dealt_to_parts(spark, monkeypatch):
     assert candidate_pairs(df, {}, Search(0.5, same_initial=True)).count() == 60 * 59 // 2
 
 
+def drawn(r, letters, size, n):
+    return sorted({"".join(r.choice(letters) for _ in range(size)) for _ in range(n)})
+
+
+def test_firms_with_characters_in_common_are_few_candidates(spark):
+    """Firms of eight drawn characters and eight that all have: bags of characters left a tenth of all pairs."""
+    firms = [p + b + "贸易集团有限公司" for b in drawn(random.Random(3), "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳", 8, 300) for p in ("", "嘉兴")]
+    df = spark.createDataFrame([("company", t, k) for k, t in enumerate(firms)], "field string, value string, vid long")
+    search = Search(0.9, **BLOCKED[similarity.ratio_or_partial])
+    found = [(x["a"], x["b"], x["va"], x["vb"]) for x in candidate_pairs(df, {}, search).collect()]
+    assert {(k, k + 1) for k in range(0, len(firms), 2)} <= {(a, b) for a, b, _, _ in found}
+    assert len(found) == len({f[:2] for f in found}) < len(firms) ** 2 // 200
+    scores = similarity.ratios_or_partials([f[2] for f in found], [f[3] for f in found])
+    pairs = [(a, b) for a in range(len(firms)) for b in range(a + 1, len(firms))]
+    every = similarity.ratios_or_partials([firms[a] for a, _ in pairs], [firms[b] for _, b in pairs])
+    assert {f[:2] for f, s in zip(found, scores, strict=True) if s >= 0.9} == {p for p, s in zip(pairs, every, strict=True) if s >= 0.9}
+
+
+def shuffled(spark):
+    return sum(spark._jsc.sc().statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(spark._jsc.sc().statusStore().executorList(False).size()))
+
+
+def test_a_string_is_sent_to_a_task_once(spark):
+    """Codes of 32 characters have 61 runs of three and two; they used to be sent once for each of them."""
+    codes = [c[:31] + e for c in drawn(random.Random(4), "0123456789abcdef", 32, 1500) for e in "yz"]
+    df = spark.createDataFrame([("code", t, k) for k, t in enumerate(codes)], "field string, value string, vid long")
+    before = shuffled(spark)
+    assert {(k, k + 1) for k in range(0, len(codes), 2)} <= {(x["a"], x["b"]) for x in candidate_pairs(df, {}, Search(0.85)).collect()}
+    assert shuffled(spark) - before < 500 * len(codes)
+
+
 def test_scores_of_many_pairs_are_those_of_each():
     r = random.Random(1)
     text = lambda: "".join(r.choice("abcé中😀") for _ in range(r.choice([0, 1, 2, 3, 5, 9, 20, 63, 64, 65])))
