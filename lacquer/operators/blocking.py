@@ -287,24 +287,26 @@ def lost_in_order(short: Side, long: Side, a: np.ndarray, b: np.ndarray) -> np.n
     return short.sizes[a] - np.bitwise_count(~row)
 
 
-def meetings(bag: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of the shorter side, and of the longer one among those from low to high, where the first has no more bits that the second lacks than it can lose.
+def meetings(bags: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the shorter side, and of the longer one among those from low to high, where the first's bags have no more bits that the second's lack than it can lose.
 
     Runs with the same group, which follow each other, have the same low, high and lost.
     """
+    few = lambda a, b, most: np.bitwise_count(bags[1][a] & lacks[1][b]) + np.bitwise_count(bags[2][a] & lacks[2][b]) <= most
     begins = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1)) if len(group) else np.zeros(0, np.int64)
     sizes, widths = np.diff(np.concatenate((begins, [len(group)]))), high[begins] - low[begins]
     large = sizes * widths >= 4096
     for begin, size, width in zip(begins[large].tolist(), sizes[large].tolist(), widths[large].tolist(), strict=True):
         lo, most = int(low[begin]), lost[begin]
         for x in range(lo, lo + width, SIEVED):
-            right = lacks[x : min(x + SIEVED, lo + width)]
+            right = lacks[0, x : min(x + SIEVED, lo + width)]
             step = max(1, SIEVED // len(right))
             for y in range(begin, begin + size, step):
-                few = np.bitwise_count(bag[y : min(y + step, begin + size), None] & right) <= most
-                found = np.flatnonzero(few)
-                if len(found):
-                    yield y + found // len(right), x + found % len(right)
+                a, b = np.nonzero(np.bitwise_count(bags[0, y : min(y + step, begin + size), None] & right) <= most)
+                a, b = a + y, b + x
+                both = np.nonzero(few(a, b, most))[0]
+                if len(both):
+                    yield a[both], b[both]
     rest = np.nonzero(np.repeat(~large, sizes) & (high > low))[0]
     wide = high[rest] - low[rest]
     ends = np.cumsum(wide)
@@ -313,8 +315,10 @@ def meetings(bag: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndarr
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SIEVED, "right")))
         a = np.repeat(rest[at:to], wide[at:to])
         b = np.arange(len(a)) + np.repeat(low[rest[at:to]] - (ends[at:to] - wide[at:to] - (ends[at - 1] if at else 0)), wide[at:to])
-        few = np.bitwise_count(bag[a] & lacks[b]) <= lost[a]
-        yield a[few], b[few]
+        mine = np.nonzero(np.bitwise_count(bags[0][a] & lacks[0][b]) <= lost[a])[0]
+        a, b = a[mine], b[mine]
+        both = np.nonzero(few(a, b, lost[a]))[0]
+        yield a[both], b[both]
         at = to
 
 
@@ -347,7 +351,7 @@ def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Re
             nth = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             bucket = (h >> SHIFT).astype(np.int64)
             mine = np.nonzero((keys[nth] == h) & (route.first[bucket] + texts.vids[of] % route.parts[bucket] == task))[0]
-            found.append((nth[mine], at[mine].astype(np.int64), n + of[mine]))
+            found.append((nth[mine].astype(np.int32), at[mine].astype(np.int32), (n + of[mine]).astype(np.int32)))
         n += len(texts.sizes)
         long.add(texts)
     long.close()
@@ -355,36 +359,39 @@ def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Re
     if not len(nth):
         return
     width = int(at.max()) + 2
-    ordered = np.argsort(nth * width + at, kind="stable")
-    at, who, spot = at[ordered], who[ordered], (nth * width + at)[ordered]
-    lacks = ~long.bags[0][who]
+    spot = nth.astype(np.int64) * width + at
+    ordered = np.argsort(spot, kind="stable")
+    at, who, spot = at[ordered], who[ordered], spot[ordered]
+    del nth, ordered, found
     low = np.searchsorted(spot, key * width + np.maximum(place - before[kind], 0).clip(max=width - 1))
-    high = np.searchsorted(spot, key * width + np.where(both[kind], width - 1, np.minimum(place + after[kind], width - 1)), "right")
+    surplus = both[kind] * (long.sizes.max() - short.sizes)
+    high = np.searchsorted(spot, key * width + np.minimum(place + after[kind] + surplus, width - 1), "right")
+    del spot
     by = np.lexsort((kind, high, low))
-    low, high, kind, place = low[by], high[by], kind[by], place[by]
+    low, high, kind, place, vids, sizes = low[by], high[by], kind[by], place[by], short.vids[by], short.sizes[by]
     lost = lost[kind]
     new = (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(kind) != 0)
     group = np.concatenate(([0], np.cumsum(new)))
 
     def sieved(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
-        a, b = by[x], who[y]
-        va, vb, la, lb = short.vids[a], long.vids[b], short.sizes[a], long.sizes[b]
-        k, moved = kind[x], at[y] - place[x]
+        k, va, vb, la, lb = kind[x], vids[x], long.vids[who[y]], sizes[x], long.sizes[who[y]]
         # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
-        ok = (lb >= least[k]) & (lb <= most[k]) & (va != vb) & ((la < lb) | (va < vb) | both[k]) & (moved >= -before[k]) & (moved <= after[k] + both[k] * (lb - la))
-        ok &= np.bitwise_count(short.bags[1][a] & ~long.bags[1][b]) + np.bitwise_count(short.bags[2][a] & ~long.bags[2][b]) <= lost[x]
-        fits = np.nonzero(ok & (la <= WORD))[0]
+        ok = (lb >= least[k]) & (lb <= most[k]) & (va != vb) & ((la < lb) | (va < vb) | both[k])
+        ok = np.nonzero(ok & (~both[k] | (at[y] - place[x] <= after[k] + lb - la)))[0]
+        x, y, va, vb, la = x[ok], y[ok], va[ok], vb[ok], la[ok]
+        ok = la > WORD
+        fits = np.nonzero(~ok)[0]
         if len(fits):
-            ok[fits] = lost_in_order(short, long, a[fits], b[fits]) <= lost[x][fits]
+            ok[fits] = lost_in_order(short, long, by[x[fits]], who[y[fits]]) <= lost[x[fits]]
         pairs = np.unique(np.column_stack((np.minimum(va, vb)[ok], np.maximum(va, vb)[ok])), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
     parts, waiting = [], 0
-    for pair in meetings(short.bags[0][by], lacks, low, high, lost, group):
+    for pair in meetings(short.bags[:, by], ~long.bags[:, who], low, high, lost, group):
         parts.append(pair)
         waiting += len(pair[0])
-        if waiting >= 2 * SIEVED:
+        if waiting >= SIEVED // 4:
             yield sieved(parts)
             parts, waiting = [], 0
     if parts:
