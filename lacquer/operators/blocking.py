@@ -13,8 +13,9 @@ of the rest of it.
 Lengths of partners are taken in bands, since partners of nearly the same length allow longer runs.
 A run's counts, in buckets of a bounded number, say which runs are rare, which buckets go to one task,
 and to how many tasks the longer strings of hot ones are dealt; they never decide whether a pair is found.
-A string goes to a task once, whatever the number of its runs there, and pairs are met and sieved in
-the task, so what is written grows with the strings and not with the pairs that share a run.
+A string goes to a task once, whatever the number of its runs there and on either side, and pairs are
+met and sieved in the task and leave it with their strings, so what is written grows with the strings
+and neither with the pairs that share a run nor with those that are then scored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stage
-
 EPSILON = 1e-9
 #: Buckets in which runs are counted; the longer side's runs and the pairs of equal runs that a task may have; pairs that are worth a task.
 BUCKET_BITS = 17
@@ -128,7 +127,7 @@ class Reach:
     """Bands and lengths of runs for the lengths of values that there are in each field."""
 
     def __init__(self, searches: dict[str, Search], default: Search, there: dict[str, set[int]]):
-        self.searches, self.default, self.there = searches, default, there
+        self.searches, self.default, self.there, self.fields = searches, default, there, list(there)
         self.known_bands: dict[tuple[str, int], list[tuple]] = {}
         self.known_lengths: dict[tuple[str, int], frozenset[int]] = {}
 
@@ -232,59 +231,76 @@ def routes(met: np.ndarray, given: np.ndarray, cores: int) -> Routes:
     return Routes(first, parts, int(dealt.sum()))
 
 
-def packed(batch: pa.RecordBatch, rows: np.ndarray, **more: np.ndarray) -> bytes:
-    """Rows of a batch, with more columns, as bytes."""
-    taken = pa.RecordBatch.from_pydict({n: batch.column(n).take(pa.array(rows)) for n in ("field", "value", "vid")} | {n: pa.array(x) for n, x in more.items()})
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, taken.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(taken)
-    return out.getvalue().to_pybytes()
+def packed(strings: pa.RecordBatch, fields: dict[str, int], runs: np.ndarray, given: list[np.ndarray]) -> bytes:
+    """Strings (field, value, vid), how many runs each of them gives, and places, lengths and bands of these, as bytes."""
+    text = strings.column("value").cast(pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes()
+    field = np.fromiter(map(fields.__getitem__, strings.column("field").to_pylist()), np.int64, len(text))
+    numbers = np.concatenate([[len(text)], field, np.diff(strings.column("vid").to_numpy(), prepend=0), np.diff(ends), runs, *given], dtype=np.int64)
+    # bytes of the same place in a number stand together, as most of them are zero
+    planes = numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.array([len(planes), len(data)]).tobytes() + pa.compress(planes + data, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_next_batch()
+def unpacked(data: bytes, fields: list[str]) -> tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]:
+    """What packed() was given."""
+    size, more = np.frombuffer(data, np.int64, 2).tolist()
+    raw = pa.decompress(memoryview(data)[16:], size + more, "zstd", asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size).reshape(8, -1).T).view(np.int64).ravel()
+    n = int(numbers[0])
+    field, steps, sizes, runs = numbers[1 : 1 + 4 * n].reshape(4, n)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    value = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw).slice(size)])
+    strings = pa.RecordBatch.from_arrays([pa.array([fields[k] for k in field.tolist()], pa.string()), value, pa.array(np.cumsum(steps))], ["field", "value", "vid"])
+    return strings, runs, list(numbers[1 + 4 * n :].reshape(3, -1))
 
 
 class Side:
-    """Strings of one side in a task: vids, sizes, bags and letters, read a batch at a time."""
+    """Strings in a task: themselves, vids, sizes, bags and letters, read a batch at a time."""
 
     def __init__(self):
         self.kept: list[tuple] = []
+        self.strings: list[pa.RecordBatch] = []
+        self.n = 0
 
-    def add(self, texts: Texts) -> None:
+    def add(self, texts: Texts, strings: pa.RecordBatch) -> None:
         self.kept.append((texts.vids, texts.sizes, texts.bags(), texts.letters()))
+        self.strings.append(strings)
+        self.n += len(texts.sizes)
 
     def close(self) -> None:
         self.vids, self.sizes, self.bags, self.letters = (np.concatenate(x, axis=-1) for x in zip(*self.kept, strict=True))
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.kept = []
+        self.field, self.value = (pa.concat_arrays([x.column(n) for x in self.strings]) for n in ("field", "value"))
+        self.kept, self.strings = [], []
 
 
-def lost_in_order(short: Side, long: Side, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def lost_in_order(side: Side, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of each pair of a shorter string of no more than WORD characters and a longer one, how many characters at least the shorter one loses.
 
     The longest common subsequence of their letters, which is no shorter than that of their characters.
     """
-    mark = np.zeros(len(short.sizes), bool)
+    mark = np.zeros(len(side.sizes), bool)
     mark[a] = True
     mine = np.nonzero(mark)[0]
     rank = np.empty(len(mark), np.int64)
     rank[mine] = np.arange(len(mine)) * WORD
     places = np.zeros(len(mine) * WORD, np.uint64)
-    for i in range(int(short.sizes[mine].max())):
-        there = mine[short.sizes[mine] > i]
-        places[rank[there] + short.letters[short.starts[there] + i]] |= np.uint64(1 << i)
-    base, begin, size = rank[a], long.starts[b], long.sizes[b]
+    for i in range(int(side.sizes[mine].max())):
+        there = mine[side.sizes[mine] > i]
+        places[rank[there] + side.letters[side.starts[there] + i]] |= np.uint64(1 << i)
+    base, begin, size = rank[a], side.starts[b], side.sizes[b]
     least, most = int(size.min()), int(size.max())
     row = np.full(len(a), ~np.uint64(0))
     for j in range(most):
         if j < least:
-            hit = places[base + long.letters[begin + j]]
+            hit = places[base + side.letters[begin + j]]
         else:
-            hit = places[base + long.letters[np.minimum(begin + j, len(long.letters) - 1)]] * (size > j)
+            hit = places[base + side.letters[np.minimum(begin + j, len(side.letters) - 1)]] * (size > j)
         both = row & hit
         row = (row + both) | (row - both)
-    return short.sizes[a] - np.bitwise_count(~row)
+    return side.sizes[a] - np.bitwise_count(~row)
 
 
 def meetings(bags: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,30 +338,30 @@ def meetings(bags: np.ndarray, lacks: np.ndarray, low: np.ndarray, high: np.ndar
         at = to
 
 
-def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Reach, route: Routes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of vids that meet in a task, each of them a few times at most."""
-    short, long, runs, kinds = Side(), Side(), [], {}
-    for data in short_data:
-        batch = unpacked(data)
-        texts = Texts(batch, reach.searches, reach.default)
-        place, length, band = (batch.column(n).to_numpy() for n in ("place", "length", "band"))
-        kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(texts.fields, texts.sizes.tolist(), band.tolist(), strict=True)), np.int64, len(place))
-        h, rows = np.empty(len(place), np.uint64), np.arange(len(place))
+def met_in(task: int, sent: list[bytes], reach: Reach, route: Routes) -> Iterator[pa.RecordBatch]:
+    """Pairs (field, a, b, va, vb) of vids and strings that meet in a task, each of them a few times at most."""
+    side, runs, kinds = Side(), [], {}
+    for data in sent:
+        strings, times, (place, length, band) = unpacked(data, reach.fields)
+        texts, of = Texts(strings, reach.searches, reach.default), np.repeat(np.arange(len(times)), times)
+        kind = np.fromiter((kinds.setdefault((texts.fields[k], n, b), len(kinds)) for k, n, b in zip(of.tolist(), texts.sizes[of].tolist(), band.tolist(), strict=True)), np.int64, len(of))
+        h = np.empty(len(of), np.uint64)
         for m in np.unique(length):
             mine = length == m
-            h[mine] = texts.hashed(rows[mine], texts.starts[:-1][mine] + place[mine], m)
-        short.add(texts)
-        runs.append((place, length, kind, h))
-    short.close()
-    place, length, kind, h = (np.concatenate(x) for x in zip(*runs, strict=True))
-    place = place.astype(np.int64)
+            h[mine] = texts.hashed(of[mine], texts.starts[of[mine]] + place[mine], m)
+        runs.append((side.n + of, place, length, kind, h))
+        side.add(texts, strings)
+    side.close()
+    own, place, length, kind, h = (np.concatenate(x) for x in zip(*runs, strict=True))
+    if not len(own):
+        return
     least, most, before, after, lost = np.array([reach.bands(f, n)[k][2:] for f, n, k in kinds], np.int64).T
     both = np.array([reach.searches.get(f, reach.default).partial for f, _, _ in kinds])
     keys, key = np.unique(h, return_inverse=True)
 
     found, n = [], 0
-    for data in long_data:
-        texts = Texts(unpacked(data), reach.searches, reach.default)
+    for data in sent:
+        texts = Texts(unpacked(data, reach.fields)[0], reach.searches, reach.default)
         for m in np.unique(length).tolist():
             of, at, h, _ = texts.runs(m)
             nth = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -353,8 +369,6 @@ def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Re
             mine = np.nonzero((keys[nth] == h) & (route.first[bucket] + texts.vids[of] % route.parts[bucket] == task))[0]
             found.append((nth[mine].astype(np.int32), at[mine].astype(np.int32), (n + of[mine]).astype(np.int32)))
         n += len(texts.sizes)
-        long.add(texts)
-    long.close()
     nth, at, who = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(nth):
         return
@@ -364,31 +378,35 @@ def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Re
     at, who, spot = at[ordered], who[ordered], spot[ordered]
     del nth, ordered, found
     low = np.searchsorted(spot, key * width + np.maximum(place - before[kind], 0).clip(max=width - 1))
-    surplus = both[kind] * (long.sizes.max() - short.sizes)
+    surplus = both[kind] * (side.sizes.max() - side.sizes[own])
     high = np.searchsorted(spot, key * width + np.minimum(place + after[kind] + surplus, width - 1), "right")
     del spot
     by = np.lexsort((kind, high, low))
-    low, high, kind, place, vids, sizes = low[by], high[by], kind[by], place[by], short.vids[by], short.sizes[by]
+    low, high, kind, place, own = low[by], high[by], kind[by], place[by], own[by]
     lost = lost[kind]
     new = (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(kind) != 0)
     group = np.concatenate(([0], np.cumsum(new)))
 
-    def sieved(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def sieved(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
-        k, va, vb, la, lb = kind[x], vids[x], long.vids[who[y]], sizes[x], long.sizes[who[y]]
+        k, i, j = kind[x], own[x], who[y].astype(np.int64)
+        va, vb, la, lb = side.vids[i], side.vids[j], side.sizes[i], side.sizes[j]
         # of two equally long strings, the shorter one is that with the smaller vid, or either if windows are taken of both
         ok = (lb >= least[k]) & (lb <= most[k]) & (va != vb) & ((la < lb) | (va < vb) | both[k])
         ok = np.nonzero(ok & (~both[k] | (at[y] - place[x] <= after[k] + lb - la)))[0]
-        x, y, va, vb, la = x[ok], y[ok], va[ok], vb[ok], la[ok]
+        x, i, j, la = x[ok], i[ok], j[ok], la[ok]
         ok = la > WORD
         fits = np.nonzero(~ok)[0]
         if len(fits):
-            ok[fits] = lost_in_order(short, long, by[x[fits]], who[y[fits]]) <= lost[x[fits]]
-        pairs = np.unique(np.column_stack((np.minimum(va, vb)[ok], np.maximum(va, vb)[ok])), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+            ok[fits] = lost_in_order(side, i[fits], j[fits]) <= lost[x[fits]]
+        i, j = i[ok], j[ok]
+        swap = side.vids[i] > side.vids[j]
+        i, j = np.divmod(np.unique(np.where(swap, j, i) * side.n + np.where(swap, i, j)), side.n)
+        columns = {"field": side.field.take(pa.array(i)), "a": pa.array(side.vids[i]), "b": pa.array(side.vids[j]), "va": side.value.take(pa.array(i)), "vb": side.value.take(pa.array(j))}
+        return pa.RecordBatch.from_pydict(columns | {n: columns[n].cast(pa.string()) for n in ("va", "vb")})
 
     parts, waiting = [], 0
-    for pair in meetings(short.bags[:, by], ~long.bags[:, who], low, high, lost, group):
+    for pair in meetings(side.bags[:, own], ~side.bags[:, who], low, high, lost, group):
         parts.append(pair)
         waiting += len(pair[0])
         if waiting >= SIEVED // 4:
@@ -398,10 +416,13 @@ def met_in(task: int, short_data: list[bytes], long_data: list[bytes], reach: Re
         yield sieved(parts)
 
 
-def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
-    """Distinct pairs (a, b) of vids of values (field, value, vid) that can reach the threshold of their field's search."""
+def met_pairs(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
+    """Pairs (field, a, b, va, vb) of values (field, value, vid) that can reach the threshold of their field's search, some of them more than once.
+
+    values are read several times, so they should be staged.
+    """
     context = values.sparkSession.sparkContext
-    keyed = stage(values.where(F.length("value") > 0).select("field", "value", "vid"), "blocking")
+    keyed = values.where(F.length("value") > 0).select("field", "value", "vid")
     # a length is a row for each field; only bands and runs for lengths that there are matter
     there: dict[str, set[int]] = {}
     for r in keyed.groupBy("field", F.length("value").alias("n")).count().collect():
@@ -460,9 +481,11 @@ def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Searc
     way = context.broadcast(tuple(route))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings of each batch that a task has, as bytes: shorter ones once for each run that they give it."""
+        """The strings of each batch that a task has, as bytes, with the runs that they give it as shorter ones."""
         first, parts, _ = way.value
+        fields = {f: k for k, f in enumerate(reach.fields)}
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column("vid").to_numpy())))
             texts, rows = Texts(batch, searches, default), []
             n = len(texts.sizes)
             sendings = [np.zeros(0, np.int64)]
@@ -470,39 +493,35 @@ def candidate_ids(values: DataFrame, searches: dict[str, Search], default: Searc
                 bucket = (h >> SHIFT).astype(np.int64)
                 task = first[bucket]
                 sendings.append(np.unique((task + texts.vids[of] % parts[bucket])[task >= 0] * n + of[task >= 0]))
-            task, of = np.divmod(np.unique(np.concatenate(sendings)), n)
-            for x in np.split(np.arange(len(of)), np.nonzero(np.diff(task))[0] + 1):
-                if len(x):
-                    rows.append((task[x[0]], False, packed(batch, of[x])))
             given = []
             for of, place, length, h, band in given_by(texts, sent.value):
                 bucket = (h >> SHIFT).astype(np.int64)
                 times = parts[bucket] * (first[bucket] >= 0)
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                given.append(np.stack([np.repeat(first[bucket], times) + nth, *(np.repeat(x, times) for x in (of, place, length)), np.full(len(nth), band)]))
-            task, of, place, length, band = np.concatenate(given, axis=1) if given else np.zeros((5, 0), np.int64)
-            order = np.lexsort((of, task))
-            for x in np.split(order, np.nonzero(np.diff(task[order]))[0] + 1):
+                given.append(np.stack([(np.repeat(first[bucket], times) + nth) * n + np.repeat(of, times), *(np.repeat(x, times) for x in (place, length)), np.full(len(nth), band)]))
+            given = np.concatenate(given, axis=1) if given else np.zeros((4, 0), np.int64)
+            given = given[:, np.argsort(given[0], kind="stable")]
+            told = np.unique(np.concatenate([*sendings, given[0]]))
+            ends = np.searchsorted(given[0], told, "right")
+            runs, (task, of) = np.diff(ends, prepend=0), np.divmod(told, n)
+            for x in np.split(np.arange(len(told)), np.nonzero(np.diff(task))[0] + 1):
                 if len(x):
-                    rows.append((task[x[0]], True, packed(batch, of[x], place=place[x].astype(np.int32), length=length[x].astype(np.int32), band=band[x].astype(np.int32))))
+                    rows.append((task[x[0]], packed(batch.take(pa.array(of[x])), fields, runs[x], list(given[1:, ends[x[0]] - runs[x[0]] : ends[x[-1]]]))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["task", "short", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["task", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bool, list[bytes]]] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                held.setdefault(r["task"], {True: [], False: []})[r["short"]].append(r["data"])
-        for task, sides in held.items():
-            if sides[True] and sides[False]:
-                for a, b in met_in(task, sides[True], sides[False], reach, Routes(*way.value)):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+                held.setdefault(r["task"], []).append(r["data"])
+        for task, data in held.items():
+            yield from met_in(task, data, reach, Routes(*way.value))
 
     # few bytes can be many pairs, so tasks are not merged by their bytes
-    return keyed.mapInArrow(send, "task int, short boolean, data binary").repartitionById(route.tasks, "task").mapInArrow(meet, "a long, b long").distinct()
+    return keyed.mapInArrow(send, "task int, data binary").repartitionById(route.tasks, "task").mapInArrow(meet, "field string, a long, b long, va string, vb string")
 
 
 def candidate_pairs(values: DataFrame, searches: dict[str, Search], default: Search) -> DataFrame:
     """Distinct pairs (field, a, b, va, vb) of values (field, value, vid) that can reach the threshold of their field's search."""
-    ids = candidate_ids(values, searches, default)
-    return ids.join(values.select("field", F.col("vid").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("vid").alias("b"), F.col("value").alias("vb")), "b")
+    return met_pairs(values, searches, default).dropDuplicates(["a", "b"])

@@ -45,11 +45,11 @@ def forget_staged(df: DataFrame) -> None:
         forget(df.sparkSession, files[0].rpartition("/")[0])
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df to the shared folder, by Spark's codec or this one, and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacquer.functions import similarity
-from lacquer.operators import blocking
+from lacquer.operators import blocking, dedupe
 from lacquer.operators.blocking import Search, candidate_pairs
 from lacquer.operators.dedupe import BLOCKED
 
@@ -83,6 +85,25 @@ def test_a_string_is_sent_to_a_task_once(spark):
     assert shuffled(spark) - before < 500 * len(codes)
 
 
+def test_strings_are_shuffled_once_for_each_task_and_not_for_pairs(spark, monkeypatch):
+    """One copy of a string in a task serves both sides, and pairs are scored where they meet; shorter ones were sent again and all strings joined to pairs twice."""
+    monkeypatch.setattr(blocking, "PART_ROWS", 40_000)
+    codes = [c[:31] + e for c in drawn(random.Random(6), "0123456789abcdef", 32, 2000) for e in "yz"]
+    df = spark.createDataFrame([("code", t, k) for k, t in enumerate(codes)], "field string, value string, vid long")
+    before = shuffled(spark)
+    pairs = dedupe.scored_pairs(df, {}, dedupe.Rule()).collect()
+    assert {(k, k + 1) for k in range(0, len(codes), 2)} <= {(x["a"], x["b"]) for x in pairs} and len(pairs) == len({x[:3] for x in pairs})
+    assert {(x["a"], x["b"]): x["score"] for x in pairs}[0, 1] == similarity.ratio(codes[0], codes[1])
+    assert shuffled(spark) - before < 170 * len(codes)
+
+
+def test_strings_are_packed_with_their_runs():
+    strings = pa.RecordBatch.from_pydict({"field": ["f", None, "f", "g"], "value": ["abé中😀", "x", "q", "yz"], "vid": [3, 10, 900, 2**40]})
+    given = [np.array([0, 1, 300]), np.array([1, 2, 1]), np.array([0, 1, 2])]
+    got, runs, back = blocking.unpacked(blocking.packed(strings, {None: 0, "f": 1, "g": 2}, np.array([2, 0, 1, 0]), given), [None, "f", "g"])
+    assert got.to_pydict() == strings.to_pydict() and runs.tolist() == [2, 0, 1, 0] and [x.tolist() for x in back] == [x.tolist() for x in given]
+
+
 def test_scores_of_many_pairs_are_those_of_each():
     r = random.Random(1)
     text = lambda: "".join(r.choice("abcé中😀") for _ in range(r.choice([0, 1, 2, 3, 5, 9, 20, 63, 64, 65])))
